@@ -117,3 +117,32 @@ def t_crit_sql(df: str) -> str:
         f"({z} + {(z**3 + z) / 4!r} / {df} + {(5 * z**5 + 16 * z**3 + 3 * z) / 96!r} / ({df} * 1.0 * {df})"
         f" + {(3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384!r} / ({df} * 1.0 * {df} * {df}))"
     )
+
+
+def range_p_ctes(source: str, name: str = "ranged") -> str:
+    """CTEs giving the studentized range tail p for every (rid, q, k, df) of a source.
+
+    Trapezoid sums on both integrals; the normal integral is a table made by
+    Simpson's rule, read with a Taylor step.
+    """
+    return f"""phi AS (
+SELECT g.i, 0.5 + sum((CASE WHEN j = 0 OR j = 200 THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END)
+  * exp(-0.5 * (g.i / 10.0 * j / 200.0) ** 2)) / sqrt(2 * pi()) * (g.i / 10.0 / 200.0) / 3 AS v
+FROM range(-121, 122) AS g(i) CROSS JOIN range(201) AS s(j) GROUP BY g.i),
+scales AS (
+SELECT rid, q, k, 1 + u / 4.0 / sqrt(2.0 * df) AS s,
+  exp((df - 1) * ln(1 + u / 4.0 / sqrt(2.0 * df)) - df / 2.0 * ((1 + u / 4.0 / sqrt(2.0 * df)) ** 2 - 1)) AS weight
+FROM {source} CROSS JOIN range(-32, 33) AS us(u)),
+points AS (
+SELECT rid, k, s, weight, z.i, exp(-0.5 * (z.i / 10.0) ** 2) / sqrt(2 * pi()) * 0.1 AS dz, z.v AS top,
+  z.i / 10.0 - q * s AS low, CAST(round(greatest(z.i - 10 * q * s, -121)) AS BIGINT) AS low_i
+FROM scales CROSS JOIN phi AS z WHERE z.i BETWEEN -85 AND 85),
+steps AS (
+SELECT p.*, phi.v AS base, low_i / 10.0 AS z0, greatest(low, -12.1) - low_i / 10.0 AS d
+FROM points AS p JOIN phi ON phi.i = p.low_i),
+gaps AS (
+SELECT rid, k, s, weight, dz, top - base - exp(-0.5 * z0 * z0) / sqrt(2 * pi()) * d * (1 - d / 2 * z0 + d ** 2 / 6 * (z0 ** 2 - 1)
+  - d ** 3 / 24 * z0 * (z0 ** 2 - 3) + d ** 4 / 120 * (z0 ** 4 - 6 * z0 ** 2 + 3)) AS gap FROM steps),
+{name} AS (
+SELECT rid, 1 - sum(weight * k * dz * pow(greatest(gap, 0), k - 1)) / any_value(total) AS p
+FROM gaps JOIN (SELECT rid, sum(weight) AS total FROM scales GROUP BY rid) AS t USING (rid) GROUP BY rid)"""
