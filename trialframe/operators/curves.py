@@ -146,7 +146,8 @@ def _advance(tolerance: float, smallest_step: float):
         state["rounds"] = state["rounds"] + 1
         rss = row["rss"] if row["rss"] is not None and row["complete"] else np.nan
         best = state["best_rss"]
-        if np.isfinite(rss) and (best is None or not best == best or rss <= best):
+        # near the minimum the residual no longer resolves a step: allow its rounding error
+        if np.isfinite(rss) and (best is None or not best == best or rss <= best * (1 + 1e-10)):
             trial = np.asarray(state["trial"], float)
             delta, covariance = solve(
                 np.asarray(row["gram"], float), np.asarray(row["right"], float), len(trial)
@@ -160,6 +161,8 @@ def _advance(tolerance: float, smallest_step: float):
             state["delta"] = delta.tolist()
             state["step"] = min(1.0, 2 * state["step"])
             if np.all(np.abs(delta) <= tolerance * (np.abs(trial) + tolerance)):
+                # the last, negligible step costs nothing and removes most of its own size in error
+                state["best"] = (trial + delta).tolist()
                 state["done"] = state["converged"] = True
         else:
             state["step"] = state["step"] / 2
@@ -232,7 +235,7 @@ def fit_curve(
     curve: Curve,
     starts: DataFrame | Mapping[str, float],
     keys: Sequence[str] = ("family", "treatment"),
-    tolerance: float = 1e-8,
+    tolerance: float = 1e-10,
     max_rounds: int = 60,
     rounds_per_checkpoint: int = 3,
 ) -> DataFrame:
