@@ -6,6 +6,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from trialframe.session import broadcast_if_small, materialize
+
 
 def outlier_mask(df: DataFrame, rules: Sequence[tuple[str, Column]]) -> DataFrame:
     """Null one cell per matching rule, keep the row.
@@ -60,11 +62,11 @@ def membership_flag(
 ) -> DataFrame:
     """Label rows by whether their key is in a list; a NULL key is outside.
 
-    No broadcast hint: the list may be long, so the size check is left to the
-    planner and to adaptive execution, which also splits a hot key.
+    The distinct list is written once and counted: a list within the broadcast
+    bound spares the observations a shuffle, a longer one is joined by key.
     """
     listed = members.select(F.col(key)).where(F.col(key).isNotNull()).distinct()
-    listed = listed.withColumn("_listed", F.lit(True))
+    listed = broadcast_if_small(materialize(listed.withColumn("_listed", F.lit(True))), 100)
     return (
         df.join(listed, key, "left")
         .withColumn(out, F.when(F.col("_listed"), inside).otherwise(outside))

@@ -30,7 +30,7 @@ from pyspark.sql.types import (
 )
 
 from trialframe.functions.probability import chi2_upper, f_upper, t_quantile, t_two_sided
-from trialframe.session import materialize
+from trialframe.session import broadcast_if_small, fits_broadcast, materialize
 
 
 @dataclass(frozen=True)
@@ -222,14 +222,30 @@ def _round(curve: Curve, keys: list[str], advance) -> Callable[[DataFrame, DataF
     )
     outputs = [*keys, advance(pack).alias("state")]
 
-    def run(cells: DataFrame, state: DataFrame) -> DataFrame:
+    def run(cells: DataFrame, state: DataFrame, few: bool) -> DataFrame:
+        if few:
+            rows = cells.join(F.broadcast(state), keys)
+        else:
+            rows = cells.join(_on_every_salt(state), [*keys, "_salt"])
         # the state is one value per fit: as a grouping column it costs no sort
-        rows = cells.join(state, keys).select(*inputs)
-        return rows.groupBy(*keys, "state").agg(*sums).select(*outputs)
+        return rows.select(*inputs).groupBy(*keys, "state").agg(*sums).select(*outputs)
 
     return run
 
 
+_SALTS = 16
+
+
+def _on_every_salt(state: DataFrame) -> DataFrame:
+    return state.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+
+
+def _salted(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells placed by fit and salt, so that a fit holding most cells is shared by many tasks."""
+    salt = F.pmod(F.xxhash64("x"), F.lit(_SALTS)).cast("int")
+    return cells.withColumn("_salt", salt).repartition(*keys, "_salt")
+
+
 def fit_curve(
     cells: DataFrame,
     curve: Curve,
@@ -237,7 +253,7 @@ def fit_curve(
     keys: Sequence[str] = ("family", "treatment"),
     tolerance: float = 1e-10,
     max_rounds: int = 60,
-    rounds_per_checkpoint: int = 3,
+    rounds_per_checkpoint: int = 1,
 ) -> DataFrame:
     """One row per fit: parameters, rss, n, unscaled covariance, convergence.
 
@@ -273,18 +289,27 @@ def fit_curve(
         .cast(_STATE)
         .alias("state"),
     )
+    state = materialize(state)
+    # the state is sent to every task only while its counted size is within bounds
+    few = fits_broadcast(state.count(), 400 + 16 * len(curve.params) ** 2)
+    if not few:
+        cells = materialize(_salted(cells, keys))
     one_round = _round(curve, keys, _advance(tolerance, 2.0**-20))
     finished: list[DataFrame] = []
     rounds = 0
     while rounds < max_rounds:
         live = state
         for _ in range(rounds_per_checkpoint):
-            live = one_round(cells, live)
+            live = one_round(cells, live, few)
             rounds += 1
         state = materialize(live)
-        finished.append(state.where("state.done"))
-        state = state.where("not state.done")
-        if state.isEmpty():
+        done, left = state.agg(
+            F.count_if("state.done"), F.count_if(~F.col("state.done"))
+        ).first()
+        if done:
+            finished.append(state.where("state.done"))
+            state = state.where("not state.done")
+        if not left:
             break
     everything = reduce(DataFrame.unionByName, [*finished, state])
     good = F.col("state.converged")
@@ -574,9 +599,12 @@ def curve_residuals(
     on: Sequence[str] = ("family", "treatment"),
     pool: Sequence[str] = ("family",),
 ) -> DataFrame:
-    """Fitted value, residual and residual / sigma of every observation (column ``y``)."""
+    """Fitted value, residual and residual / sigma of every observation (column ``y``).
+
+    The rows are raw, so the parameters go to them where their size allows.
+    """
     model = _with_error(fits, pool).select(*dict.fromkeys([*on, *pool]), *curve.params, "sigma")
-    joined = rows.join(model, list(on))
+    joined = rows.join(broadcast_if_small(materialize(model), 400), list(on))
     value = curve.value(F.col("x").cast("double"), _at_parameters(curve))
     return (
         joined.withColumn("fitted", value)

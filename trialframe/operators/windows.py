@@ -67,11 +67,13 @@ def rank_by_frequency(df: DataFrame, unit: str, columns: Sequence[str]) -> DataF
     The order key (freq, unit) is kept as columns: a range-partitioned sort can
     use it directly, where a running rank over all units would need one task.
     """
-    counts = contingency(df, [unit, *columns])
-    freq = (
-        df.where(F.col(unit).isNotNull()).groupBy(unit).agg(F.count(F.lit(1)).alias("freq"))
+    counts = (
+        df.where(F.col(unit).isNotNull())
+        .groupBy(unit, *columns)
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    return counts.join(freq, unit).orderBy("freq", unit, *columns)
+    freq = counts.groupBy(unit).agg(F.sum("n").alias("freq"))
+    return counts.join(freq, unit).dropna(subset=list(columns)).orderBy("freq", unit, *columns)
 
 
 def _ordered(keys: Sequence[str], x: str):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
@@ -49,3 +49,21 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+# A side is broadcast only when its counted rows times its row size stay below this.
+BROADCAST_BYTES = 64 << 20
+
+
+def fits_broadcast(rows: int, row_bytes: int) -> bool:
+    return rows * row_bytes <= BROADCAST_BYTES
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """Broadcast hint for a materialized table whose counted size is within bounds.
+
+    Spares the other, larger side a shuffle. Beyond the bound the table is
+    returned as it is, and the join runs as a shuffle join that adaptive
+    execution splits where a key is hot.
+    """
+    return F.broadcast(df) if fits_broadcast(df.count(), row_bytes) else df
