@@ -576,7 +576,8 @@ rates AS (SELECT family, treatment, x, value, rate, rate / max(rate) OVER (PARTI
 def growth_rate_report_query(spark, folder):
     """Two fitted curves and a line, predicted daily, turned into rates and stages."""
     grid = _grid(spark, folder)
-    curves = C.predict_curve(grid, _full(spark, folder), C.LOGISTIC)
+    fits = materialize(C.logistic_self_start(growth_cells(spark, folder)))
+    curves = C.predict_curve(grid, fits, C.LOGISTIC)
     leaf = {"leaf": F.col("x") * 0.05 + F.col("l_quantity")}
     moments = materialize(line_moments(season(spark, folder), leaf, "x", "l_linestatus"))
     line = L.predict_linear(grid, L.ancova_fit(moments))

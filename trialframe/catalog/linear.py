@@ -360,12 +360,19 @@ def _scaled_day():
 
 
 def _cubic_terms():
-    x = _scaled_day()
-    room = F.when(F.col("l_linestatus") == "O", 1.0).otherwise(0.0)
+    """x, x², x³ and their products with the treatment, over cells."""
+    x = F.col("x") / 1000.0
+    room = F.when(F.col("treatment") == "O", 1.0).otherwise(0.0)
     terms = {"x": x, "x2": x * x, "x3": x * x * x, "room": room}
     return {**terms, **{f"{name}:room": terms[name] * room for name in ("x", "x2", "x3")}}
 
 
+def flag_cells(spark, folder):
+    """Quantity by status and day, one family per return flag."""
+    flags = {f: F.when(F.col("l_returnflag") == f, F.col("l_quantity")) for f in ("A", "N", "R")}
+    return materialize(cell_stats(lineitem(spark, folder), flags, "l_linestatus", "day"))
+
+
 @register(
     "gram_table",
     exact=["family", "n", "i"],
@@ -391,7 +398,7 @@ def gram_table_query(spark, folder):
 @register("gram_ols_cubic", exact=["family", "term", "df"], sig=["estimate", "se", "t", "sigma"], prob=["p"])
 def gram_ols_cubic_query(spark, folder):
     """Cubic in the day by treatment, one model per return flag."""
-    return G.gram_ols(lineitem(spark, folder), "l_quantity", _cubic_terms(), "l_returnflag")
+    return G.gram_ols_cells(flag_cells(spark, folder), _cubic_terms())
 
 
 @register(
@@ -423,6 +430,27 @@ def gram_ols_query(spark, folder):
     return G.gram_ols(df, "l_quantity", terms, "l_returnflag")
 
 
+@register(
+    "gram_ols_cells",
+    exact=["family", "n", "df"],
+    sig=["c", "b", "q", "rss"],
+    sql=f"""WITH o AS (SELECT l_returnflag AS family, {DAY_SQL} / 1000.0::DOUBLE AS x, l_quantity AS y FROM lineitem),
+m AS (SELECT family, avg(x) AS mx, avg(x * x) AS mq, avg(y) AS my FROM o GROUP BY family),
+c AS (SELECT o.family, x - mx AS u, x * x - mq AS v, y - my AS w FROM o JOIN m ON o.family = m.family),
+s AS (SELECT family, count(*) AS n, sum(u * u) AS uu, sum(u * v) AS uv, sum(v * v) AS vv, sum(u * w) AS uw, sum(v * w) AS vw, sum(w * w) AS ww FROM c GROUP BY family),
+f AS (SELECT s.*, mx, mq, my, (uw * vv - vw * uv) / (uu * vv - uv * uv) AS b, (vw * uu - uw * uv) / (uu * vv - uv * uv) AS q FROM s JOIN m USING (family))
+SELECT family, n, CAST(n - 3 AS BIGINT) AS df, my - b * mx - q * mq AS c, b, q, ww - b * uw - q * vw AS rss FROM f""",
+)
+def gram_ols_cells_query(spark, folder):
+    """Quadratic in the day fitted from cell statistics, equal to the fit on raw rows."""
+    x = F.col("x") / 1000.0
+    fit = G.gram_ols_cells(flag_cells(spark, folder), {"x": x, "x2": x * x})
+    pick = lambda term: F.max(F.when(F.col("term") == term, F.col("estimate")))
+    return fit.groupBy("family", "n", "df", "rss").agg(
+        pick("(intercept)").alias("c"), pick("x").alias("b"), pick("x2").alias("q")
+    )
+
+
 @register(
     "nested_f_test_cubic",
     exact=["family", "df_small", "df_large", "df_diff"],
@@ -431,7 +459,7 @@ def gram_ols_query(spark, folder):
 )
 def nested_f_test_cubic_query(spark, folder):
     """A straight line against the cubic by treatment."""
-    df = lineitem(spark, folder)
-    small = G.fit_summary(G.gram_ols(df, "l_quantity", {"x": _scaled_day()}, "l_returnflag"))
-    large = G.fit_summary(G.gram_ols(df, "l_quantity", _cubic_terms(), "l_returnflag"))
+    cells = flag_cells(spark, folder)
+    small = G.fit_summary(G.gram_ols_cells(cells, {"x": F.col("x") / 1000.0}))
+    large = G.fit_summary(G.gram_ols_cells(cells, _cubic_terms()))
     return L.nested_f_test(small, large)

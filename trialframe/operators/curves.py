@@ -146,17 +146,17 @@ def _advance(tolerance: float, smallest_step: float):
         state["rounds"] = state["rounds"] + 1
         rss = row["rss"] if row["rss"] is not None and row["complete"] else np.nan
         best = state["best_rss"]
+        trial = np.asarray(state["trial"], float)
+        delta = None
         # near the minimum the residual no longer resolves a step: allow its rounding error
-        if np.isfinite(rss) and (best is None or not best == best or rss <= best * (1 + 1e-10)):
-            trial = np.asarray(state["trial"], float)
+        lower = best is None or not best == best or rss <= best * (1 + 1e-10)
+        if np.isfinite(rss) and lower:
+            # a place where the curve is flat in some parameter is no progress either
             delta, covariance = solve(
                 np.asarray(row["gram"], float), np.asarray(row["right"], float), len(trial)
             )
+        if delta is not None:
             state["best"], state["best_rss"] = state["trial"], rss
-            if delta is None:
-                state["done"], state["delta"] = True, None
-                state["best"] = None
-                return state
             state["unit_cov"] = covariance.ravel().tolist()
             state["delta"] = delta.tolist()
             state["step"] = min(1.0, 2 * state["step"])
@@ -164,15 +164,14 @@ def _advance(tolerance: float, smallest_step: float):
                 # the last, negligible step costs nothing and removes most of its own size in error
                 state["best"] = (trial + delta).tolist()
                 state["done"] = state["converged"] = True
+        elif state["best"] is None:
+            state["done"] = True
         else:
             state["step"] = state["step"] / 2
-            if state["best"] is None:
-                state["done"] = True
-                return state
             if state["step"] < smallest_step:
                 # no smaller residual along the step: a minimum to working precision
-                delta = np.abs(np.asarray(state["delta"], float))
-                near = delta <= 1e-4 * (np.abs(np.asarray(state["best"], float)) + 1e-4)
+                size = np.abs(np.asarray(state["delta"], float))
+                near = size <= 1e-4 * (np.abs(np.asarray(state["best"], float)) + 1e-4)
                 state["done"] = True
                 state["converged"] = bool(near.all())
         if not state["done"]:

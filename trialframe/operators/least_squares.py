@@ -8,7 +8,7 @@ ever summed.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -81,6 +81,39 @@ def _solve_centred(n: pd.Series, means: pd.Series, gram: pd.Series) -> pd.DataFr
     return pd.DataFrame(out, columns=["estimate", "unit_variance", "rss", "tss"])
 
 
+def gram_table_from_cells(cells: DataFrame, terms: Mapping[str, Column]) -> DataFrame:
+    """The same Gram table from cell statistics, for terms of treatment and x only.
+
+    Raw rows are reduced by three aggregates per response instead of one per
+    pair of terms; the pairs are summed over the cell table. Give materialized
+    cells: they are read twice, for the means and for the deviations from them.
+    """
+    columns = [c.cast("double") for c in terms.values()] + [F.col("mean")]
+    size = len(columns)
+    rows = cells.select(
+        "family", "n", "ss", *(c.alias(f"_v{i}") for i, c in enumerate(columns))
+    ).dropna()
+    n = F.col("n")
+    centre = rows.groupBy("family").agg(
+        F.sum("n").alias("_n"),
+        F.sum("ss").alias("_ss"),
+        *((F.sum(n * F.col(f"_v{i}")) / F.sum("n")).alias(f"_m{i}") for i in range(size)),
+    )
+    upper = [(i, j) for i in range(size) for j in range(i, size)]
+    away = lambda i: F.col(f"_v{i}") - F.col(f"_m{i}")
+    sums = rows.join(centre, "family").groupBy("family").agg(
+        *(F.sum(n * away(i) * away(j)).alias(f"_g{i}_{j}") for i, j in upper)
+    )
+    last = (size - 1, size - 1)
+    entry = lambda ij: F.col(f"_g{ij[0]}_{ij[1]}") + (F.col("_ss") if ij == last else F.lit(0.0))
+    return sums.join(centre, "family").select(
+        "family",
+        F.col("_n").alias("n"),
+        F.array(*(F.col(f"_m{i}") for i in range(size))).alias("means"),
+        F.array(*(entry(ij) for ij in upper)).alias("gram"),
+    )
+
+
 def gram_ols(
     df: DataFrame, response: str | Column, terms: Mapping[str, Column], family: str | Column = "family"
 ) -> DataFrame:
@@ -88,10 +121,19 @@ def gram_ols(
 
     A family whose terms are linearly dependent gets NULL estimates.
     """
+    return solve_gram(gram_table(df, response, terms, family), list(terms))
+
+
+def gram_ols_cells(cells: DataFrame, terms: Mapping[str, Column]) -> DataFrame:
+    """``gram_ols`` on cell statistics: terms are expressions of treatment and x."""
+    return solve_gram(gram_table_from_cells(cells, terms), list(terms))
+
+
+def solve_gram(gram: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """Coefficients, errors and tests from one Gram matrix per family."""
     names = ["(intercept)", *terms]
     fit = (
-        gram_table(df, response, terms, family)
-        .withColumn("s", _solve_centred("n", "means", "gram"))
+        gram.withColumn("s", _solve_centred("n", "means", "gram"))
         .withColumn("parameters", F.lit(len(names)).cast("long"))
         .withColumn("df", F.col("n") - F.col("parameters"))
         .withColumn("rss", F.col("s.rss"))
