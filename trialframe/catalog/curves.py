@@ -13,6 +13,7 @@ from trialframe.catalog.standins import (
     DAY_SQL,
     cells_sql,
     chi2_p_sql,
+    det_sql,
     f_p_sql,
     lineitem,
     t_crit_sql,
@@ -117,16 +118,6 @@ _CURVES["shared_logistic"] = (
 )
 
 
-def _det(m: list[list[str]]) -> str:
-    if len(m) == 1:
-        return m[0][0]
-    parts = []
-    for j, head in enumerate(m[0]):
-        minor = [row[:j] + row[j + 1 :] for row in m[1:]]
-        parts.append(f"{'-' if j % 2 else '+'} {head} * ({_det(minor)})")
-    return " ".join(parts).lstrip("+ ")
-
-
 def newton_sql(
     curve: str, keys: Sequence[str], starts: str, rounds: int = 12, cells: str = "cells", tag: str = "fits"
 ) -> str:
@@ -154,14 +145,14 @@ def newton_sql(
         moves = []
         for i, p in enumerate(params):
             swapped = [row[:i] + [f"b{n}"] + row[i + 1 :] for n, row in enumerate(gram)]
-            moves.append(f"{p} + ({_det(swapped)}) / ({_det(gram)}) AS {p}")
+            moves.append(f"{p} + ({det_sql(swapped)}) / ({det_sql(gram)}) AS {p}")
         out.append(f"{tag}_p{step + 1} AS (SELECT {k}, {', '.join(moves)} FROM {tag}_s{step})")
     inverse = []
     for i in range(size):
         for j in range(size):
             minor = [row[:i] + row[i + 1 :] for n, row in enumerate(gram) if n != j]
             sign = "-" if (i + j) % 2 else ""
-            inverse.append(f"{sign}({_det(minor)}) / ({_det(gram)}) AS c{i}{j}")
+            inverse.append(f"{sign}({det_sql(minor)}) / ({det_sql(gram)}) AS c{i}{j}")
     out.append(
         f"{tag} AS (SELECT {k}, {', '.join(params)}, rss, n, {', '.join(inverse)} FROM {tag}_s{rounds})"
     )

@@ -10,6 +10,7 @@ from trialframe.catalog.standins import (
     EFFECT_SQL,
     RESPONSES,
     cells_sql,
+    det_sql,
     effect_response,
     f_p_sql,
     fit_sql,
@@ -395,7 +396,46 @@ def gram_table_query(spark, folder):
     return gram.select("family", "n", F.posexplode("gram").alias("i", "value"))
 
 
-@register("gram_ols_cubic", exact=["family", "term", "df"], sig=["estimate", "se", "t", "sigma"], prob=["p"])
+def _cubic_sql() -> str:
+    """CTEs: a cubic per return flag and status, and the pooled error of each flag."""
+    names = ("x", "x * x", "x * x * x")
+    gram = [[f"g{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+    det = det_sql(gram)
+    slope, inverse = [], []
+    for i in range(3):
+        swapped = [row[:i] + [f"b{n}"] + row[i + 1 :] for n, row in enumerate(gram)]
+        slope.append(f"({det_sql(swapped)}) / ({det}) AS s{i + 1}")
+        for j in range(3):
+            minor = [row[:i] + row[i + 1 :] for n, row in enumerate(gram) if n != j]
+            inverse.append(f"{'-' if (i + j) % 2 else ''}({det_sql(minor)}) / ({det}) AS v{i}{j}")
+    means = ", ".join(f"avg({v}) AS m{i}" for i, v in enumerate(names))
+    away = ", ".join(f"{v} - m{i} AS d{i}" for i, v in enumerate(names))
+    sums = ", ".join(f"sum(d{i} * d{j}) AS g{i}{j}" for i in range(3) for j in range(i, 3))
+    right = ", ".join(f"sum(d{i} * e) AS b{i}" for i in range(3))
+    spread = " + ".join(f"m{i} * m{j} * v{i}{j}" for i in range(3) for j in range(3))
+    return f"""o AS (SELECT l_returnflag AS family, l_linestatus AS treatment, {DAY_SQL} / 1000.0::DOUBLE AS x, l_quantity AS y FROM lineitem),
+m AS (SELECT family, treatment, count(*) AS n, avg(y) AS my, {means} FROM o GROUP BY family, treatment),
+c AS (SELECT o.family, o.treatment, y - my AS e, {away} FROM o JOIN m ON o.family = m.family AND o.treatment = m.treatment),
+g AS (SELECT family, treatment, sum(e * e) AS yy, {sums}, {right} FROM c GROUP BY family, treatment),
+solved AS (SELECT m.*, yy, b0, b1, b2, {', '.join(slope)}, {', '.join(inverse)} FROM g JOIN m USING (family, treatment)),
+cubic AS (SELECT *, my - m0 * s1 - m1 * s2 - m2 * s3 AS s0, 1.0 / n + {spread} AS u0, v00 AS u1, v11 AS u2, v22 AS u3,
+ yy - b0 * s1 - b1 * s2 - b2 * s3 AS group_rss FROM solved),
+cubic_err AS (SELECT family, sum(group_rss) AS rss, CAST(sum(n) - 8 AS BIGINT) AS df, sqrt(sum(group_rss) / (sum(n) - 8)) AS sigma FROM cubic GROUP BY family)"""
+
+
+@register(
+    "gram_ols_cubic",
+    exact=["family", "term", "df"],
+    sig=["estimate", "se", "t", "sigma"],
+    prob=["p"],
+    sql=f"""WITH {_cubic_sql()},
+long AS (SELECT family, treatment, name, s, u FROM cubic CROSS JOIN LATERAL (VALUES ('(intercept)', s0, u0), ('x', s1, u1), ('x2', s2, u2), ('x3', s3, u3)) AS v(name, s, u)),
+terms AS (SELECT family, name AS term, s AS estimate, u FROM long WHERE treatment = 'F'
+ UNION ALL SELECT a.family, CASE WHEN a.name = '(intercept)' THEN 'room' ELSE a.name || ':room' END, b.s - a.s, a.u + b.u
+ FROM long a JOIN long b ON a.family = b.family AND a.name = b.name AND a.treatment = 'F' AND b.treatment = 'O'),
+tested AS (SELECT t.family, term, estimate, df, sigma, sigma * sqrt(u) AS se, estimate / (sigma * sqrt(u)) AS t FROM terms t JOIN cubic_err e ON t.family = e.family)
+SELECT *, {t_p_sql('t', 'df')} AS p FROM tested""",
+)
 def gram_ols_cubic_query(spark, folder):
     """Cubic in the day by treatment, one model per return flag."""
     return G.gram_ols_cells(flag_cells(spark, folder), _cubic_terms())
@@ -456,6 +496,11 @@ def gram_ols_cells_query(spark, folder):
     exact=["family", "df_small", "df_large", "df_diff"],
     sig=["rss_small", "rss_large", "f"],
     prob=["p"],
+    sql=f"""WITH {_cubic_sql()}, line AS (SELECT family, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM o GROUP BY family),
+small AS (SELECT o.family, sum((y - a - b * x) ** 2) AS rss_small, CAST(count(*) - 2 AS BIGINT) AS df_small FROM o JOIN line l ON o.family = l.family GROUP BY o.family),
+tested AS (SELECT s.family, df_small, df AS df_large, CAST(df_small - df AS BIGINT) AS df_diff, rss_small, rss AS rss_large,
+ (rss_small - rss) / (df_small - df) / (rss / df) AS f FROM small s JOIN cubic_err e ON s.family = e.family)
+SELECT *, {f_p_sql('f', 'df_diff', 'df_large')} AS p FROM tested""",
 )
 def nested_f_test_cubic_query(spark, folder):
     """A straight line against the cubic by treatment."""

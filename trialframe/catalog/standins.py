@@ -146,3 +146,14 @@ SELECT rid, k, s, weight, dz, top - base - exp(-0.5 * z0 * z0) / sqrt(2 * pi())
 {name} AS (
 SELECT rid, 1 - sum(weight * k * dz * pow(greatest(gap, 0), k - 1)) / any_value(total) AS p
 FROM gaps JOIN (SELECT rid, sum(weight) AS total FROM scales GROUP BY rid) AS t USING (rid) GROUP BY rid)"""
+
+
+def det_sql(m: list[list[str]]) -> str:
+    """Determinant of a small matrix of SQL expressions, by expansion along the first row."""
+    if len(m) == 1:
+        return m[0][0]
+    parts = []
+    for j, head in enumerate(m[0]):
+        minor = [row[:j] + row[j + 1 :] for row in m[1:]]
+        parts.append(f"{'-' if j % 2 else '+'} {head} * ({det_sql(minor)})")
+    return " ".join(parts).lstrip("+ ")

@@ -9,6 +9,7 @@ the hash table has one entry per cell, and raw rows are never multiplied.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -22,6 +23,17 @@ def _pairs(responses: Mapping[str, str | Column] | Sequence[str]):
     ]
 
 
+# Responses per aggregate: more aggregation buffers would leave whole-stage codegen.
+_CELL_BLOCK = 8
+_LINE_BLOCK = 5
+
+
+def _in_blocks(build, pairs, size: int) -> DataFrame:
+    """Many responses as a union of blocks; each block scans only its own columns."""
+    blocks = [dict(pairs[i : i + size]) for i in range(0, len(pairs), size)]
+    return reduce(DataFrame.unionByName, [build(block) for block in blocks])
+
+
 def _unfold(df: DataFrame, names: Sequence[str], keys: Sequence[str], present: str) -> DataFrame:
     parts = F.array(
         *(F.struct(F.lit(n).alias("family"), F.col(f"_s{i}").alias("s")) for i, n in enumerate(names))
@@ -44,6 +56,8 @@ def cell_stats(
     Rows with a missing treatment, x or response take no part, as in a model fit.
     """
     pairs = _pairs(responses)
+    if len(pairs) > _CELL_BLOCK:
+        return _in_blocks(lambda some: cell_stats(df, some, treatment, x), pairs, _CELL_BLOCK)
     treatment = F.col(treatment) if isinstance(treatment, str) else treatment
     x = F.col(x) if isinstance(x, str) else x
     rows = df.select(
@@ -72,6 +86,8 @@ def line_moments(
 ) -> DataFrame:
     """family[, treatment] -> n, x_mean, y_mean, sxx, sxy, syy: all a line needs."""
     pairs = _pairs(responses)
+    if len(pairs) > _LINE_BLOCK:
+        return _in_blocks(lambda some: line_moments(df, some, x, treatment), pairs, _LINE_BLOCK)
     x = (F.col(x) if isinstance(x, str) else x).cast("double")
     keys = [] if treatment is None else ["treatment"]
     rows = df.select(

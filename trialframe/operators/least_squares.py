@@ -23,7 +23,9 @@ def gram_table(
 ) -> DataFrame:
     """family -> n, means (terms, response), upper triangle of the centred Gram matrix.
 
-    Rows with a missing term or response are left out.
+    Rows with a missing term or response are left out. Up to five terms stay
+    within whole-stage codegen; for more, and wherever the terms depend on
+    treatment and x alone, ``gram_table_from_cells`` is the cheaper way.
     """
     response = F.col(response) if isinstance(response, str) else response
     family = F.col(family) if isinstance(family, str) else family

@@ -314,20 +314,16 @@ def treatment_given_x(cells: DataFrame) -> DataFrame:
     )
 
 
-def _between(cells: DataFrame, key: str, out: str, count: str) -> DataFrame:
-    by_level = cells.groupBy("family", key).agg(
-        F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean")
+def _between(centred: DataFrame, key: str, out: str, count: str) -> DataFrame:
+    """SS of one factor alone, from cells that carry the family mean ``_m``."""
+    by_level = centred.groupBy("family", key).agg(
+        F.sum("n").alias("n"),
+        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"),
+        F.first("_m").alias("_m"),
     )
-    grand = cells.groupBy("family").agg(
-        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_m")
-    )
-    return (
-        by_level.join(grand, "family")
-        .groupBy("family")
-        .agg(
-            F.sum(F.col("n") * _square(F.col("mean") - F.col("_m"))).alias(out),
-            F.count(F.lit(1)).alias(count),
-        )
+    return by_level.groupBy("family").agg(
+        F.sum(F.col("n") * _square(F.col("mean") - F.col("_m"))).alias(out),
+        F.count(F.lit(1)).alias(count),
     )
 
 
@@ -340,19 +336,16 @@ def anova_factorial(cells: DataFrame, first: str = "treatment") -> DataFrame:
     grand = cells.groupBy("family").agg(
         (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_m")
     )
-    whole = (
-        cells.join(grand, "family")
-        .groupBy("family")
-        .agg(
-            F.sum("n").alias("n"),
-            F.count(F.lit(1)).alias("cells"),
-            F.sum("ss").alias("rss"),
-            F.sum(F.col("n") * _square(F.col("mean") - F.col("_m"))).alias("ss_cells"),
-        )
+    centred = cells.join(grand, "family")
+    whole = centred.groupBy("family").agg(
+        F.sum("n").alias("n"),
+        F.count(F.lit(1)).alias("cells"),
+        F.sum("ss").alias("rss"),
+        F.sum(F.col("n") * _square(F.col("mean") - F.col("_m"))).alias("ss_cells"),
     )
     parts = (
-        whole.join(_between(cells, "treatment", "ss_t", "a"), "family")
-        .join(_between(cells, "x", "ss_x", "b"), "family")
+        whole.join(_between(centred, "treatment", "ss_t", "a"), "family")
+        .join(_between(centred, "x", "ss_x", "b"), "family")
         .join(treatment_given_x(cells), "family")
         .withColumn("ss_x_given_t", F.col("ss_x") + F.col("ss_t_given_x") - F.col("ss_t"))
         .withColumn("additive_df", F.col("b") - 1 + F.col("t_rank"))
