@@ -115,74 +115,83 @@ _STATE = (
     .add("best_rss", DoubleType())
     .add("unit_cov", _VECTOR)
     .add("n", LongType())
-    .add("cells", LongType())
     .add("rounds", IntegerType())
     .add("done", BooleanType())
     .add("converged", BooleanType())
 )
 
 
+def _solve_batch(gram: np.ndarray, right: np.ndarray):
+    """Solutions and inverses of one small symmetric system per row, and which could be solved."""
+    size = right.shape[1]
+    row, column = np.triu_indices(size)
+    full = np.empty((len(gram), size, size))
+    full[:, row, column] = gram
+    full[:, column, row] = gram
+    with np.errstate(all="ignore"):
+        scale = np.sqrt(np.diagonal(full, axis1=1, axis2=2))
+        usable = np.isfinite(full).all(axis=(1, 2)) & (scale > 0).all(axis=1)
+    scale = np.where(usable[:, None], scale, 1.0)
+    outer = scale[:, :, None] * scale[:, None, :]
+    unit = np.where(usable[:, None, None], full, np.eye(size)) / outer
+    solved = usable & (np.linalg.eigvalsh(unit)[:, 0] >= 1e-13)
+    inverse = np.linalg.inv(np.where(solved[:, None, None], unit, np.eye(size)))
+    right = np.where(solved[:, None], right, 0.0)
+    delta = np.einsum("bij,bj->bi", inverse, right / scale) / scale
+    return delta, (inverse / outer).reshape(len(gram), -1), solved
+
+
 def _advance(tolerance: float, smallest_step: float):
-    """One Gauss-Newton decision per fit, on a batch of one-row-per-fit states."""
-
-    def solve(gram, right, size):
-        full = np.zeros((size, size))
-        full[np.triu_indices(size)] = gram
-        full = full + np.triu(full, 1).T
-        scale = np.sqrt(np.diag(full))
-        if not (np.all(np.isfinite(full)) and np.all(scale > 0)):
-            return None, None
-        unit = full / np.outer(scale, scale)
-        if np.linalg.eigvalsh(unit)[0] < 1e-13:
-            return None, None
-        inverse = np.linalg.inv(unit)
-        return (inverse @ (right / scale)) / scale, inverse / np.outer(scale, scale)
-
-    def decide(row):
-        state = dict(row["state"])
-        if state["done"]:
-            return state
-        state["n"], state["cells"] = row["n"], row["cells"]
-        state["rounds"] = state["rounds"] + 1
-        rss = row["rss"] if row["rss"] is not None and row["complete"] else np.nan
-        best = state["best_rss"]
-        trial = np.asarray(state["trial"], float)
-        delta = None
-        # near the minimum the residual no longer resolves a step: allow its rounding error
-        lower = best is None or not best == best or rss <= best * (1 + 1e-10)
-        if np.isfinite(rss) and lower:
-            # a place where the curve is flat in some parameter is no progress either
-            delta, covariance = solve(
-                np.asarray(row["gram"], float), np.asarray(row["right"], float), len(trial)
-            )
-        if delta is not None:
-            state["best"], state["best_rss"] = state["trial"], rss
-            state["unit_cov"] = covariance.ravel().tolist()
-            state["delta"] = delta.tolist()
-            state["step"] = min(1.0, 2 * state["step"])
-            if np.all(np.abs(delta) <= tolerance * (np.abs(trial) + tolerance)):
-                # the last, negligible step costs nothing and removes most of its own size in error
-                state["best"] = (trial + delta).tolist()
-                state["done"] = state["converged"] = True
-        elif state["best"] is None:
-            state["done"] = True
-        else:
-            state["step"] = state["step"] / 2
-            if state["step"] < smallest_step:
-                # no smaller residual along the step: a minimum to working precision
-                size = np.abs(np.asarray(state["delta"], float))
-                near = size <= 1e-4 * (np.abs(np.asarray(state["best"], float)) + 1e-4)
-                state["done"] = True
-                state["converged"] = bool(near.all())
-        if not state["done"]:
-            best_at = np.asarray(state["best"], float)
-            state["trial"] = (best_at + state["step"] * np.asarray(state["delta"], float)).tolist()
-        return state
+    """One Gauss-Newton decision per fit, for a whole Arrow batch of states at once."""
+
+    def stack(column: pd.Series) -> np.ndarray:
+        return np.array(column.tolist(), dtype=float)
 
     @F.pandas_udf(_STATE)
     def run(pack: pd.DataFrame) -> pd.DataFrame:
-        rows = [decide(r) for r in pack.to_dict("records")]
-        return pd.DataFrame(rows, columns=_STATE.names)
+        trial, best, delta = (stack(pack[c]) for c in ("trial", "best", "delta"))
+        cov, gram, right = (stack(pack[c]) for c in ("unit_cov", "gram", "right"))
+        step, best_rss = (pack[c].to_numpy(float, copy=True) for c in ("step", "best_rss"))
+        done, converged = (pack[c].to_numpy(bool, copy=True) for c in ("done", "converged"))
+        rss = np.where(pack["complete"].to_numpy(bool), pack["rss"].to_numpy(float), np.nan)
+
+        new_delta, new_cov, solved = _solve_batch(gram, right)
+        # near the minimum the residual no longer resolves a step: allow its rounding error;
+        # a place where the curve is flat in some parameter is no progress either
+        with np.errstate(invalid="ignore"):
+            better = np.isfinite(rss) & (rss <= best_rss * (1 + 1e-10)) & solved
+        accept, refuse = better & ~done, ~better & ~done
+        pick = accept[:, None]
+        best, delta = np.where(pick, trial, best), np.where(pick, new_delta, delta)
+        cov, step = np.where(pick, new_cov, cov), np.where(accept, np.minimum(1, 2 * step), step)
+        best_rss = np.where(accept, rss, best_rss)
+
+        arrived = accept & (np.abs(delta) <= tolerance * (np.abs(trial) + tolerance)).all(axis=1)
+        # the last, negligible step costs nothing and removes most of its own size in error
+        best = np.where(arrived[:, None], trial + delta, best)
+        hopeless = refuse & np.isinf(best_rss)
+        step = np.where(refuse, step / 2, step)
+        # no smaller residual along the step: a minimum to working precision
+        stalled = refuse & ~hopeless & (step < smallest_step)
+        near = (np.abs(delta) <= 1e-4 * (np.abs(best) + 1e-4)).all(axis=1)
+        rounds = pack["rounds"].to_numpy(int) + ~done
+        converged |= arrived | (stalled & near)
+        done |= arrived | hopeless | stalled
+        trial = np.where(done[:, None], trial, best + step[:, None] * delta)
+        return pd.DataFrame(
+            {
+                "trial": list(trial),
+                "best": list(best),
+                "delta": list(delta),
+                "step": step,
+                "best_rss": best_rss,
+                "unit_cov": list(cov),
+                "n": pack["n"],
+                "rounds": rounds,
+                "done": done,
+                "converged": converged,
+            }
+        )
 
     return run
 
@@ -204,20 +213,20 @@ def _round(curve: Curve, keys: list[str], advance) -> Callable[[DataFrame, DataF
     upper = [(i, j) for i in range(size) for j in range(i, size)]
     sums = [
         F.sum("n").alias("n"),
-        F.count(F.lit(1)).alias("cells"),
         F.sum(n * r * r + F.col("ss")).alias("rss"),
         (F.count("_r") == F.count(F.lit(1))).alias("complete"),
         *(F.sum(n * F.col(f"_j{i}") * F.col(f"_j{j}")).alias(f"_g{i}_{j}") for i, j in upper),
         *(F.sum(n * F.col(f"_j{i}") * r).alias(f"_b{i}") for i in range(size)),
     ]
+    number = lambda c: F.coalesce(c, F.lit(float("nan")))
+    carried = [c for c in _STATE.names if c != "n"]
     pack = F.struct(
-        "state",
+        *(F.col(f"state.{c}").alias(c) for c in carried),
         "n",
-        "cells",
-        "rss",
+        number("rss").alias("rss"),
         "complete",
-        F.array(*(F.col(f"_g{i}_{j}") for i, j in upper)).alias("gram"),
-        F.array(*(F.col(f"_b{i}") for i in range(size))).alias("right"),
+        F.array(*(number(f"_g{i}_{j}") for i, j in upper)).alias("gram"),
+        F.array(*(number(f"_b{i}") for i in range(size))).alias("right"),
     )
     outputs = [*keys, advance(pack).alias("state")]
 
@@ -268,19 +277,19 @@ def fit_curve(
     if not isinstance(starts, DataFrame):
         table = cells.select(*keys).distinct()
         starts = table.select(*keys, *(F.lit(float(starts[p])).alias(p) for p in curve.params))
-    trial = F.array(*(F.col(p).cast("double") for p in curve.params))
-    empty = F.lit(None)
+    size = len(curve.params)
+    trial = F.array(*(F.coalesce(F.col(p).cast("double"), F.lit(float("nan"))) for p in curve.params))
+    zeros = lambda length: F.array(*(F.lit(0.0) for _ in range(length)))
     state = starts.select(
         *keys,
         F.struct(
             trial.alias("trial"),
-            empty.alias("best"),
-            empty.alias("delta"),
+            trial.alias("best"),
+            zeros(size).alias("delta"),
             F.lit(1.0).alias("step"),
-            empty.alias("best_rss"),
-            empty.alias("unit_cov"),
-            empty.alias("n"),
-            empty.alias("cells"),
+            F.lit(float("inf")).alias("best_rss"),
+            zeros(size * size).alias("unit_cov"),
+            F.lit(0).alias("n"),
             F.lit(0).alias("rounds"),
             F.lit(False).alias("done"),
             F.lit(False).alias("converged"),
