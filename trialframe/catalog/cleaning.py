@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from trialframe.catalog.base import register, table
 from trialframe.catalog.standins import DAY_SQL, lineitem
 from trialframe.functions import scalar as S
 from trialframe.operators import cleaning as C
 from trialframe.operators import windows as W
-from trialframe.sources import expand_levels, factor_grid, literal_table, spaced_offsets
+from trialframe.session import ensure_checkpoint_dir
+from trialframe.sources import (
+    expand_levels,
+    factor_grid,
+    literal_table,
+    read_csv,
+    spaced_offsets,
+)
 
 
 @register(
@@ -38,6 +48,27 @@ def spaced_offsets_query(spark, folder):
     return spaced_offsets(events, "x", {"Cold": (0, -8), "Room": (-2, -10)}, out="offset_y")
 
 
+@register(
+    "csv_read",
+    exact=["event_id", "event_type", "value", "day"],
+    sql="""SELECT event_id, event_type, CASE WHEN event_type <> 'view' THEN value END AS value, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events""",
+)
+def csv_read_query(spark, folder):
+    """The events written as CSV with NA for missing values, and read by header name.
+
+    The file goes to the shared folder; the schema lists the columns in another
+    order than the file.
+    """
+    path = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    value = F.when(F.col("event_type") != "view", F.col("value"))
+    events = table(spark, folder, "events").select(
+        "event_id", value.alias("value"), F.col("ts").cast("date").alias("day"), "event_type"
+    )
+    events.write.option("header", True).option("nullValue", "NA").csv(path)
+    schema = StructType.fromDDL("event_id long, event_type string, day date, value double")
+    return read_csv(spark, path, schema).withColumn("day", F.col("day").cast("string"))
+
+
 @register(
     "literal_join",
     exact=["treatment", "days", "label", "n"],

@@ -168,7 +168,26 @@ def letter_groups_query(spark, folder):
     return K.letter_groups(means, M.pairwise_contrasts(means))
 
 
-@register("letter_groups_many_levels", exact=["family", "treatment", "x", "letters"], sig=["emmean"])
+# Letters of many levels, where levels that do not differ form runs in the order of the means.
+RUN_LETTERS = f"""{DAY_PAIRS},
+placed AS (SELECT *, row_number() OVER (PARTITION BY family, treatment ORDER BY emmean DESC) AS place FROM means),
+alike AS (SELECT t.family, t.treatment, least(a.place, b.place) AS i, greatest(a.place, b.place) AS j FROM tested t
+ JOIN placed a ON a.family = t.family AND a.treatment = t.treatment AND a.x = t.level_a
+ JOIN placed b ON b.family = t.family AND b.treatment = t.treatment AND b.x = t.level_b WHERE p >= 0.05),
+reach AS (SELECT p.family, p.treatment, place, greatest(place, coalesce(max(j), 0)) AS last FROM placed p
+ LEFT JOIN alike a ON a.family = p.family AND a.treatment = p.treatment AND a.i = p.place GROUP BY p.family, p.treatment, place),
+runs AS (SELECT *, coalesce(max(last) OVER (PARTITION BY family, treatment ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM reach),
+named AS (SELECT *, chr(CAST(96 + row_number() OVER (PARTITION BY family, treatment ORDER BY place) AS INTEGER)) AS letter FROM runs WHERE last > before)
+SELECT p.family, p.treatment, p.x, any_value(emmean) AS emmean, string_agg(letter, '' ORDER BY letter) AS letters
+FROM placed p JOIN named r ON r.family = p.family AND r.treatment = p.treatment AND p.place BETWEEN r.place AND r.last GROUP BY p.family, p.treatment, p.x"""
+
+
+@register(
+    "letter_groups_many_levels",
+    exact=["family", "treatment", "x", "letters"],
+    sig=["emmean"],
+    sql=f"WITH {EFFECT_OBS}, {RUN_LETTERS}",
+)
 def letter_groups_many_levels_query(spark, folder):
     by = ("family", "treatment")
     means = materialize(effect_means(spark, folder))
@@ -371,3 +390,22 @@ def response_report_query(spark, folder):
     """The whole way from raw rows to the chart table, three responses in one job."""
     responses = {"l_quantity": "l_quantity", "l_tax": "l_tax", "effect": effect_response()}
     return response_report(lineitem(spark, folder), responses, "l_linestatus", "l_linenumber")
+
+
+@register(
+    "response_report_one_side",
+    exact=["family", "treatment", "x", "signif"],
+    sig=["emmean", "label_y"],
+    prob=["p"],
+    sql=f"""WITH {EFFECT_OBS}, {PAIRS}
+SELECT m.family, m.treatment, m.x, emmean, CASE WHEN m.treatment = 'O' THEN p END AS p,
+ CASE WHEN m.treatment = 'O' AND p < 0.05 THEN '*' WHEN m.treatment = 'O' AND p > 0.05 AND p < 0.1 THEN '.' END AS signif,
+ max(emmean) OVER (PARTITION BY m.family, m.x) + m.se AS label_y
+FROM means m JOIN tested t ON m.family = t.family AND m.x = t.x""",
+)
+def response_report_one_side_query(spark, folder):
+    """The report with the test written on the rows of one treatment only."""
+    responses = {"effect": effect_response()}
+    return response_report(
+        lineitem(spark, folder), responses, "l_linestatus", "l_linenumber", test_on="O"
+    )

@@ -21,9 +21,13 @@ def response_report(
     treatment: str | Column,
     x: str | Column,
     zero_bar_at=None,
+    test_on: str | None = None,
 ) -> DataFrame:
     """Means with error bars, treatment test, letters over x, and label heights.
 
+    The p of a sampling stands on all its rows, or, with ``test_on``, on the
+    rows of that treatment only.
+
     The raw rows are read once, into the checkpointed cell table; every branch
     below (error, means, two sets of contrasts, letters) reads that table.
     """
@@ -31,7 +35,10 @@ def response_report(
     tests = _treatment_test(means)
     over_x = ("family", "treatment")
     lettered = letter_groups(means, pairwise_contrasts(means, over_x, "x"), over_x, "x")
-    out = lettered.join(tests, ["family", "x"], "left").withColumn("signif", signif_code("p"))
+    out = lettered.join(tests, ["family", "x"], "left")
+    if test_on is not None:
+        out = out.withColumn("p", F.when(F.col("treatment") == test_on, F.col("p")))
+    out = out.withColumn("signif", signif_code("p"))
     return errorbar_table(label_position(out, "above"), zero_bar_at)
 
 
