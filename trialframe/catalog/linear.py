@@ -170,6 +170,44 @@ def model_summary_query(spark, folder):
     return L.model_summary(day_lines(spark, folder))
 
 
+@register(
+    "model_summary_no_intercept",
+    exact=["family", "n", "df", "df_model"],
+    sig=["sigma", "r2", "f"],
+    prob=["p"],
+    sql=f"""WITH {DAY_OBS}, {LINES},
+total AS (SELECT family, sum(y * y) AS tss FROM obs GROUP BY family),
+stats AS (SELECT family, n_total AS n, df, CAST(parameters AS BIGINT) AS df_model, sigma, 1 - rss / tss AS r2,
+ (tss - rss) / parameters / (sigma * sigma) AS f FROM pooled JOIN total USING (family))
+SELECT *, {f_p_sql('f', 'df_model', 'df')} AS p FROM stats""",
+)
+def model_summary_no_intercept_query(spark, folder):
+    return L.model_summary(day_lines(spark, folder), with_intercept=False)
+
+
+@register(
+    "anova_no_intercept",
+    exact=["family", "term_order", "term", "df"],
+    sig=["ss", "ms", "f"],
+    prob=["p"],
+    sql=f"""WITH {DAY_OBS},
+m AS (SELECT family, count(*) AS n, count(DISTINCT treatment) AS k, sum(x * y) / sum(x * x) AS b0 FROM obs GROUP BY family),
+g AS (SELECT family, treatment, avg(x) AS gx, avg(y) AS gy, regr_slope(y, x) AS gb, regr_intercept(y, x) AS ga FROM obs GROUP BY family, treatment),
+w AS (SELECT o.family, sum((x - gx) * (y - gy)) / sum((x - gx) * (x - gx)) AS b
+ FROM obs o JOIN g ON o.family = g.family AND o.treatment = g.treatment GROUP BY o.family),
+fitted AS (SELECT o.family, y, b0 * x AS one, gy + w.b * (x - gx) AS parallel, ga + gb * x AS own
+ FROM obs o JOIN m ON o.family = m.family JOIN w ON o.family = w.family JOIN g ON o.family = g.family AND o.treatment = g.treatment),
+ss AS (SELECT family, sum(one ** 2) AS ssx, sum((parallel - one) ** 2) AS sst, sum((own - parallel) ** 2) AS ssi, sum((y - own) ** 2) AS rss FROM fitted GROUP BY family),
+long AS (SELECT family, term_order, term, CAST(df AS BIGINT) AS df, ss, ss / df AS ms, CAST(n - 2 * k AS BIGINT) AS rdf, rss / (n - 2 * k) AS ems
+ FROM ss JOIN m USING (family) CROSS JOIN LATERAL (VALUES (1, 'x', 1, ssx), (2, 'treatment', k, sst), (3, 'x:treatment', k - 1, ssi),
+ (4, 'residual', n - 2 * k, rss)) AS v(term_order, term, df, ss)),
+tested AS (SELECT *, CASE WHEN term_order < 4 THEN ms / ems END AS f FROM long)
+SELECT *, CASE WHEN f IS NOT NULL THEN {f_p_sql('f', 'df', 'rdf')} END AS p FROM tested""",
+)
+def anova_no_intercept_query(spark, folder):
+    return L.anova_no_intercept(day_lines(spark, folder))
+
+
 @register(
     "simple_regression",
     exact=["family", "n", "df"],

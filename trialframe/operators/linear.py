@@ -243,6 +243,43 @@ def anova_ancova(moments: DataFrame) -> DataFrame:
     )
 
 
+def anova_no_intercept(moments: DataFrame) -> DataFrame:
+    """Sequential ANOVA of x, treatment and interaction in the model without intercept.
+
+    The first fit is one line through the origin, so the sums are about zero;
+    treatment then brings one intercept per level.
+    """
+    n = F.col("n")
+    parts = (
+        moments.groupBy("family")
+        .agg(
+            F.sum("n").alias("n"),
+            F.count(F.lit(1)).alias("k"),
+            F.sum(F.col("syy") + n * _square("y_mean")).alias("tss"),
+            F.sum(F.col("sxx") + n * _square("x_mean")).alias("txx"),
+            F.sum(F.col("sxy") + n * F.col("x_mean") * F.col("y_mean")).alias("txy"),
+            F.sum("sxx").alias("wxx"),
+            F.sum("sxy").alias("wxy"),
+            F.sum("syy").alias("wyy"),
+            F.sum(F.try_divide(_square("sxy"), F.col("sxx"))).alias("sep"),
+        )
+        .withColumn("ss_x", F.try_divide(_square("txy"), F.col("txx")))
+        .withColumn("rss1", F.col("tss") - F.col("ss_x"))
+        .withColumn("rss2", F.col("wyy") - F.try_divide(_square("wxy"), F.col("wxx")))
+        .withColumn("rss3", F.col("wyy") - F.col("sep"))
+    )
+    k = F.col("k")
+    return _anova_rows(
+        parts,
+        [
+            ("x", F.lit(1), F.col("ss_x")),
+            ("treatment", k, F.col("rss1") - F.col("rss2")),
+            ("x:treatment", k - 1, F.col("rss2") - F.col("rss3")),
+            ("residual", n - 2 * k, F.col("rss3")),
+        ],
+    )
+
+
 @F.pandas_udf(StructType().add("ss", DoubleType()).add("rank", IntegerType()))
 def _quadratic_form(levels: pd.Series, entries: pd.Series, rhs: pd.Series) -> pd.DataFrame:
     """b' A⁻ b for one small matrix per family (A is levels x levels, rank deficient)."""

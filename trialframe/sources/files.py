@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import (
     DateType,
     DoubleType,
@@ -62,13 +62,18 @@ def snake_case(name: str) -> str:
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: StructType | None = None, tidy_names: bool = True
+    spark: SparkSession,
+    path: str,
+    schema: StructType | None = None,
+    tidy_names: bool = True,
+    row_id: str | None = None,
 ) -> DataFrame:
     """CSV with a header and ``NA`` as missing.
 
     With a schema the columns are matched by header name, whatever their order
     in the file; without one the types are inferred, at the price of a second
-    pass over the file.
+    pass over the file. ``row_id`` names a column to be added that grows in
+    file order, for steps where the order of rows has a meaning.
     """
     reader = spark.read.option("header", True).option("nullValue", "NA")
     if schema is None:
@@ -78,9 +83,9 @@ def read_csv(
         df = raw.select(
             *(raw[f"`{f.name}`"].cast(f.dataType).alias(f.name) for f in schema.fields)
         )
-    if not tidy_names:
-        return df
-    return df.toDF(*(snake_case(c) for c in df.columns))
+    if tidy_names:
+        df = df.toDF(*(snake_case(c) for c in df.columns))
+    return df if row_id is None else df.withColumn(row_id, F.monotonically_increasing_id())
 
 
 def read_parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
