@@ -138,3 +138,9 @@ def test_windows(spark):
     assert (stage.start_x, stage.end_x) == (2, 2)
     empty = W.stage_window(df.withColumn("value", F.lit(None).cast("double"))).first()
     assert empty.start_x is None
+
+
+def test_global_rank_over_several_partitions(spark):
+    df = spark.range(0, 5000, 1, 7).select((F.xxhash64("id") % 1000003).alias("v")).distinct()
+    got = [(r.rank, r.v) for r in W.global_rank(df, "v").orderBy("v").collect()]
+    assert [r for r, _ in got] == list(range(len(got)))

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from trialframe.session import materialize
+
 
 def group_share(
     df: DataFrame, value: str, keys: Sequence[str], of: str, out: str, positive_only: bool = True
@@ -26,6 +28,36 @@ def group_share(
     )
 
 
+def global_rank(
+    df: DataFrame, order: str, out: str = "rank", total: str | None = None
+) -> DataFrame:
+    """Place (from 0) of every row in the order of a unique column, without a one-task window.
+
+    Rows are range-partitioned and ranked inside their partition; only the
+    partition sizes, one row each, meet to give the offsets (and the number of
+    rows, as column ``total``).
+    """
+    part = F.spark_partition_id().alias("_part")
+    ranged = materialize(df.repartitionByRange(order).select("*", part))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        ranged.groupBy("_part")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .select(
+            "_part",
+            F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
+            *([F.sum("_rows").over(Window.partitionBy()).alias(total)] if total else []),
+        )
+    )
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
+    return (
+        ranged.withColumn("_inside", inside)
+        .join(offsets, "_part")
+        .withColumn(out, F.col("_offset") + F.col("_inside"))
+        .drop("_part", "_inside", "_offset")
+    )
+
+
 def relative_rate(rates: DataFrame, value: str = "rate", keys: Sequence[str] = ("family",)) -> DataFrame:
     return group_share(rates, value, keys, "max", "relative_rate")
 

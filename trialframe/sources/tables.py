@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from trialframe.operators.windows import global_rank
 
 
 def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
@@ -39,15 +41,10 @@ def spaced_offsets(
 ) -> DataFrame:
     """Evenly spaced positions over the distinct x of the table, one span per level.
 
-    The number of positions is taken from the data. Distinct x are values of a
-    sampling calendar, so ranking them in one window is a small sort.
+    The number of positions is taken from the data.
     """
     days = df.select(x).where(F.col(x).isNotNull()).distinct()
-    ranked = days.select(
-        x,
-        (F.row_number().over(Window.orderBy(x)) - 1).alias("_i"),
-        F.count(F.lit(1)).over(Window.partitionBy()).alias("_n"),
-    )
+    ranked = global_rank(days, x, "_i", total="_n")
     parts = F.array(
         *(
             F.struct(
