@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trialframe.llm.decontaminate import contamination, judged
+from trialframe.llm.secret_scan import KINDS, listed, secret_spans
 from trialframe.llm.simhash import simhash_components
 from trialframe.sources import read_parquet
 
@@ -29,6 +30,20 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_spans(read_parquet(spark, folder, "documents"))
+    base = F.filter("spans", lambda x: x["kind"] != "entropy")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in KINDS[:3]]
+    return found.select(
+        F.col("id").alias("doc_id"), *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
+    )
+
+
 @_query
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = judged(contamination(read_parquet(spark, folder, "documents"), read_parquet(spark, folder, "benchmark")))

@@ -1,0 +1,180 @@
+r"""Secret scans in DataFrame functions only: fixed patterns and sliding-window entropy.
+
+Three fixed kinds are found by pattern, leftmost and without overlap. The method
+adds kind ``entropy``: a candidate is a run of token characters; a window slides
+over it, and the counts of its characters, with the sum of n*log2(n), are carried
+from one place to the next by the one character that enters and the one that
+leaves. A candidate whose windows reach the threshold of its character class
+gives a span from the first such window to the end of the last. Candidates that
+the allow-list names are left out; spans of the fixed kinds always stay.
+
+Places are code points, ends exclusive. They come from the pieces between
+matches (``split``) and the matches (``regexp_extract_all``), which the same
+pattern cuts at the same places. Each row is worked on alone: no shuffle.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+# The patterns of the three base kinds.
+ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ASSIGN_VALUE = 6
+ACCESS = r"AKIA[A-Z0-9]{16,}"
+HEX = r"[0-9a-f]{24,}"
+
+CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+WINDOW = 20
+# Character classes in order, each with the bits a window must reach; none: never a secret.
+CLASSES = (
+    (r"^[0-9]+$", None),
+    (r"^[0-9A-Fa-f]+$", 3.0),
+    (r"^[A-Za-z]+$", 4.0),
+    (r"^[A-Za-z0-9]+$", 3.5),
+    (r"", 3.8),
+)
+# UUIDs, documentation keys, and words or path parts joined by marks.
+ALLOWED = (
+    r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
+    r"(?i)example",
+    r"^[A-Za-z]+([/_=+-]+[A-Za-z]+)*[/_=+-]*$",
+)
+KINDS = ("assign", "access", "hex", "entropy")
+
+
+def _empty(kind: str) -> Column:
+    return F.array().cast(kind)
+
+
+def _with_spans(rows: DataFrame, name: str, pattern: str) -> DataFrame:
+    """Adds ``name``: array of (start, stop, found) for every match of ``pattern`` in ``text``."""
+    found, gaps = f"{name}_found", f"{name}_gaps"
+    rows = rows.withColumn(found, F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+    rows = rows.withColumn(gaps, F.when(F.size(found) > 0, F.slice(F.split("text", pattern, -1), F.lit(1), F.size(found))))
+    steps = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"), m.alias("found")))
+    kind = "array<struct<start:int,stop:int,found:string>>"
+    placed = F.aggregate(
+        steps,
+        F.struct(F.lit(0).alias("at"), _empty(kind).alias("out")),
+        lambda s, x: F.struct(
+            (s["at"] + x["gap"] + x["size"]).alias("at"),
+            F.concat(
+                s["out"],
+                F.array(F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + x["size"]).alias("stop"), x["found"].alias("found"))),
+            ).alias("out"),
+        ),
+        lambda s: s["out"],
+    )
+    return rows.withColumn(name, F.when(F.size(found) > 0, placed).otherwise(_empty(kind))).drop(found, gaps)
+
+
+def _bits_needed(candidate: Column) -> Column:
+    out = F.lit(None).cast("double")
+    for pattern, bits in reversed(CLASSES):
+        out = F.when(candidate.rlike(pattern), F.lit(bits).cast("double")).otherwise(out)
+    for pattern in ALLOWED:
+        out = F.when(candidate.rlike(pattern), F.lit(None).cast("double")).otherwise(out)
+    return out
+
+
+def entropy_reach(candidate: Column, bits: Column, window: int = WINDOW) -> Column:
+    """(first, last): start of the first and end of the last window of ``candidate`` with at least ``bits``; -1 if none."""
+    codes = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+
+    def part(n: Column) -> Column:  # n * log2(n)
+        return F.when(n < 2, F.lit(0.0)).otherwise(n * F.log2(n.cast("double")))
+
+    def step(codes: Column):
+        def move(s: Column, i: Column) -> Column:
+            comes = F.get(codes, i)
+            goes = F.coalesce(F.get(codes, i - window), F.lit(0))  # place 0 counts nothing
+            n_in, n_out = F.get(s["counts"], comes), F.get(s["counts"], goes)
+            change = F.when(comes == goes, F.lit(0.0)).otherwise(
+                part(n_in + 1) - part(n_in) + F.when(goes > 0, part(n_out - 1) - part(n_out)).otherwise(0.0)
+            )
+            total = s["total"] + change
+            counts = F.transform(s["counts"], lambda n, k: n + (k == comes).cast("int") - ((k == goes) & (k > 0)).cast("int"))
+            high = (i >= window - 1) & (F.lit(window).cast("double") * (F.log2(F.lit(float(window))) - bits) - total >= -1e-9)
+            return F.struct(
+                counts.alias("counts"),
+                total.alias("total"),
+                F.when(high & (s["first"] < 0), i - window + 1).otherwise(s["first"]).alias("first"),
+                F.when(high, i + 1).otherwise(s["last"]).alias("last"),
+            )
+
+        return move
+
+    start = F.struct(
+        F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0.0).alias("total"), F.lit(-1).alias("first"), F.lit(-1).alias("last")
+    )
+    # The one-element array names the codes, so that they are made once for a candidate.
+    return F.element_at(
+        F.transform(
+            F.array(codes),
+            lambda own: F.aggregate(
+                F.sequence(F.lit(0), F.size(own) - 1),
+                start,
+                step(own),
+                lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")),
+            ),
+        ),
+        1,
+    )
+
+
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, spans): spans are (start, stop, kind) in order of start, then of ``KINDS``.
+
+    A null text counts as empty and comes back as null. Rows with equal ids each
+    keep their row; other columns of ``docs`` are not looked at. An empty table
+    gives an empty one.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("given"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("entropy", CANDIDATE)):
+        rows = _with_spans(rows, name, pattern)
+    values = F.when(F.size("assign") > 0, F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)))
+    rows = rows.withColumn("values", values)
+    kept = F.filter("assign", lambda x, i: F.length(F.get("values", i)) >= ASSIGN_VALUE)
+    reach = F.transform(
+        F.filter("entropy", lambda x: _bits_needed(x["found"]).isNotNull()),
+        lambda x: F.struct(x["start"].alias("start"), entropy_reach(x["found"], _bits_needed(x["found"])).alias("reach")),
+    )
+    high = F.filter(reach, lambda x: x["reach"]["first"] >= 0)
+    rows = rows.withColumn("assign", kept).withColumn("reach", F.when(F.size("entropy") > 0, high))
+
+    def tagged(name: str, kind: int) -> Column:
+        return F.transform(name, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["stop"].alias("stop")))
+
+    entropy = F.transform(
+        "reach",
+        lambda x: F.struct(
+            (x["start"] + x["reach"]["first"]).alias("start"), F.lit(3).alias("kind"), (x["start"] + x["reach"]["last"]).alias("stop")
+        ),
+    )
+    empty = _empty("array<struct<start:int,kind:int,stop:int>>")
+    all_ = F.array_sort(F.concat(tagged("assign", 0), tagged("access", 1), tagged("hex", 2), F.coalesce(entropy, empty)))
+    names = F.array(*map(F.lit, KINDS))
+    spans = F.transform(all_, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), F.element_at(names, x["kind"] + 1).alias("kind")))
+    return rows.select("id", F.col("given").alias("text"), spans.alias("spans"))
+
+
+def listed(spans: Column) -> Column:
+    """``kind:start:end`` of every span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])), ",")
+
+
+def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
+    """The text with every maximal covered run of ``spans`` replaced by ``mark``."""
+    done = F.aggregate(
+        spans,
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda s, x: F.struct(
+            F.greatest(s["at"], x["stop"]).alias("at"),
+            F.when((x["start"] >= s["at"]) & ((x["start"] > s["at"]) | (s["at"] == 0)), F.concat(s["out"], F.substr(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mark)))
+            .otherwise(s["out"])
+            .alias("out"),
+        ),
+        lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)),
+    )
+    return F.when(F.size(spans) > 0, done).otherwise(text)
