@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from trialframe.llm.decontaminate import contamination, judged
 from trialframe.llm.secret_scan import KINDS, listed, secret_spans
 from trialframe.llm.simhash import simhash_components
+from trialframe.llm.winnow import edited_fingerprints
 from trialframe.sources import read_parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +86,17 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+@_query
+def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    found = edited_fingerprints(read_parquet(spark, folder, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        F.col("digest").alias("fingerprint"),
+        F.col("edited_digest").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
