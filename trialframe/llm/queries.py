@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trialframe.llm.decontaminate import contamination, judged
+from trialframe.llm.pieces import decode, encode
 from trialframe.llm.secret_scan import KINDS, listed, secret_spans
 from trialframe.llm.simhash import simhash_components
 from trialframe.llm.winnow import edited_fingerprints
@@ -15,12 +16,26 @@ from trialframe.sources import read_parquet
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def _query(build):
     QUERIES[build.__name__] = build
     return build
 
 
+@_query
+def op2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    found = decode(encode(read_parquet(spark, folder, "documents"), PIECE_MODEL), PIECE_MODEL)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        "ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 @_query
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash_components(read_parquet(spark, folder, "documents"), words=3, radius=2, seed=42)
