@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from trialframe.llm._learning import held_out
 from trialframe.llm.decontaminate import contamination, judged
+from trialframe.llm.language import fit_language, predict_language
 from trialframe.llm.pieces import decode, encode
 from trialframe.llm.secret_scan import KINDS, listed, secret_spans
 from trialframe.llm.simhash import simhash_components
+from trialframe.llm.toxicity import fit_toxicity, score_toxicity
 from trialframe.llm.winnow import edited_fingerprints
 from trialframe.sources import read_parquet
 
@@ -24,6 +27,15 @@ def _query(build):
     return build
 
 
+@_query
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_parquet(spark, folder, "documents")
+    model = fit_toxicity(docs, read_parquet(spark, folder, "labels"))
+    return score_toxicity(docs, model).select(
+        F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 @_query
 def op2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     found = decode(encode(read_parquet(spark, folder, "documents"), PIECE_MODEL), PIECE_MODEL)
@@ -36,6 +48,14 @@ def op2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query
+def op3_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_parquet(spark, folder, "documents")
+    return predict_language(docs, fit_language(docs)).select(
+        F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score"
+    )
+
+
 @_query
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash_components(read_parquet(spark, folder, "documents"), words=3, radius=2, seed=42)
