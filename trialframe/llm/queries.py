@@ -10,9 +10,11 @@ from trialframe.llm._learning import held_out
 from trialframe.llm.decontaminate import contamination, judged
 from trialframe.llm.language import fit_language, predict_language
 from trialframe.llm.pieces import decode, encode
+from trialframe.llm.quality import fit_quality, score_quality
 from trialframe.llm.secret_scan import KINDS, listed, secret_spans
 from trialframe.llm.simhash import simhash_components
 from trialframe.llm.toxicity import fit_toxicity, score_toxicity
+from trialframe.llm.url_rules import judge_urls
 from trialframe.llm.winnow import edited_fingerprints
 from trialframe.sources import read_parquet
 
@@ -56,6 +58,12 @@ def op3_language(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query
+def op4_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = judge_urls(read_parquet(spark, folder, "pages"), read_parquet(spark, folder, "labels"))
+    return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "confidence")
+
+
 @_query
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash_components(read_parquet(spark, folder, "documents"), words=3, radius=2, seed=42)
@@ -66,6 +74,20 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_parquet(spark, folder, "documents")
+    model = fit_quality(docs, read_parquet(spark, folder, "labels"))
+    return score_quality(docs, model).select(
+        F.col("id").alias("doc_id"),
+        held_out("id").alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "score_text",
+        "score_meta",
+    )
+
+
 @_query
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = secret_spans(read_parquet(spark, folder, "documents"))
