@@ -11,6 +11,7 @@ from trialframe.llm.decontaminate import contamination, judged
 from trialframe.llm.language import fit_language, predict_language
 from trialframe.llm.pieces import decode, encode
 from trialframe.llm.quality import fit_quality, score_quality
+from trialframe.llm.repeats import without_repeats
 from trialframe.llm.secret_scan import KINDS, listed, secret_spans
 from trialframe.llm.simhash import simhash_components
 from trialframe.llm.toxicity import fit_toxicity, score_toxicity
@@ -64,6 +65,14 @@ def op4_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "confidence")
 
 
+@_query
+def op5_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    found = without_repeats(read_parquet(spark, folder, "documents"), length=100)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @_query
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash_components(read_parquet(spark, folder, "documents"), words=3, radius=2, seed=42)
