@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trialframe.llm._arrays import as_text
+from trialframe.llm._arrays import as_text, list_array
 from trialframe.llm.components import connected
 from trialframe.session import materialize
 
@@ -274,3 +274,63 @@ def simhash_components(
     )
     least = placed.groupBy("root").agg(F.min("least").alias("component"))
     return rows.join(placed.join(least, "root").select("fp", "component"), "fp").select("id", "fp", "component")
+
+
+def shingle_sets(rows: DataFrame, words: int, seed: int) -> DataFrame:
+    """(id, shingles): the distinct shingle hashes of each text. ``rows`` has (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = as_text(batch.column(1)).cast(pa.large_binary())
+            for start in range(0, len(texts), 512):
+                found = [np.unique(shingle_hashes(t.as_py(), words, seed)).view(np.int64) for t in texts.slice(start, 512)]
+                values = pa.array(np.concatenate(found) if found else np.empty(0, np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(start, 512), list_array([len(x) for x in found], values)], names=["id", "shingles"]
+                )
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, shingles array<bigint>")
+
+
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 28
+) -> DataFrame:
+    """The rows of ``docs`` with one document left of each group of near-duplicates: the one with the smallest id.
+
+    Two documents belong together if the Jaccard similarity of their sets of
+    ``words``-word shingles is at least ``similarity``, or through others.
+    Candidates are pairs whose 128-bit SimHash (two seeds, each shingle once)
+    differs in at most ``radius`` bits: at similarity 0.8 some 19.5 of 128 bits
+    are expected to differ, with a deviation of 4. A minimal spanning forest of
+    the candidates by distance is kept, and each of its links is then checked by
+    the exact similarity. Documents with equal fingerprints belong together.
+
+    Null texts and texts without words are copies of each other. Of rows that
+    repeat in id and text one stays. A null id comes after all others. All
+    columns of ``docs`` are returned as they are.
+    """
+    uid = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.length(F.coalesce(text_col, F.lit(""))).cast("string"), text_col))
+    key = "_near_duplicate_uid"
+    named = docs.withColumn(key, uid)
+    rows = named.select(F.struct(F.col(key).alias("uid"), F.col(id_col).alias("own")).alias("id"), F.col(text_col).alias("text"))
+    prints = fingerprints(rows, "id", "text", words, (42, 43), distinct=True).select("id.uid", "id.own", "fp0", "fp1")
+    prints = materialize(prints)
+    place = F.struct(F.col("own").isNull().alias("last"), "own", "uid")
+    groups = materialize(prints.groupBy("fp0", "fp1").agg(F.min(place).alias("least")))
+    links = materialize(links_in_grid(groups.select(F.col("least.uid").alias("id"), "fp0", "fp1"), ["fp0", "fp1"], radius))
+    ends = links.select(F.explode(F.array("a", "b")).alias(key)).distinct()
+    sets = shingle_sets(named.join(ends, key, "left_semi").select(F.col(key).alias("id"), F.col(text_col).alias("text")), words, 42)
+    a, b = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"shingles_{c}")) for c in "ab")
+    shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    either = F.size("shingles_a") + F.size("shingles_b") - shared
+    sure = links.join(a, "a").join(b, "b").where(shared >= similarity * either).select("a", "b").distinct()
+    roots = connected(sure)
+    placed = groups.join(roots, F.col("least.uid") == F.col("node"), "left").select("fp0", "fp1", "least", F.coalesce("root", "least.uid").alias("root"))
+    kept = placed.groupBy("root").agg(F.min("least").alias("kept"))
+    stays = placed.join(kept, "root").select("fp0", "fp1", F.col("kept.uid").alias("kept"))
+    gone = materialize(prints.join(stays, ["fp0", "fp1"]).where("uid <> kept").select(F.col("uid").alias(key)).distinct())
+    out = named.join(gone, key, "left_anti")
+    if prints.groupBy("uid").count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates([key])
+    return out.select(docs.columns)
