@@ -179,13 +179,13 @@ def spanning_forest(i: np.ndarray, j: np.ndarray, cost: np.ndarray) -> np.ndarra
     return np.array(kept, np.int64)
 
 
-def links_in_grid(fps: DataFrame, columns: list[str], radius: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def links_in_grid(fps: DataFrame, columns: list[str], radius: int, block_rows: int = BLOCK_ROWS, nearest: int = 0) -> DataFrame:
     """Links (a, b, distance) between rows (id, *columns) whose fingerprints differ in at most ``radius`` bits together.
 
     Rows are laid out by population count in blocks of about ``block_rows``; each
     pair of blocks within the radius is one task's tile. From every tile the links
-    of a minimal spanning forest are kept: at any smaller radius the components
-    are those of all links.
+    of a minimal spanning forest are kept, so that at any smaller radius the
+    components are those of all links, and the ``nearest`` links of each row.
     """
     spark = fps.sparkSession
     fps = materialize(fps.select("id", *columns, sum(F.bit_count(c) for c in columns).alias("pop")))
@@ -224,19 +224,19 @@ def links_in_grid(fps: DataFrame, columns: list[str], radius: int, block_rows: i
         values = [np.ascontiguousarray(table[c].to_numpy()).view(np.uint64) for c in columns]
         cut = int(np.searchsorted(block, block[0], "right"))
         same = cut == len(block)
-        i, j, d = _near(values, pop, slice(0, cut), slice(0, cut) if same else slice(cut, len(block)), same, radius)
-        kept = spanning_forest(i, j, d) if len(i) else np.empty(0, np.int64)
+        i, j, d = _near(values, pop, slice(0, cut), slice(0, cut) if same else slice(cut, len(block)), same, radius, nearest)
         ids = table["id"].combine_chunks()
-        return pa.table({"a": ids.take(pa.array(i[kept])), "b": ids.take(pa.array(j[kept])), "distance": pa.array(d[kept].astype(np.int32))})
+        return pa.table({"a": ids.take(pa.array(i)), "b": ids.take(pa.array(j)), "distance": pa.array(d.astype(np.int32))})
 
     return tiles.groupBy("tile").applyInArrow(run, f"a {id_type}, b {id_type}, distance int")
 
 
-def _near(values, pop, rows: slice, others: slice, same: bool, radius: int, high: int = 64, wide: int = 2048):
-    """Places and distances of the pairs within the radius, by sub-tiles whose population counts allow it."""
-    found = []
+def _near(values, pop, rows: slice, others: slice, same: bool, radius: int, nearest: int, high: int = 64, wide: int = 2048):
+    """Places and distances of the links that ``_thinned`` keeps, by sub-tiles whose population counts allow them."""
+    held = (np.empty(0, np.int64),) * 3
     for a in range(rows.start, rows.stop, high):
         top = min(a + high, rows.stop)
+        found = []
         for b in range(others.start if not same else a - (a - rows.start) % wide, others.stop, wide):
             end = min(b + wide, others.stop)
             if pop[b] - pop[top - 1] > radius or pop[a] - pop[end - 1] > radius:
@@ -246,13 +246,29 @@ def _near(values, pop, rows: slice, others: slice, same: bool, radius: int, high
                 d = d + np.bitwise_count(v[a:top, None] ^ v[None, b:end])
             i, j = np.nonzero(d <= radius)
             if len(i):
-                gi, gj, gd = a + i, b + j, d[i, j]
+                gi, gj, gd = a + i, b + j, d[i, j].astype(np.int64)
                 ahead = gi < gj if same else slice(None)
                 found.append((gi[ahead], gj[ahead], gd[ahead]))
-    if not found:
-        empty = np.empty(0, np.int64)
-        return empty, empty, empty
-    return tuple(np.concatenate(x) for x in zip(*found))
+        if found:
+            stripe = tuple(np.concatenate(x) for x in zip(*found))
+            held = tuple(np.concatenate(x) for x in zip(held, _thinned(*stripe, nearest)))
+            if len(held[0]) > 1 << 19:  # what one pass over the stripes drops, another may too
+                held = _thinned(*held, nearest)
+    return _thinned(*held, nearest)
+
+
+def _thinned(i: np.ndarray, j: np.ndarray, d: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The links of a minimal spanning forest, and of each end the ``nearest`` ones."""
+    if not len(i):
+        return i, j, d
+    kept = np.zeros(len(i), bool)
+    kept[spanning_forest(i, j, d)] = True
+    if nearest:
+        node, link = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
+        order = np.lexsort((np.concatenate([j, i]), np.tile(d, 2), node))
+        first = np.searchsorted(node[order], node[order])
+        kept[link[order[np.arange(len(order)) - first < nearest]]] = True
+    return i[kept], j[kept], d[kept]
 
 
 def simhash_components(
@@ -294,7 +310,7 @@ def shingle_sets(rows: DataFrame, words: int, seed: int) -> DataFrame:
 
 
 def drop_near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 28
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 28, nearest: int = 4
 ) -> DataFrame:
     """The rows of ``docs`` with one document left of each group of near-duplicates: the one with the smallest id.
 
@@ -302,9 +318,11 @@ def drop_near_duplicates(
     ``words``-word shingles is at least ``similarity``, or through others.
     Candidates are pairs whose 128-bit SimHash (two seeds, each shingle once)
     differs in at most ``radius`` bits: at similarity 0.8 some 19.5 of 128 bits
-    are expected to differ, with a deviation of 4. A minimal spanning forest of
-    the candidates by distance is kept, and each of its links is then checked by
-    the exact similarity. Documents with equal fingerprints belong together.
+    are expected to differ, with a deviation of 4. Of the candidates a minimal
+    spanning forest by distance and the ``nearest`` of each document are kept in
+    every tile, and each of these links is checked by the exact similarity. A
+    crowd of n near-copies so gives some n checks, not n squared. Documents with
+    equal fingerprints belong together.
 
     Null texts and texts without words are copies of each other. Of rows that
     repeat in id and text one stays. A null id comes after all others. All
@@ -318,7 +336,7 @@ def drop_near_duplicates(
     prints = materialize(prints)
     place = F.struct(F.col("own").isNull().alias("last"), "own", "uid")
     groups = materialize(prints.groupBy("fp0", "fp1").agg(F.min(place).alias("least")))
-    links = materialize(links_in_grid(groups.select(F.col("least.uid").alias("id"), "fp0", "fp1"), ["fp0", "fp1"], radius))
+    links = materialize(links_in_grid(groups.select(F.col("least.uid").alias("id"), "fp0", "fp1"), ["fp0", "fp1"], radius, nearest=nearest))
     ends = links.select(F.explode(F.array("a", "b")).alias(key)).distinct()
     sets = shingle_sets(named.join(ends, key, "left_semi").select(F.col(key).alias("id"), F.col(text_col).alias("text")), words, 42)
     a, b = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"shingles_{c}")) for c in "ab")
