@@ -87,6 +87,8 @@ def make_pieces(spelled: dict[bytes, int], scores: np.ndarray, byte_piece: np.nd
             beside[list(text)] = True
     alone = ~beside
     alone[0x80:] = False
+    byte_piece = byte_piece.copy()
+    byte_piece[MARK] = byte_piece[0x20]  # where the marker itself is no piece
     units = np.round(scores * SCALE).astype(np.int64)
     unknown = int(units[list(spelled.values())].min() - UNKNOWN_PENALTY * SCALE)
     return Pieces(
@@ -310,4 +312,4 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
                     [*(batch.column(k).slice(row, 256) for k in range(len(names))), column], names=[*names, "decoded"]
                 )
 
-    return rows.mapInArrow(run, rows.withColumn("decoded", F.lit("")).schema)
+    return rows.mapInArrow(run, rows.withColumn("decoded", F.lit(None).cast("string")).schema)

@@ -98,14 +98,14 @@ def _spread(ids: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 def _anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(anchor, segment, id, lo, size, off, copy): segments of each chunk, later copies within the chunk marked."""
+    """(anchor, segment, id, tag, lo, size, off, copy): segments of each chunk, later copies within the chunk marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, column in chunks(batch):
                 data, at = text_bytes(column)
                 key, whole, row, lo, hi, anchor = segments(data, at, length, gram)
-                ids = part.column(0).to_numpy()[row]
+                ids, tags = (part.column(k).to_numpy()[row] for k in (0, 2))
                 place = lo - at[row]
                 first = first_of_each((whole, key), ids, place)
                 later = np.flatnonzero(~first)
@@ -119,21 +119,22 @@ def _anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
                         pa.array(np.concatenate([key[first].view(np.int64), _spread(ids[a], place[a])])),
                         pa.array(np.concatenate([whole[first].view(np.int64), np.zeros(len(a), np.int64)])),
                         pa.array(np.concatenate([ids[first], ids[a]])),
+                        pa.array(np.concatenate([tags[first], tags[a]])),
                         pa.array(np.concatenate([place[first], place[a]])),
                         pa.array(np.concatenate([(hi - lo)[first], hi[b] - lo[a]]).astype(np.int32)),
                         pa.array(np.concatenate([(anchor - lo)[first], np.zeros(len(a), np.int64)]).astype(np.int32)),
                         pa.array(np.concatenate([np.zeros(int(first.sum()), bool), np.ones(len(a), bool)])),
                     ],
-                    names=["anchor", "segment", "id", "lo", "size", "off", "copy"],
+                    names=["anchor", "segment", "id", "tag", "lo", "size", "off", "copy"],
                 )
 
-    return docs.mapInArrow(run, "anchor bigint, segment bigint, id bigint, lo bigint, size int, off int, copy boolean")
+    return docs.mapInArrow(run, "anchor bigint, segment bigint, id bigint, tag bigint, lo bigint, size int, off int, copy boolean")
 
 
 def _cut(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """(key, id, lo, n, bytes): the strings of differing segments, cut by place of the anchor and common bytes.
+    """(key, id, tag, lo, n, bytes): the strings of differing segments, cut by place of the anchor and common bytes.
 
-    ``rows`` has (id, text, open) with open: (lo, size, off) of its segments. A
+    ``rows`` has (id, text, tag, open) with open: (lo, size, off) of its segments. A
     later copy of a whole cut, within a chunk, has null bytes.
     """
 
@@ -141,7 +142,7 @@ def _cut(rows: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             for part, column in chunks(batch):
                 data, at = text_bytes(column)
-                lists = part.column(2)
+                lists = part.column(3)
                 row = np.repeat(np.arange(len(part)), np.diff(lists.offsets.to_numpy()))
                 lo, size, off = (lists.flatten().field(k).to_numpy() for k in range(3))
                 lo = lo + at[row]
@@ -155,17 +156,18 @@ def _cut(rows: DataFrame, length: int, gram: int) -> DataFrame:
                     key = mixed(hashed(anchor[own], anchor[own] + gram) ^ mixed(hashed(common, common + length - CUT + 1) + np.uint64(q)))
                     pieces.append((key, a, b, row[own]))
                 key, a, b, row = (np.concatenate(x) for x in zip(*pieces))
-                ids, place = part.column(0).to_numpy()[row], a - at[row]
+                ids, tags = (part.column(k).to_numpy()[row] for k in (0, 2))
+                place = a - at[row]
                 first = first_of_each((hashed(a, b + length), key), ids, place)
                 key = np.where(first, key.view(np.int64), _spread(ids, place))
                 whole = data.tobytes()
                 texts = [whole[x:y] if f else None for x, y, f in zip(a.tolist(), (b + length).tolist(), first.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(ids), pa.array(place), pa.array((b - a + 1).astype(np.int32)), pa.array(texts, pa.binary())],
-                    names=["key", "id", "lo", "n", "bytes"],
+                    [pa.array(key), pa.array(ids), pa.array(tags), pa.array(place), pa.array((b - a + 1).astype(np.int32)), pa.array(texts, pa.binary())],
+                    names=["key", "id", "tag", "lo", "n", "bytes"],
                 )
 
-    return rows.mapInArrow(run, "key bigint, id bigint, lo bigint, n int, bytes binary")
+    return rows.mapInArrow(run, "key bigint, id bigint, tag bigint, lo bigint, n int, bytes binary")
 
 
 def ranks(text: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
@@ -221,7 +223,7 @@ def previous_factors(place: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def _copies(cuts: DataFrame, length: int) -> DataFrame:
-    """(id, start, stop): bytes of strings that start earlier elsewhere."""
+    """(id, tag, start, stop): bytes of strings that start earlier elsewhere."""
     dealt = cuts.repartition("key").sortWithinPartitions("key")
 
     def judged(table: pa.Table) -> pa.RecordBatch:
@@ -230,8 +232,8 @@ def _copies(cuts: DataFrame, length: int) -> DataFrame:
         met = np.zeros(len(key), bool)
         met[1:] = key[1:] == key[:-1]
         met[:-1] |= met[1:].copy()
-        ids, lo, n = table["id"].to_numpy(), table["lo"].to_numpy(), table["n"].to_numpy()
-        starts, stops, of = [lo[known]], [lo[known] + n[known] - 1 + length], [ids[known]]
+        ids, tags, lo, n = (table[c].to_numpy() for c in ("id", "tag", "lo", "n"))
+        starts, stops, of = [lo[known]], [lo[known] + n[known] - 1 + length], [np.flatnonzero(known)]
         rows = np.flatnonzero(met & ~known)
         if len(rows):
             texts = table["bytes"].take(pa.array(rows)).combine_chunks().cast(pa.large_binary())
@@ -259,8 +261,10 @@ def _copies(cuts: DataFrame, length: int) -> DataFrame:
             last = np.flatnonzero(gone & ((flips[1:] == -1) | edge[1:]))
             starts.append(lo[rows][row[first]] + step[first])
             stops.append(lo[rows][row[last]] + step[last] + length)
-            of.append(ids[rows][row[first]])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (of, starts, stops)], names=["id", "start", "stop"])
+            of.append(rows[row[first]])
+        own = np.concatenate(of)
+        arrays = [ids[own], tags[own], np.concatenate(starts), np.concatenate(stops)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["id", "tag", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -277,7 +281,7 @@ def _copies(cuts: DataFrame, length: int) -> DataFrame:
         if held:
             yield judged(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(run, "id bigint, start bigint, stop bigint")
+    return dealt.mapInArrow(run, "id bigint, tag bigint, start bigint, stop bigint")
 
 
 def _without(rows: DataFrame) -> DataFrame:
@@ -323,6 +327,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("the anchor must be shorter than the string by more than a cut")
     least = F.lit(-(1 << 63))
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), least).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # Rows that share an id are told apart by their text; without such rows the tag is a constant.
+    repeated = rows.groupBy("id").count().where("count > 1").limit(1).count()
+    rows = rows.withColumn("tag", F.xxhash64("text") if repeated else F.lit(0).cast("bigint"))
     found = _anchored(rows, length, gram)
     by_segment, by_anchor = Window.partitionBy("anchor", "segment"), Window.partitionBy("anchor")
     found = (
@@ -335,17 +342,17 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .where("gone or differ")
     )
     marks = materialize(
-        found.groupBy("id").agg(
+        found.groupBy("id", "tag").agg(
             F.collect_list(
                 F.when(F.col("gone"), F.struct(F.col("lo").alias("start"), (F.col("lo") + F.col("size") + length).alias("stop")))
             ).alias("copies"),
             F.collect_list(F.when(~F.col("gone"), F.struct("lo", "size", "off"))).alias("open"),
         )
     )
-    open_ = rows.join(marks.where(F.size("open") > 0).select("id", "open"), "id")
-    more = _copies(_cut(open_.select("id", "text", "open"), length, gram), length)
-    more = more.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("more"))
+    open_ = rows.join(marks.where(F.size("open") > 0).select("id", "tag", "open"), ["id", "tag"])
+    more = _copies(_cut(open_.select("id", "text", "tag", "open"), length, gram), length)
+    more = more.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("more"))
     none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
-    every = rows.join(marks.select("id", "copies"), "id", "left").join(more, "id", "left")
+    every = rows.join(marks.select("id", "tag", "copies"), ["id", "tag"], "left").join(more, ["id", "tag"], "left")
     out = _without(every.select("id", "text", F.concat(F.coalesce("copies", none), F.coalesce("more", none)).alias("found")))
     return out.withColumn("id", F.nullif("id", least))
