@@ -408,8 +408,8 @@ def _cubic_terms():
 
 def flag_cells(spark, folder):
     """Quantity by status and day, one family per return flag."""
-    flags = {f: F.when(F.col("l_returnflag") == f, F.col("l_quantity")) for f in ("A", "N", "R")}
-    return materialize(cell_stats(lineitem(spark, folder), flags, "l_linestatus", "day"))
+    rows = lineitem(spark, folder)
+    return materialize(cell_stats(rows, {"": "l_quantity"}, "l_linestatus", "day", segment="l_returnflag"))
 
 
 @register(

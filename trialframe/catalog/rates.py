@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trialframe.catalog.base import register, table
 from trialframe.catalog.linear import DAY_OBS, LINES, OBS, day_lines, line_cells
 from trialframe.catalog.means import MEANS
-from trialframe.catalog.standins import BREAKS, DAY_SQL, lineitem
+from trialframe.catalog.standins import DAY_SQL, lineitem
 from trialframe.functions import scalar as S
 from trialframe.operators import charts as V
 from trialframe.operators import means as M
@@ -23,8 +23,7 @@ def event_means(spark, folder):
     """family = event type, treatment = half of the users, x = day of the month."""
     events = table(spark, folder, "events").withColumn("day", F.dayofmonth("ts"))
     half = F.when(F.col("user_id") % 2 == 0, "Cold").otherwise("Room")
-    kinds = {k: F.when(F.col("event_type") == k, F.col("value")) for k in BREAKS}
-    cells = cell_stats(events, kinds, half, "day")
+    cells = cell_stats(events, {"": "value"}, half, "day", segment="event_type")
     return cells.select("family", "treatment", "x", F.col("mean").alias("value"))
 
 
@@ -306,7 +305,7 @@ def smooth_quadratic_query(spark, folder):
     "stack_bounds",
     exact=["family", "treatment", "x"],
     sig=["lower", "upper"],
-    sql=f"""WITH {EVENT_MEANS}, o AS (SELECT *, list_position(['view', 'click', 'signup', 'error'], family) AS k FROM ev WHERE family <> 'purchase'),
+    sql=f"""WITH {EVENT_MEANS}, o AS (SELECT *, CASE WHEN family = 'purchase' THEN 5 ELSE list_position(['view', 'click', 'signup', 'error'], family) END AS k FROM ev),
 s AS (SELECT *, sum(value) OVER (PARTITION BY treatment, x ORDER BY k) AS upper FROM o) SELECT *, upper - value AS lower FROM s""",
 )
 def stack_bounds_query(spark, folder):

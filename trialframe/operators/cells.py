@@ -8,7 +8,7 @@ the hash table has one entry per cell, and raw rows are never multiplied.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -18,31 +18,60 @@ def _pairs(responses: Mapping[str, str | Column] | Sequence[str]):
     if not isinstance(responses, Mapping):
         responses = {name: name for name in responses}
     return [
-        (name, (F.col(e) if isinstance(e, str) else e).cast("double"))
-        for name, e in responses.items()
+        (name, _number(F.col(e) if isinstance(e, str) else e)) for name, e in responses.items()
     ]
 
 
-# Responses per aggregate: more aggregation buffers would leave whole-stage codegen.
+def _number(e: Column) -> Column:
+    """As double; NaN is a missing value."""
+    return F.nanvl(e.cast("double"), F.lit(None).cast("double"))
+
+
+# Responses side by side in one aggregate: more buffers would leave whole-stage codegen.
 _CELL_BLOCK = 8
 _LINE_BLOCK = 5
 
 
-def _in_blocks(build, pairs, size: int) -> DataFrame:
-    """Many responses as a union of blocks; each block scans only its own columns."""
-    blocks = [dict(pairs[i : i + size]) for i in range(0, len(pairs), size)]
-    return reduce(DataFrame.unionByName, [build(block) for block in blocks])
+def _column(e: str | Column) -> Column:
+    return F.col(e) if isinstance(e, str) else e
 
 
-def _unfold(df: DataFrame, names: Sequence[str], keys: Sequence[str], present: str) -> DataFrame:
-    parts = F.array(
-        *(F.struct(F.lit(n).alias("family"), F.col(f"_s{i}").alias("s")) for i, n in enumerate(names))
-    )
-    return (
-        df.select(*keys, F.inline(parts))
-        .select("family", *keys, "s.*")
-        .where(F.col(present) > 0)
-    )
+def _aggregated(
+    df: DataFrame,
+    pairs: list[tuple[str, Column]],
+    keys: dict[str, Column],
+    segment: str | Column | None,
+    inputs: dict[str, Column],
+    statistics: Callable[[str], Column],
+    block: int,
+) -> DataFrame:
+    """family, keys and statistics of every response, from one scan.
+
+    Up to ``block`` responses are aggregated side by side and unfolded
+    afterwards; more are unfolded into rows before the aggregation, in the same
+    scan. A segment is one more grouping column.
+    """
+    groups = dict(keys)
+    if segment is not None:
+        groups["_segment"] = _column(segment).cast("string")
+    rows = df.select(
+        *(c.alias(name) for name, c in groups.items()),
+        *(c.alias(name) for name, c in inputs.items()),
+        *(e.alias(f"_y{i}") for i, (_, e) in enumerate(pairs)),
+    ).where(reduce(Column.__and__, [F.col(c).isNotNull() for c in (*groups, *inputs)], F.lit(True)))
+    names = [name for name, _ in pairs]
+    if len(pairs) <= block:
+        wide = rows.groupBy(*groups).agg(*(statistics(f"_y{i}").alias(f"_s{i}") for i in range(len(pairs))))
+        parts = F.array(*(F.struct(F.lit(n).alias("family"), F.col(f"_s{i}").alias("s")) for i, n in enumerate(names)))
+        long = wide.select(*groups, F.inline(parts))
+    else:
+        parts = F.array(*(F.struct(F.lit(n).alias("family"), F.col(f"_y{i}").alias("_y")) for i, n in enumerate(names)))
+        tall = rows.select(*groups, *inputs, F.inline(parts)).where(F.col("_y").isNotNull())
+        long = tall.groupBy("family", *groups).agg(statistics("_y").alias("s"))
+    if segment is not None:
+        joined = F.concat_ws(":", F.col("family"), F.col("_segment"))
+        long = long.withColumn("family", F.when(F.col("family") == "", F.col("_segment")).otherwise(joined))
+    return long.select("family", *keys, "s.*").where(F.col("n") > 0)
 
 
 def cell_stats(
@@ -50,32 +79,26 @@ def cell_stats(
     responses: Mapping[str, str | Column] | Sequence[str],
     treatment: str | Column = "treatment",
     x: str | Column = "x",
+    segment: str | Column | None = None,
 ) -> DataFrame:
     """family, treatment, x -> n, mean, ss (sum of squares about the cell mean).
 
-    Rows with a missing treatment, x or response take no part, as in a model fit.
+    Rows with a missing treatment, x, segment or response take no part, as in a
+    model fit; NaN is missing. With a ``segment`` there is one family for each
+    response and value of the segment, ``response:segment``, or the segment alone
+    where the response is named ``""``.
     """
-    pairs = _pairs(responses)
-    if len(pairs) > _CELL_BLOCK:
-        return _in_blocks(lambda some: cell_stats(df, some, treatment, x), pairs, _CELL_BLOCK)
-    treatment = F.col(treatment) if isinstance(treatment, str) else treatment
-    x = F.col(x) if isinstance(x, str) else x
-    rows = df.select(
-        treatment.alias("treatment"),
-        x.alias("x"),
-        *(e.alias(f"_y{i}") for i, (_, e) in enumerate(pairs)),
-    ).where(F.col("treatment").isNotNull() & F.col("x").isNotNull())
-    wide = rows.groupBy("treatment", "x").agg(
-        *(
-            F.struct(
-                F.count(f"_y{i}").alias("n"),
-                F.avg(f"_y{i}").alias("mean"),
-                (F.var_pop(f"_y{i}") * F.count(f"_y{i}")).alias("ss"),
-            ).alias(f"_s{i}")
-            for i in range(len(pairs))
+    x = _column(x)
+    if df.select(x).dtypes[0][1] in ("double", "float"):
+        x = F.nanvl(x, F.lit(None))
+    keys = {"treatment": _column(treatment), "x": x}
+
+    def statistics(y: str) -> Column:
+        return F.struct(
+            F.count(y).alias("n"), F.avg(y).alias("mean"), (F.var_pop(y) * F.count(y)).alias("ss")
         )
-    )
-    return _unfold(wide, [n for n, _ in pairs], ["treatment", "x"], "n")
+
+    return _aggregated(df, _pairs(responses), keys, segment, {}, statistics, _CELL_BLOCK)
 
 
 def line_moments(
@@ -83,34 +106,25 @@ def line_moments(
     responses: Mapping[str, str | Column] | Sequence[str],
     x: str | Column = "x",
     treatment: str | Column | None = "treatment",
+    segment: str | Column | None = None,
 ) -> DataFrame:
-    """family[, treatment] -> n, x_mean, y_mean, sxx, sxy, syy: all a line needs."""
-    pairs = _pairs(responses)
-    if len(pairs) > _LINE_BLOCK:
-        return _in_blocks(lambda some: line_moments(df, some, x, treatment), pairs, _LINE_BLOCK)
-    x = (F.col(x) if isinstance(x, str) else x).cast("double")
-    keys = [] if treatment is None else ["treatment"]
-    rows = df.select(
-        *([] if treatment is None else [(F.col(treatment) if isinstance(treatment, str) else treatment).alias("treatment")]),
-        x.alias("_x"),
-        *(e.alias(f"_y{i}") for i, (_, e) in enumerate(pairs)),
-    ).where(F.col("_x").isNotNull())
-    if keys:
-        rows = rows.where(F.col("treatment").isNotNull())
-    wide = rows.groupBy(*keys).agg(
-        *(
-            F.struct(
-                F.regr_count(f"_y{i}", "_x").alias("n"),
-                F.regr_avgx(f"_y{i}", "_x").alias("x_mean"),
-                F.regr_avgy(f"_y{i}", "_x").alias("y_mean"),
-                F.regr_sxx(f"_y{i}", "_x").alias("sxx"),
-                F.regr_sxy(f"_y{i}", "_x").alias("sxy"),
-                F.regr_syy(f"_y{i}", "_x").alias("syy"),
-            ).alias(f"_s{i}")
-            for i in range(len(pairs))
+    """family[, treatment] -> n, x_mean, y_mean, sxx, sxy, syy: all a line needs.
+
+    Missing values and segments as in ``cell_stats``.
+    """
+    keys = {} if treatment is None else {"treatment": _column(treatment)}
+
+    def statistics(y: str) -> Column:
+        return F.struct(
+            F.regr_count(y, "_x").alias("n"),
+            F.regr_avgx(y, "_x").alias("x_mean"),
+            F.regr_avgy(y, "_x").alias("y_mean"),
+            F.regr_sxx(y, "_x").alias("sxx"),
+            F.regr_sxy(y, "_x").alias("sxy"),
+            F.regr_syy(y, "_x").alias("syy"),
         )
-    )
-    return _unfold(wide, [n for n, _ in pairs], keys, "n")
+
+    return _aggregated(df, _pairs(responses), keys, segment, {"_x": _number(_column(x))}, statistics, _LINE_BLOCK)
 
 
 def merge_cells(cells: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -98,15 +98,18 @@ def stack_bounds(
     level: str = "family",
     by: Sequence[str] = ("treatment", "x"),
 ) -> DataFrame:
-    """Lower and upper edge of each level in a stack, in the stated level order."""
+    """Lower and upper edge of each level in a stack, in the stated level order.
+
+    Levels that the order leaves out come last, by name.
+    """
+    place = _level_order(level, order)
     window = (
         Window.partitionBy(*by)
-        .orderBy(_level_order(level, order))
+        .orderBy(F.when(place > 0, place).otherwise(len(order) + 1), level)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        df.where(F.col(level).isin(list(order)))
-        .withColumn("upper", F.sum(value).over(window))
+        df.withColumn("upper", F.sum(value).over(window))
         .withColumn("lower", F.col("upper") - F.col(value))
     )
 

@@ -30,13 +30,20 @@ def duplicate_mask(
     result is joined back on the unique row id. A value (or NULL) held by a
     third of all rows therefore never meets in one task, as it would in a
     window partitioned by value; the number of shuffles does not grow with the
-    number of columns.
+    number of columns. Values keep their type where all columns share one and
+    are compared as text otherwise, so large integers stay exact; NaN is missing.
     """
+    types = dict(df.dtypes)
+    common = len({types[c] for c in columns}) == 1
+
+    def value(c: str) -> Column:
+        v = F.col(c)
+        if types[c] in ("double", "float"):
+            v = F.nanvl(v, F.lit(None)) + F.lit(0).cast(types[c])  # one zero for both signs
+        return v if common else v.cast("string")
+
     values = F.array(
-        *(
-            F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v"))
-            for i, c in enumerate(columns)
-        )
+        *(F.struct(F.lit(i).alias("_c"), value(c).alias("_v")) for i, c in enumerate(columns))
     )
     first = (
         df.select(row_id, *keys, F.inline(values))

@@ -231,29 +231,13 @@ def _round(curve: Curve, keys: list[str], advance) -> Callable[[DataFrame, DataF
     outputs = [*keys, advance(pack).alias("state")]
 
     def run(cells: DataFrame, state: DataFrame, few: bool) -> DataFrame:
-        if few:
-            rows = cells.join(F.broadcast(state), keys)
-        else:
-            rows = cells.join(_on_every_salt(state), [*keys, "_salt"])
+        rows = cells.join(F.broadcast(state) if few else state, keys)
         # the state is one value per fit: as a grouping column it costs no sort
         return rows.select(*inputs).groupBy(*keys, "state").agg(*sums).select(*outputs)
 
     return run
 
 
-_SALTS = 16
-
-
-def _on_every_salt(state: DataFrame) -> DataFrame:
-    return state.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-
-
-def _salted(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Cells placed by fit and salt, so that a fit holding most cells is shared by many tasks."""
-    salt = F.pmod(F.xxhash64("x"), F.lit(_SALTS)).cast("int")
-    return cells.withColumn("_salt", salt).repartition(*keys, "_salt")
-
-
 def fit_curve(
     cells: DataFrame,
     curve: Curve,
@@ -261,22 +245,32 @@ def fit_curve(
     keys: Sequence[str] = ("family", "treatment"),
     tolerance: float = 1e-10,
     max_rounds: int = 60,
-    rounds_per_checkpoint: int = 1,
+    rounds_per_checkpoint: int = 4,
+    written: bool = False,
 ) -> DataFrame:
-    """One row per fit: parameters, rss, n, unscaled covariance, convergence.
+    """One row for each key of the cells: parameters, rss, n, unscaled covariance, convergence.
 
     ``starts`` is a table keyed by ``keys`` with one column per parameter, or
     literal values used for every fit. ``cells`` gives x, n, mean, ss; within
     cell sums of squares are part of the residual, so the fit is that of the
-    raw rows. Eager: runs the rounds.
+    raw rows. Pass ``written`` if the cells are a checkpoint already. Eager: runs
+    the rounds.
+
+    ``status`` is ``converged``, ``no start`` (a start value is missing),
+    ``stalled`` (no step improves the fit) or ``rounds used up``; all but the
+    first leave the parameters NULL.
     """
     keys = list(keys)
-    cells = materialize(
-        cells.select(*dict.fromkeys([*keys, *(["treatment"] if "treatment" in cells.columns else []), "x", "n", "mean", "ss"]))
-    )
-    if not isinstance(starts, DataFrame):
-        table = cells.select(*keys).distinct()
+    if not written:
+        cells = materialize(
+            cells.select(*dict.fromkeys([*keys, *(["treatment"] if "treatment" in cells.columns else []), "x", "n", "mean", "ss"]))
+        )
+    table = cells.select(*keys).distinct()
+    if isinstance(starts, DataFrame):
+        starts = materialize(table.join(starts, keys, "left"))
+    else:
         starts = table.select(*keys, *(F.lit(float(starts[p])).alias(p) for p in curve.params))
+    given = starts.select(*keys, reduce(Column.__and__, [F.col(p).isNotNull() for p in curve.params]).alias("_given"))
     size = len(curve.params)
     trial = F.array(*(F.coalesce(F.col(p).cast("double"), F.lit(float("nan"))) for p in curve.params))
     zeros = lambda length: F.array(*(F.lit(0.0) for _ in range(length)))
@@ -300,8 +294,6 @@ def fit_curve(
     state = materialize(state)
     # the state is sent to every task only while its counted size is within bounds
     few = fits_broadcast(state.count(), 400 + 16 * len(curve.params) ** 2)
-    if not few:
-        cells = materialize(_salted(cells, keys))
     one_round = _round(curve, keys, _advance(tolerance, 2.0**-20))
     finished: list[DataFrame] = []
     rounds = 0
@@ -319,8 +311,14 @@ def fit_curve(
             state = state.where("not state.done")
         if not left:
             break
-    everything = reduce(DataFrame.unionByName, [*finished, state])
+    everything = reduce(DataFrame.unionByName, [*finished, state]).join(given, keys)
     good = F.col("state.converged")
+    status = (
+        F.when(~F.col("_given"), "no start")
+        .when(good, "converged")
+        .when(F.col("state.done"), "stalled")
+        .otherwise("rounds used up")
+    )
     return everything.select(
         *keys,
         *(
@@ -333,6 +331,7 @@ def fit_curve(
         F.when(good, F.col("state.unit_cov")).alias("unit_cov"),
         F.col("state.rounds").alias("rounds"),
         F.coalesce(good, F.lit(False)).alias("converged"),
+        status.alias("status"),
     )
 
 
@@ -403,7 +402,10 @@ def _weighted_lines(cells: DataFrame, keys: list[str]) -> DataFrame:
 def broken_line_starts(
     cells: DataFrame, breaks: Mapping[str, float], keys: Sequence[str] = ("family", "treatment")
 ) -> DataFrame:
-    """Start values of the broken line: a line on each side of a first guess of the break."""
+    """Start values of the broken line: a line on each side of a first guess of the break.
+
+    A treatment without a guess has no row here; its fit has status ``no start``.
+    """
     keys = list(keys)
     guess = F.create_map(*(F.lit(v) for pair in breaks.items() for v in pair))
     at = cells.withColumn("break", guess[F.col("treatment")].cast("double")).where(
@@ -431,7 +433,7 @@ def segmented_fit(cells: DataFrame, breaks: Mapping[str, float]) -> DataFrame:
     update by the ratio of the gap term to the slope change (Muggeo 2003).
     """
     cells = materialize(cells)
-    return fit_curve(cells, BROKEN_LINE, broken_line_starts(cells, breaks))
+    return fit_curve(cells, BROKEN_LINE, broken_line_starts(cells, breaks), written=True)
 
 
 def curve_error(fits: DataFrame, pool: Sequence[str] = ("family",)) -> DataFrame:

@@ -44,23 +44,29 @@ def one_way_fit(treatment_cells: DataFrame) -> DataFrame:
 
 
 def _lines(moments: DataFrame) -> DataFrame:
-    slope = F.try_divide(F.col("sxy"), F.col("sxx"))
+    """Line of each row; with one distinct x there is no slope, and the residual is about the mean."""
+    slope = F.when(F.col("sxx") > 0, F.try_divide(F.col("sxy"), F.col("sxx")))
+    explained = F.coalesce(F.col("slope") * F.col("sxy"), F.lit(0.0))
     return (
         moments.withColumn("slope", slope)
         .withColumn("intercept", F.col("y_mean") - F.col("slope") * F.col("x_mean"))
-        .withColumn("line_rss", F.col("syy") - F.col("slope") * F.col("sxy"))
+        .withColumn("line_rss", F.greatest(F.col("syy") - explained, F.lit(0.0)))
+        .withColumn("line_rank", F.when(F.col("slope").isNotNull(), 2).otherwise(1).cast("long"))
     )
 
 
 def pooled_line_error(moments: DataFrame) -> DataFrame:
-    """Residual variance of the model with a separate line per treatment."""
+    """Residual variance of the model with a separate line per treatment.
+
+    A treatment with one distinct x takes one parameter, its mean.
+    """
     return (
         _lines(moments)
         .groupBy("family")
         .agg(
             F.sum("n").alias("n_total"),
             F.sum("line_rss").alias("rss"),
-            (F.lit(2) * F.count(F.lit(1))).alias("parameters"),
+            F.sum("line_rank").alias("parameters"),
         )
         .withColumn("df", F.col("n_total") - F.col("parameters"))
         .withColumn("sigma", F.sqrt(_mean_square("rss", "df")))
@@ -69,7 +75,7 @@ def pooled_line_error(moments: DataFrame) -> DataFrame:
 
 def ancova_fit(moments: DataFrame) -> DataFrame:
     """Separate straight lines per treatment with one pooled error variance."""
-    return _lines(moments).drop("line_rss").join(pooled_line_error(moments), "family")
+    return _lines(moments).drop("line_rss", "line_rank").join(pooled_line_error(moments), "family")
 
 
 def simple_regression(moments: DataFrame) -> DataFrame:
@@ -77,7 +83,8 @@ def simple_regression(moments: DataFrame) -> DataFrame:
     fit = (
         _lines(moments)
         .withColumnRenamed("line_rss", "rss")
-        .withColumn("df", F.col("n") - 2)
+        .withColumn("df", F.col("n") - F.col("line_rank"))
+        .drop("line_rank")
         .withColumn("sigma", F.sqrt(_mean_square("rss", "df")))
         .withColumn("r2", F.lit(1.0) - F.try_divide(F.col("rss"), F.col("syy")))
         .withColumn("slope_se", F.try_divide(F.col("sigma"), F.sqrt("sxx")))
@@ -201,11 +208,37 @@ def _anova_rows(df: DataFrame, terms: list[tuple[str, Column, Column]]) -> DataF
     return long.withColumn("p", f_upper("f", "df", "_rdf")).drop("_rdf", "_rss")
 
 
+def _separate_slopes() -> list[Column]:
+    """What separate lines explain, and how many treatments have more than one x."""
+    has = F.col("sxx") > 0
+    return [
+        F.sum(F.when(has, F.try_divide(_square("sxy"), F.col("sxx"))).otherwise(0.0)).alias("sep"),
+        F.count_if(has).alias("slopes"),
+    ]
+
+
+def _nested_residuals(parts: DataFrame) -> DataFrame:
+    """Residuals and ranks of the nested fits; a slope without spread in x explains nothing."""
+
+    def explained(xy: str, xx: str) -> Column:
+        return F.when(F.col(xx) > 0, F.try_divide(_square(xy), F.col(xx))).otherwise(0.0)
+
+    return (
+        parts.withColumn("ss_x", explained("txy", "txx"))
+        .withColumn("one_x", (F.col("txx") > 0).cast("long"))
+        .withColumn("common_x", (F.col("wxx") > 0).cast("long"))
+        .withColumn("rss1", F.col("tss") - F.col("ss_x"))
+        .withColumn("rss2", F.col("wyy") - explained("wxy", "wxx"))
+        .withColumn("rss3", F.greatest(F.col("wyy") - F.col("sep"), F.lit(0.0)))
+    )
+
+
 def anova_ancova(moments: DataFrame) -> DataFrame:
     """Sequential ANOVA of x, treatment and their interaction (straight lines).
 
     Sums of squares are differences between four nested fits: the overall mean,
-    one line, parallel lines, separate lines.
+    one line, parallel lines, separate lines. Degrees of freedom are differences
+    of their ranks, so a treatment with one distinct x adds no slope.
     """
     grand = moments.groupBy("family").agg(
         (F.sum(F.col("n") * F.col("x_mean")) / F.sum("n")).alias("_mx"),
@@ -224,21 +257,18 @@ def anova_ancova(moments: DataFrame) -> DataFrame:
             F.sum("sxx").alias("wxx"),
             F.sum("sxy").alias("wxy"),
             F.sum("syy").alias("wyy"),
-            F.sum(F.try_divide(_square("sxy"), F.col("sxx"))).alias("sep"),
+            *_separate_slopes(),
         )
-        .withColumn("ss_x", F.try_divide(_square("txy"), F.col("txx")))
-        .withColumn("rss1", F.col("tss") - F.col("ss_x"))
-        .withColumn("rss2", F.col("wyy") - F.try_divide(_square("wxy"), F.col("wxx")))
-        .withColumn("rss3", F.col("wyy") - F.col("sep"))
+        .transform(_nested_residuals)
     )
-    k, n = F.col("k"), F.col("n")
+    k, n, slopes = F.col("k"), F.col("n"), F.col("slopes")
     return _anova_rows(
         parts,
         [
-            ("x", F.lit(1), F.col("ss_x")),
-            ("treatment", k - 1, F.col("rss1") - F.col("rss2")),
-            ("x:treatment", k - 1, F.col("rss2") - F.col("rss3")),
-            ("residual", n - 2 * k, F.col("rss3")),
+            ("x", F.col("one_x"), F.col("ss_x")),
+            ("treatment", k - 1 + F.col("common_x") - F.col("one_x"), F.col("rss1") - F.col("rss2")),
+            ("x:treatment", slopes - F.col("common_x"), F.col("rss2") - F.col("rss3")),
+            ("residual", n - k - slopes, F.col("rss3")),
         ],
     )
 
@@ -261,21 +291,18 @@ def anova_no_intercept(moments: DataFrame) -> DataFrame:
             F.sum("sxx").alias("wxx"),
             F.sum("sxy").alias("wxy"),
             F.sum("syy").alias("wyy"),
-            F.sum(F.try_divide(_square("sxy"), F.col("sxx"))).alias("sep"),
+            *_separate_slopes(),
         )
-        .withColumn("ss_x", F.try_divide(_square("txy"), F.col("txx")))
-        .withColumn("rss1", F.col("tss") - F.col("ss_x"))
-        .withColumn("rss2", F.col("wyy") - F.try_divide(_square("wxy"), F.col("wxx")))
-        .withColumn("rss3", F.col("wyy") - F.col("sep"))
+        .transform(_nested_residuals)
     )
-    k = F.col("k")
+    k, slopes = F.col("k"), F.col("slopes")
     return _anova_rows(
         parts,
         [
-            ("x", F.lit(1), F.col("ss_x")),
-            ("treatment", k, F.col("rss1") - F.col("rss2")),
-            ("x:treatment", k - 1, F.col("rss2") - F.col("rss3")),
-            ("residual", n - 2 * k, F.col("rss3")),
+            ("x", F.col("one_x"), F.col("ss_x")),
+            ("treatment", k + F.col("common_x") - F.col("one_x"), F.col("rss1") - F.col("rss2")),
+            ("x:treatment", slopes - F.col("common_x"), F.col("rss2") - F.col("rss3")),
+            ("residual", n - k - slopes, F.col("rss3")),
         ],
     )
 
@@ -290,9 +317,12 @@ def _quadratic_form(levels: pd.Series, entries: pd.Series, rhs: pd.Series) -> pd
             a[e["i"] - 1, e["j"] - 1] = e["a"]
         for e in right:
             b[e["i"] - 1] = e["b"]
-        value, vector = np.linalg.eigh(a)
-        keep = value > 1e-9 * max(value.max(), 1e-300)
-        part = vector.T @ b
+        # scaled to a unit diagonal, so that a rare level beside large ones keeps its dimension
+        diagonal = np.diag(a)
+        scale = np.where(diagonal > 0, 1 / np.sqrt(np.where(diagonal > 0, diagonal, 1.0)), 0.0)
+        value, vector = np.linalg.eigh(a * np.outer(scale, scale))
+        keep = value > 1e-9
+        part = vector.T @ (scale * b)
         out.append((float(np.sum(part[keep] ** 2 / value[keep])), int(keep.sum())))
     return pd.DataFrame(out, columns=["ss", "rank"])
 

@@ -31,8 +31,8 @@ def compare_curves(
     The cell table is checkpointed once; both fits iterate on it.
     """
     cells = materialize(cells)
-    null_fits = C.fit_curve(cells, curve, starts, keys=["family"])
-    full_fits = C.fit_curve(cells, curve, starts)
+    null_fits = C.fit_curve(cells, curve, starts, keys=["family"], written=True)
+    full_fits = C.fit_curve(cells, curve, starts, written=True)
     parameters = C.curve_summary(full_fits, curve)
     return CurveComparison(
         null_fits,

@@ -73,7 +73,8 @@ def read_csv(
     With a schema the columns are matched by header name, whatever their order
     in the file; without one the types are inferred, at the price of a second
     pass over the file. ``row_id`` names a column to be added that grows in
-    file order, for steps where the order of rows has a meaning.
+    file order, for steps where the order of rows has a meaning: a value of file
+    name, place of the split in the file, and row in the split, in this order.
     """
     reader = spark.read.option("header", True).option("nullValue", "NA")
     if schema is None:
@@ -81,11 +82,23 @@ def read_csv(
     else:
         raw = reader.csv(path)
         df = raw.select(
-            *(raw[f"`{f.name}`"].cast(f.dataType).alias(f.name) for f in schema.fields)
+            *(raw[f"`{f.name}`"].cast(f.dataType).alias(f.name) for f in schema.fields),
+            *([] if row_id is None else ["_metadata"]),
         )
-    if tidy_names:
-        df = df.toDF(*(snake_case(c) for c in df.columns))
-    return df if row_id is None else df.withColumn(row_id, F.monotonically_increasing_id())
+    place = []
+    if row_id is not None:
+        at = F.col("_metadata")
+        place = [
+            F.struct(
+                at["file_path"].alias("file"),
+                at["file_block_start"].alias("split"),
+                F.monotonically_increasing_id().alias("row"),
+            ).alias(row_id)
+        ]
+    names = [c for c in df.columns if c != "_metadata"]
+    return df.select(
+        *(F.col(f"`{c}`").alias(snake_case(c) if tidy_names else c) for c in names), *place
+    )
 
 
 def read_parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
