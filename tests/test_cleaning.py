@@ -144,3 +144,20 @@ def test_global_rank_over_several_partitions(spark):
     df = spark.range(0, 5000, 1, 7).select((F.xxhash64("id") % 1000003).alias("v")).distinct()
     got = [(r.rank, r.v) for r in W.global_rank(df, "v").orderBy("v").collect()]
     assert [r for r, _ in got] == list(range(len(got)))
+
+
+def test_duplicates_keep_their_type(spark):
+    df = spark.createDataFrame(
+        [(1, 2**53, "a", 0.0), (2, 2**53 + 1, "a", -0.0), (3, 2**53, "b", float("nan")), (4, None, None, float("nan"))],
+        "id int, n long, s string, d double",
+    )
+    got = rows(C.duplicate_mask(df, ["n", "s", "d"], "id"), "id")
+    assert got == [(1, 2**53, "a", 0.0), (2, 2**53 + 1, None, None), (3, None, "b", None), (4, None, None, None)]
+    assert dict(C.duplicate_mask(df, ["n", "s"], "id").dtypes)["n"] == "bigint"
+
+
+def test_row_ids_follow_files_and_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("v\n0\n")
+    (tmp_path / "b.csv").write_text("v\n" + "\n".join(str(i) for i in range(1, 51)) + "\n")
+    df = read_csv(spark, str(tmp_path), row_id="at")
+    assert [r.v for r in df.orderBy("at").collect()] == list(range(51))

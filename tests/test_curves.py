@@ -125,3 +125,35 @@ def test_growth_rate_report(spark):
     one = next(r for r in rows if r.x == 20 and r.treatment == "Room")
     other = next(r for r in rows if r.x == 20 and r.treatment == "Cold")
     assert one.ratio == pytest.approx(one.rate / other.rate) and one.difference == pytest.approx(one.rate - other.rate)
+
+
+def test_every_key_has_a_row_with_a_status(spark):
+    def broken(x):
+        return 3 + 2 * x - 1.5 * np.maximum(x - 9, 0)
+
+    table = cells(spark, {("g", "p"): broken, ("g", "q"): broken})
+    fits = C.segmented_fit(table, {"p": 10.0})
+    got = by_treatment(fits)
+    assert got["p"].status == "converged" and got["p"]["break"] == pytest.approx(9, rel=1e-4)
+    assert got["q"].status == "no start" and got["q"]["break"] is None and got["q"].n == got["p"].n
+    error = C.curve_error(fits).first()
+    assert error.sigma is None
+    short = by_treatment(C.fit_curve(table, C.LOGISTIC, {"asym": 1.0, "xmid": 1e6, "scal": 1e-3}, max_rounds=2))
+    assert all(r.status in ("stalled", "rounds used up") and r.asym is None for r in short.values())
+
+
+def test_comparison_writes_few_checkpoints(spark, monkeypatch):
+    from trialframe.operators import curves
+    from trialframe.plans import curve_comparison
+
+    written = []
+    plain = curves.materialize
+
+    def counted(df):
+        written.append(df)
+        return plain(df)
+
+    monkeypatch.setattr(curves, "materialize", counted)
+    monkeypatch.setattr(curve_comparison, "materialize", counted)
+    compare_curves(cells(spark, TWO), C.LOGISTIC, {"asym": 22.0, "xmid": 16.0, "scal": 4.5})
+    assert len(written) <= 9

@@ -181,3 +181,50 @@ def test_information_criteria_and_nested_test(spark):
     n = len(y)
     loglik = -n / 2 * (np.log(2 * np.pi * rss(y, x) / n) + 1)
     assert row.aic == pytest.approx(-2 * loglik + 6) and row.bic == pytest.approx(-2 * loglik + 3 * np.log(n))
+
+
+def test_one_day_treatment_takes_one_parameter(spark):
+    rows = [("A", x, 1.0 * x + e) for x in range(4) for e in (-1.0, 0.5, 0.5)] + [("B", 2, y) for y in (1.0, 5.0, 6.0)]
+    df = spark.createDataFrame(rows, "treatment string, x int, y double")
+    data = df.toPandas()
+    own = [data[data.treatment == t] for t in "AB"]
+    expected = rss(own[0].y.to_numpy(), own[0].x.to_numpy(float)) + rss(own[1].y.to_numpy())
+    fit = L.ancova_fit(line_moments(df, ["y"])).first()
+    assert fit.rss == pytest.approx(expected) and fit.df == 12
+    assert fit.sigma == pytest.approx((expected / 12) ** 0.5)
+    table = anova_dict(L.anova_ancova(line_moments(df, ["y"])))
+    assert table["residual"].df == 12 and table["residual"].ss == pytest.approx(expected)
+    assert table["x:treatment"].df == 0 and table["x:treatment"].f is None
+    assert sum(r.df for r in table.values()) == 14
+
+
+def test_exact_lines_leave_no_nan(spark):
+    rows = [(t, x, 0.1 * x + (t == "B")) for t in "AB" for x in range(7)]
+    df = spark.createDataFrame(rows, "treatment string, x int, y double")
+    fit = L.ancova_fit(line_moments(df, ["y"])).first()
+    assert fit.rss >= 0 and fit.sigma == pytest.approx(0, abs=1e-6)
+
+
+def test_rare_level_keeps_its_dimension(spark):
+    big, rows = 10**10, []
+    for x, shift in ((1, 0.0), (2, 1.0)):
+        rows += [("y", "A", x, big, shift), ("y", "B", x, big, shift), ("y", "C", x, 5, shift + 3.0)]
+    cells = spark.createDataFrame(rows, "family string, treatment string, x int, n long, mean double")
+    got = L.treatment_given_x(cells.withColumn("ss", F.lit(0.0))).first()
+    assert got.t_rank == 2 and got.ss_t_given_x == pytest.approx(90.0, rel=1e-6)
+
+
+def test_nan_is_a_missing_value(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("A", 1.0, 1.0), ("A", 1.0, nan), ("A", 1.0, 3.0), ("A", nan, 9.0)], "treatment string, x double, y double")
+    (cell,) = cell_stats(df, ["y"]).collect()
+    assert (cell.n, cell["mean"]) == (2, 2.0)
+    assert line_moments(df, ["y"]).first().n == 2
+
+
+def test_segments_are_families(spark):
+    df = spark.createDataFrame([("s", "A", 1, 1.0), ("s", "A", 1, 3.0), ("t", "A", 1, 9.0), (None, "A", 1, 5.0)], "part string, treatment string, x int, y double")
+    named = {r.family: r["mean"] for r in cell_stats(df, ["y"], segment="part").collect()}
+    assert named == {"y:s": 2.0, "y:t": 9.0}
+    alone = {r.family: r.y_mean for r in line_moments(df, {"": "y"}, segment="part").collect()}
+    assert alone == {"s": 2.0, "t": 9.0}

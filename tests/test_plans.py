@@ -72,7 +72,20 @@ def test_frequency_ranking_scans_once(spark):
     events = table(spark, FOLDER, "events")
     df = windows.rank_by_frequency(events, "user_id", ["event_type"])
     df.collect()
-    assert "Window" not in plan(df)
+    assert "Window" not in plan(df) and "FileScan" not in plan(df)  # the one scan made the counts
+
+
+def test_many_responses_are_read_in_one_scan(spark):
+    rows = table(spark, FOLDER, "lineitem").join(table(spark, FOLDER, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    responses = {f"y{i}": F.col("l_quantity") * (i + 1) for i in range(20)}
+    few = cell_stats(rows, dict(list(responses.items())[:3]), "l_returnflag", "l_linenumber")
+    many = cell_stats(rows, responses, "l_returnflag", "l_linenumber")
+    lines = line_moments(rows, responses, "l_linenumber", "l_returnflag")
+    for df in (many, lines):
+        assert plan(df).count("FileScan") == plan(few).count("FileScan")
+    got = {(r.family, r.treatment, r.x): r.mean for r in many.collect()}
+    assert all(got[r.family, r.treatment, r.x] == pytest.approx(r.mean) for r in few.collect())
+    assert len({f for f, _, _ in got}) == 20
 
 
 def test_checkpoint_dir_is_read_from_the_session(spark, monkeypatch, tmp_path):

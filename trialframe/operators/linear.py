@@ -362,7 +362,7 @@ def treatment_given_x(cells: DataFrame) -> DataFrame:
         .agg(
             F.sum(
                 F.when(F.col("i") == F.col("j"), F.col("n").cast("double")).otherwise(0.0)
-                - F.col("n") * F.col("_nj") / F.col("_nx")
+                - F.col("n") * (F.col("_nj") / F.col("_nx"))  # the counts' product could overflow
             ).alias("a")
         )
         .groupBy("family", "size")

@@ -97,9 +97,10 @@ def rank_by_frequency(df: DataFrame, unit: str, columns: Sequence[str]) -> DataF
     """Contingency rows ordered by how often their unit occurs, then by unit.
 
     The order key (freq, unit) is kept as columns: a range-partitioned sort can
-    use it directly, where a running rank over all units would need one task.
+    use it directly, where a running rank over all units would need one task. The
+    counts are written once; their totals are taken from them, not from the rows.
     """
-    counts = (
+    counts = materialize(
         df.where(F.col(unit).isNotNull())
         .groupBy(unit, *columns)
         .agg(F.count(F.lit(1)).alias("n"))
