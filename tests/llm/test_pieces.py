@@ -133,6 +133,8 @@ def _as_unigram(data, scores):
 
 def test_odd_rows_and_empty_table(odd, empty):
     rows = P.decode(P.encode(odd, PIECE_MODEL), PIECE_MODEL).collect()
+    both = P.encode_and_decode(odd, PIECE_MODEL).collect()
+    assert sorted(map(tuple, both), key=str) == sorted(map(tuple, rows), key=str)
     assert sorted((r["id"], r["text"]) for r in rows if r["id"]) == sorted((d, t) for d, t in ODD if d) or len(rows) == len(ODD)
     assert all(r["decoded"] == (r["text"] or "") for r in rows)
     assert all(len(r["ids"]) == 0 for r in rows if not r["text"])

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -56,7 +56,7 @@ def chunks(batch: pa.RecordBatch, text: int = 1, limit: int = CHUNK_BYTES) -> It
 def _powers(kind: str, base: int, n: int) -> np.ndarray:
     known = _POWERS.get(kind)
     if known is None or len(known) < n:
-        steps = np.full(max(n, 2 * CHUNK_BYTES), base, np.uint64)
+        steps = np.full(max(n, CHUNK_BYTES + CHUNK_BYTES // 8), base, np.uint64)
         steps[0] = 1
         known = _POWERS[kind] = np.cumprod(steps)
     return known[:n]

@@ -31,6 +31,7 @@ from trialframe.llm._arrays import SpanHash, chunks, list_array, text_bytes
 MARK = 0xFF  # stands for the marker in byte arrays; no UTF-8 text has this byte
 UNKNOWN_PENALTY = 10.0
 UNKNOWN = -1
+BLOCK_AREA = 1 << 20  # byte places of the words that are solved together
 SCALE = 1 << 24  # scores are added as whole numbers of 1/SCALE, so that sums, and ties, are exact
 _UNREACHED = np.int64(-(1 << 62))
 
@@ -146,7 +147,7 @@ def best_paths(pieces: Pieces, data: np.ndarray, start: np.ndarray, stop: np.nda
     lo = 0
     while lo < len(order):  # words of like length together, in blocks of bounded area
         longest = size[order[lo]] * 5 // 4 + 4
-        hi = min(int(np.searchsorted(size[order], longest, "right")), lo + max(1, (4 << 20) // int(longest + 1)))
+        hi = min(int(np.searchsorted(size[order], longest, "right")), lo + max(1, BLOCK_AREA // int(longest + 1)))
         rows = order[lo:hi]
         found, n = _viterbi(pieces, data, start[rows], size[rows])
         ids.append(found)
@@ -270,19 +271,36 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     A null text has no ids, as an empty one. Rows with equal ids each keep their
     row; other columns are not looked at. An empty table gives an empty one.
     """
-    pieces = load_pieces(model_path)
+    return _encoded(docs, load_pieces(model_path), id_col, text_col, False)
+
+
+def encode_and_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, ids, decoded): ``encode``, and the text that the ids spell, in one pass."""
+    return _encoded(docs, load_pieces(model_path), id_col, text_col, True)
+
+
+def _encoded(docs: DataFrame, pieces: Pieces, id_col: str, text_col: str, back: bool) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    names = ["id", "text", "ids", "decoded"][: 3 + back]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, column in chunks(batch):
                 ids, counts = encode_chunk(pieces, column)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), list_array(counts, pa.array(ids))], names=["id", "text", "ids"]
-                )
+                arrays = [part.column(0), part.column(1), list_array(counts, pa.array(ids))]
+                if back:
+                    arrays.append(pa.array(decoded_texts(pieces, ids, counts), pa.string()))
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, text string, ids array<int>")
+    return rows.mapInArrow(run, f"id {kind}, text string, ids array<int>" + ", decoded string" * back)
+
+
+def decoded_texts(pieces: Pieces, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+    data, n_bytes = decode_ids(pieces, ids, counts)
+    ends = np.cumsum(n_bytes)
+    whole = data.tobytes()
+    return [whole[a:b].decode("utf-8", "replace") for a, b in zip((ends - n_bytes).tolist(), ends.tolist())]
 
 
 def decode(rows: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
@@ -303,10 +321,7 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
                 ids = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 if len(ids) and not (ids.min() >= 0 and ids.max() < len(pieces.size)):
                     raise ValueError("an id is not a piece of the model")
-                data, n_bytes = decode_ids(pieces, ids, counts)
-                ends = np.cumsum(n_bytes)
-                whole = data.tobytes()
-                texts = [whole[a:b].decode("utf-8", "replace") for a, b in zip((ends - n_bytes).tolist(), ends.tolist())]
+                texts = decoded_texts(pieces, ids, counts)
                 column = pa.array([t if ok else None for t, ok in zip(texts, part.is_valid().to_pylist())], pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(k).slice(row, 256) for k in range(len(names))), column], names=[*names, "decoded"]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from trialframe.llm._learning import held_out
 from trialframe.llm.decontaminate import contamination, judged
 from trialframe.llm.language import fit_language, predict_language
-from trialframe.llm.pieces import decode, encode
+from trialframe.llm.pieces import encode_and_decode
 from trialframe.llm.quality import fit_quality, score_quality
 from trialframe.llm.repeats import without_repeats
 from trialframe.llm.secret_scan import KINDS, listed, secret_spans
@@ -41,7 +41,7 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def op2_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    found = decode(encode(read_parquet(spark, folder, "documents"), PIECE_MODEL), PIECE_MODEL)
+    found = encode_and_decode(read_parquet(spark, folder, "documents"), PIECE_MODEL)
     return found.select(
         F.col("id").alias("doc_id"),
         F.size("ids").cast("bigint").alias("n_tokens"),
