@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trialframe.llm.decontaminate import contamination, judged
-from trialframe.llm.pieces import decode, encode
+from trialframe.llm.pieces import encode_and_decode
 from trialframe.llm.queries import PIECE_MODEL
 from trialframe.llm.secret_scan import redacted, secret_spans
 from trialframe.llm.simhash import drop_near_duplicates
@@ -54,7 +54,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with the ids of its pieces, and whether they spell its text again."""
     others = [c for c in docs.columns if c != "text"]
-    rows = decode(encode(docs.select(F.struct(*others).alias("row"), "text"), PIECE_MODEL, "row"), PIECE_MODEL)
+    rows = encode_and_decode(docs.select(F.struct(*others).alias("row"), "text"), PIECE_MODEL, "row")
     return rows.select(
         "id.*",
         "text",
