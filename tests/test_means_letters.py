@@ -109,3 +109,13 @@ def test_slopes(spark):
     tests = {r.treatment: r for r in M.trend_test(slopes).collect()}
     assert tests["B"].slope == pytest.approx(3.0, abs=0.05) and tests["B"].p < 1e-12
     assert M.trend_contrasts(slopes).first().difference == pytest.approx(-2.0, abs=0.05)
+
+
+def test_many_levels_get_groups_that_tell_them_apart():
+    differing = [(i, j) for i in range(120) for j in range(i + 1, 120) if j - i > 3]
+    groups = [set(g) for g in K.assign_groups(120, differing)]
+    assert all(bool(groups[i] & groups[j]) == (j - i <= 3) for i in range(120) for j in range(i + 1, 120))
+    rng = np.random.default_rng(0)
+    scattered = [(i, j) for i in range(60) for j in range(i + 1, 60) if rng.random() < 0.9]
+    groups = [set(g) for g in K.assign_groups(60, scattered)]
+    assert all(bool(groups[i] & groups[j]) == ((i, j) not in set(scattered)) for i in range(60) for j in range(i + 1, 60))

@@ -17,46 +17,49 @@ def _letter_name(index: int) -> str:
     return ascii_lowercase[place] + (str(turn) if turn else "")
 
 
-def assign_letters(size: int, differing: Sequence[tuple[int, int]]) -> list[str]:
-    """Letters for levels 0..size-1 (in display order) given the pairs that differ."""
-    groups = [np.ones(size, dtype=bool)]
+def assign_groups(size: int, differing: Sequence[tuple[int, int]]) -> list[list[int]]:
+    """Group numbers of levels 0..size-1 (in display order) given the pairs that differ.
+
+    Two levels share a group exactly when they do not differ. A pair splits the
+    groups that hold both levels; a part inside another group is absorbed.
+    """
+    groups = np.ones((1, size), dtype=bool)
     for i, j in sorted(differing):
-        split = []
-        for g in groups:
-            if g[i] and g[j]:
-                for drop in (i, j):
-                    part = g.copy()
-                    part[drop] = False
-                    split.append(part)
-            else:
-                split.append(g)
-        groups = []
-        for n, g in enumerate(split):
-            absorbed = any(
-                (g <= h).all() and ((g != h).any() or m < n)
-                for m, h in enumerate(split)
-                if m != n
-            )
-            if not absorbed:
-                groups.append(g)
-    groups.sort(key=lambda g: tuple(np.flatnonzero(g)))
-    marks = ["" for _ in range(size)]
-    for n, g in enumerate(groups):
-        for level in np.flatnonzero(g):
-            marks[level] += _letter_name(n)
-    return marks
+        both = groups[:, i] & groups[:, j]
+        if not both.any():
+            continue
+        kept, parts = groups[~both], np.repeat(groups[both], 2, axis=0)
+        parts[::2, i] = False
+        parts[1::2, j] = False
+        every = np.concatenate([kept, parts])
+        inside = parts.astype(np.float32) @ every.T.astype(np.float32) == parts.sum(axis=1)[:, None]
+        larger = every.sum(axis=1)[None, :] > parts.sum(axis=1)[:, None]
+        earlier = np.arange(len(every))[None, :] < (len(kept) + np.arange(len(parts)))[:, None]
+        groups = np.concatenate([kept, parts[~(inside & (larger | earlier)).any(axis=1)]])
+    ordered = sorted(groups, key=lambda g: tuple(np.flatnonzero(g)))
+    return [[n for n, g in enumerate(ordered) if g[level]] for level in range(size)]
+
+
+def assign_letters(size: int, differing: Sequence[tuple[int, int]]) -> list[str]:
+    """Letters for the groups of ``assign_groups``."""
+    return ["".join(map(_letter_name, own)) for own in assign_groups(size, differing)]
 
 
 @F.pandas_udf(
-    ArrayType(StructType().add("position", IntegerType()).add("letters", StringType()))
+    ArrayType(
+        StructType()
+        .add("position", IntegerType())
+        .add("letters", StringType())
+        .add("letter_groups", ArrayType(IntegerType()))
+    )
 )
 def _display(sizes: pd.Series, pairs: pd.Series) -> pd.Series:
     return pd.Series(
         [
             [
-                {"position": i, "letters": text}
-                for i, text in enumerate(
-                    assign_letters(int(size), [(p["i"], p["j"]) for p in found])
+                {"position": i, "letters": "".join(map(_letter_name, own)), "letter_groups": own}
+                for i, own in enumerate(
+                    assign_groups(int(size), [(p["i"], p["j"]) for p in found])
                 )
             ]
             for size, found in zip(sizes, pairs)
@@ -72,9 +75,10 @@ def letter_groups(
     value: str = "emmean",
     alpha: float = 0.05,
 ) -> DataFrame:
-    """Estimates with ``letters``; the largest mean gets the first letter.
+    """Estimates with ``letters`` and ``letter_groups``; the largest mean gets the first letter.
 
-    Two levels share a letter exactly when their p is at least alpha. Per
+    Two levels share a group number exactly when their p is at least alpha; the
+    numbers stay apart where more than 26 letters run into each other. Per
     by-group only the number of levels and the pairs that differ, as places in
     the display order, reach Python: one row of small integers, not the means.
     """
