@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import ODD, table
+from text_fixtures import ODD, table
 from trialframe.llm import language, quality, toxicity
 from trialframe.llm._learning import bounded_sample, held_out
 from trialframe.llm.queries import QUERIES

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from conftest import ODD, table
+from text_fixtures import ODD, table
 from trialframe.llm.decontaminate import contamination, judged
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from conftest import ODD, table
+from text_fixtures import ODD, table
 from trialframe.llm import pieces as P
 from trialframe.llm.queries import PIECE_MODEL
 

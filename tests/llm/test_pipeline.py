@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from conftest import CLASHES, ODD, table
+from text_fixtures import CLASHES, ODD, table
 from test_simhash import kept_by_brute, similarity
 
 FOLDER = "/root/testdata/sf0.001"

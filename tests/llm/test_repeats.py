@@ -3,7 +3,7 @@ import random
 import numpy as np
 from hypothesis import given, settings, strategies as st
 
-from conftest import LONG, ODD, table
+from text_fixtures import LONG, ODD, table
 from trialframe.llm.repeats import common_prefixes, previous_factors, ranks, without_repeats
 
 

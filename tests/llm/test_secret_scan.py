@@ -5,7 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from conftest import ODD, table
+from text_fixtures import ODD, table
 from trialframe.llm import secret_scan as S
 
 TEXTS = [

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from conftest import LONG, ODD, table
+from text_fixtures import LONG, ODD, table
 from trialframe.llm.components import connected
 from trialframe.llm.simhash import drop_near_duplicates, links_in_bands, links_in_grid, simhash_components, spanning_forest
 

@@ -5,7 +5,7 @@ import struct
 
 import xxhash
 
-from conftest import LONG, ODD, table
+from text_fixtures import LONG, ODD, table
 from trialframe.llm import winnow as W
 
 
