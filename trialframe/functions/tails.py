@@ -15,6 +15,7 @@ import numpy as np
 
 _TINY = 1e-300
 _EPS = 1e-15
+_SETTLED = 1e-9  # a series, fraction or step that has not come this close gives NaN
 _log_gamma = np.frompyfunc(math.lgamma, 1, 1)
 
 
@@ -63,7 +64,7 @@ def _beta_fraction(a, b, x):
             h = h * step
         if np.all(np.abs(step - 1) < _EPS * 10):
             break
-    return h
+    return np.where(np.abs(step - 1) < _SETTLED, h, np.nan)
 
 
 def _beta_direct(a, b, x, y):
@@ -126,6 +127,7 @@ def upper_gamma(a, x):
             total = total + term
             if np.all(term < total * _EPS):
                 break
+        total = np.where(term < total * _SETTLED, total, np.nan)
         out[series] = 1 - total * np.exp(s * np.log(z) - z - _lgamma(s))
     rest = live & ~series
     if rest.any():
@@ -145,6 +147,7 @@ def upper_gamma(a, x):
             h = h * step
             if np.all(np.abs(step - 1) < _EPS * 10):
                 break
+        h = np.where(np.abs(step - 1) < _SETTLED, h, np.nan)
         out[rest] = np.exp(s * np.log(z) - z - _lgamma(s)) * h
     return np.clip(out, 0.0, 1.0)
 
@@ -284,5 +287,5 @@ def t_quantile(level, df):
         t = t + move
         if np.all(np.abs(move) < 1e-14 * np.abs(t)):
             break
-    out[ok] = t
+    out[ok] = np.where(np.abs(move) <= _SETTLED * np.abs(t), t, np.nan)
     return out

@@ -22,9 +22,13 @@ def response_report(
     x: str | Column,
     zero_bar_at=None,
     test_on: str | None = None,
+    letters: bool = True,
 ) -> DataFrame:
     """Means with error bars, treatment test, letters over x, and label heights.
 
+    Letters compare every pair of samplings of a treatment; ``letters=False``
+    leaves them, and those pairs, out.
+
     The p of a sampling stands on all its rows, or, with ``test_on``, on the
     rows of that treatment only.
 
@@ -34,7 +38,9 @@ def response_report(
     means = materialize(emmeans_cell(materialize(cell_stats(df, responses, treatment, x)), None))
     tests = _treatment_test(means)
     over_x = ("family", "treatment")
-    lettered = letter_groups(means, pairwise_contrasts(means, over_x, "x"), over_x, "x")
+    lettered = means
+    if letters:
+        lettered = letter_groups(means, pairwise_contrasts(means, over_x, "x"), over_x, "x")
     out = lettered.join(tests, ["family", "x"], "left")
     if test_on is not None:
         out = out.withColumn("p", F.when(F.col("treatment") == test_on, F.col("p")))

@@ -6,6 +6,8 @@ a lazy plan of narrow steps, but for the two joins of the cleaning.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, functions as F
 
 from trialframe.functions.scalar import (
@@ -27,14 +29,26 @@ GROWTH_FROM = "2021-04-25"
 LAST_HARVEST = "2021-08-25"
 LEAF_BOUNDS = [(50, 1.2), (75, 2.5), (120, 4.2)]
 CONDUCTANCE = (0.0, 0.3)
+LIMITS = {
+    "rhizome_least": 6,  # at the samplings Grain and Final
+    "rhizome_most": 27,
+    "root_least": 6,  # at Final, beside a rhizome
+    "shoot_least": 1,  # on the last day
+    "root_below": 17,
+    "final_root_range": (5, 15),
+    "starch_after_days": 14,
+}
 DEDUPLICATED = ["above_ground_g", "rhi_sample_g", "root_g", "starch_rhi"]
 
 
-def clean_observations(obs: DataFrame, dead: DataFrame, row_id: str) -> DataFrame:
+def clean_observations(
+    obs: DataFrame, dead: DataFrame, row_id: str, limits: Mapping[str, object] = LIMITS
+) -> DataFrame:
     """Derived columns, then implausible values and repeated readings set to NULL.
 
     ``dead`` lists rhi_id of plants that died; ``row_id`` gives the file order,
-    which decides the reading that counts as the first.
+    which decides the reading that counts as the first. ``limits`` are the
+    plausible values.
     """
     in_storage = F.col("phase") == "Storage"
     derived = (
@@ -48,16 +62,16 @@ def clean_observations(obs: DataFrame, dead: DataFrame, row_id: str) -> DataFram
     flagged = membership_flag(derived, dead, "rhi_id", out="caputd")
     alive = F.col("caputd") == "alive"
     rhizome, root, shoot = F.col("rhi_sample_g"), F.col("root_g"), F.col("above_ground_g")
-    at = lambda sampling: F.col("sampling") == sampling
+    late = F.col("sampling").isin("Grain", "Final")
+    final = F.col("sampling") == "Final"
     last_day = F.col("harvest_date") == F.lit(LAST_HARVEST).cast("date")
+    light = late & (rhizome < limits["rhizome_least"])
     masked = outlier_mask(
         flagged,
         [
-            ("rhi_sample_g", alive & at("Grain") & (rhizome < 6)),
-            ("rhi_sample_g", alive & at("Final") & (rhizome < 6)),
-            ("rhi_sample_g", alive & (rhizome > 27)),
-            ("root_g", alive & at("Final") & rhizome.isNotNull() & (root < 6)),
-            ("above_ground_g", alive & last_day & (shoot < 1)),
+            ("rhi_sample_g", alive & (light | (rhizome > limits["rhizome_most"]))),
+            ("root_g", alive & final & rhizome.isNotNull() & (root < limits["root_least"])),
+            ("above_ground_g", alive & last_day & (shoot < limits["shoot_least"])),
         ],
     )
     return duplicate_mask(masked, DEDUPLICATED, row_id)
@@ -77,13 +91,13 @@ def growth_starch(obs: DataFrame) -> DataFrame:
     return obs.where(F.col("starch_rhi").isNotNull() & (F.col("caputd") == "alive") & (F.col("days") > 0))
 
 
-def belowground(obs: DataFrame) -> DataFrame:
+def belowground(obs: DataFrame, limits: Mapping[str, object] = LIMITS) -> DataFrame:
     """Rhizome, root and their sum from planting on."""
     root = F.col("root_g")
     kept = (
         obs.where((F.col("caputd") == "alive") & (F.col("days") >= 0))
-        .where(null_tolerant("root_g", root < 17))
-        .where(null_tolerant("root_g", ~((F.col("sampling") == "Final") & ~root.between(5, 15))))
+        .where(null_tolerant("root_g", root < limits["root_below"]))
+        .where(null_tolerant("root_g", ~((F.col("sampling") == "Final") & ~root.between(*limits["final_root_range"]))))
     )
     below = F.col("rhi_sample_g") + either(F.col("days") <= 0, F.lit(0.0), root)
     with_sum = kept.withColumn("below_bm", below)
@@ -100,12 +114,12 @@ def aboveground(obs: DataFrame) -> DataFrame:
     return _zero_at_start(obs, "above_ground_g").where(F.col("above_ground_g").isNotNull())
 
 
-def starch_mass(obs: DataFrame) -> DataFrame:
+def starch_mass(obs: DataFrame, limits: Mapping[str, object] = LIMITS) -> DataFrame:
     """Starch of the whole rhizome of living plants, from the third week of the growth phase on."""
     mass = F.col("starch_rhi") * F.col("rhi_sample_g")
     growing = F.col("harvest_date") >= F.lit(GROWTH_FROM).cast("date")
     return obs.withColumn("starch_rhi_g", mass).where(
-        F.col("starch_rhi_g").isNotNull() & (F.col("caputd") == "alive") & growing & (F.col("days") > 14)
+        F.col("starch_rhi_g").isNotNull() & (F.col("caputd") == "alive") & growing & (F.col("days") > limits["starch_after_days"])
     )
 
 
