@@ -170,3 +170,14 @@ def test_copies_of_a_long_text(spark):
 def test_plan_has_no_cross_join(odd):
     plan = simhash_components(odd).select(F.col("id"))._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_size_bound_loses_no_similar_pair(spark):
+    rng = np.random.default_rng(7)
+    rows = [(k, int(n), int(a)) for k, (n, a) in enumerate(zip(rng.integers(1, 400, 300), rng.integers(0, 1 << 10, 300)))]
+    links = links_in_grid(spark.createDataFrame(rows, "id long, n long, x long"), ["x"], 12, block_rows=40, nearest=300, size="n", similarity=0.8).collect()
+    got = {frozenset((r["a"], r["b"])) for r in links}
+    for p, q in combinations(rows, 2):
+        if min(p[1], q[1]) >= 0.8 * max(p[1], q[1]):
+            assert frozenset((p[0], q[0])) in got
+    assert len(got) < 300 * 299 / 2 / 2

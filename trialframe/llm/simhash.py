@@ -9,8 +9,10 @@ population counts differ by more than the radius is skipped.
 Which tiles meet: for a small radius on 64 bits, fingerprints that agree on two
 of four 16-bit blocks (at radius 2 or less every linked pair agrees on at least
 two), so tiles are short and the work follows the number of fingerprints.
-Otherwise all pairs of tiles within the radius of population counts, as blocks
-of a fixed size; that is quadratic in the number of distinct fingerprints.
+Otherwise all pairs of tiles within reach, as blocks of a fixed size: within the
+radius of population counts, or where a similarity of sets is asked for, within
+the sizes that allow it. That is quadratic in the number of distinct fingerprints
+of like size.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from trialframe.llm.components import connected
 from trialframe.session import materialize
 
 TILE = 128
+SIZE_STEPS = 16  # of set sizes, within the ratio that a similarity allows
 BLOCK_ROWS = 32768
 _LANES = np.arange(256, dtype=np.uint8)[:, None] >> np.arange(8, dtype=np.uint8)[None, :] & 1
 
@@ -68,7 +71,7 @@ def majority(hashes: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 def fingerprints(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seeds: tuple[int, ...] = (42,), distinct: bool = False
 ) -> DataFrame:
-    """(id, fp0, fp1, ...): one 64-bit fingerprint of each text for every seed, as signed long.
+    """(id, n, fp0, fp1, ...): number of shingles, and a 64-bit fingerprint for every seed, as signed long.
 
     ``distinct`` counts each shingle of a text once. A text of fewer words is one
     shingle; a null text, or one without words, has fingerprint zero.
@@ -88,9 +91,10 @@ def fingerprints(
                     rows = np.repeat(np.arange(len(found)), [len(h) for h in found])
                     fp = majority(np.concatenate(found) if found else np.empty(0, np.uint64), rows, len(found))
                     columns.append(pa.array(fp.view(np.int64)))
-                yield pa.RecordBatch.from_arrays(columns, names=["id", *(f"fp{k}" for k in range(len(seeds)))])
+                columns.insert(1, pa.array([len(h) for h in found], pa.int64()))
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", *(f"fp{k}" for k in range(len(seeds)))])
 
-    schema = f"id {id_type}, " + ", ".join(f"fp{k} bigint" for k in range(len(seeds)))
+    schema = f"id {id_type}, n bigint, " + ", ".join(f"fp{k} bigint" for k in range(len(seeds)))
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
@@ -179,17 +183,28 @@ def spanning_forest(i: np.ndarray, j: np.ndarray, cost: np.ndarray) -> np.ndarra
     return np.array(kept, np.int64)
 
 
-def links_in_grid(fps: DataFrame, columns: list[str], radius: int, block_rows: int = BLOCK_ROWS, nearest: int = 0) -> DataFrame:
+def links_in_grid(
+    fps: DataFrame, columns: list[str], radius: int, block_rows: int = BLOCK_ROWS, nearest: int = 0, size: str | None = None, similarity: float = 0.0
+) -> DataFrame:
     """Links (a, b, distance) between rows (id, *columns) whose fingerprints differ in at most ``radius`` bits together.
 
-    Rows are laid out by population count in blocks of about ``block_rows``; each
-    pair of blocks within the radius is one task's tile. From every tile the links
+    Rows are laid out in blocks of about ``block_rows`` by population count, or by
+    the logarithm of column ``size``; each pair of blocks within reach is one
+    task's tile, and inside it sub-tiles beyond reach are skipped. The reach is the
+    radius, or the ratio of two set sizes whose Jaccard similarity is at least
+    ``similarity``: the smaller has that share of the larger. From every tile the links
     of a minimal spanning forest are kept, so that at any smaller radius the
     components are those of all links, and the ``nearest`` links of each row.
     """
     spark = fps.sparkSession
-    fps = materialize(fps.select("id", *columns, sum(F.bit_count(c) for c in columns).alias("pop")))
-    counts = dict(fps.groupBy("pop").count().collect())  # one row for each population count
+    reach, key = radius, sum(F.bit_count(c) for c in columns)
+    if size is not None:
+        if not 0 < similarity < 1:
+            raise ValueError("a size bound needs a similarity between 0 and 1")
+        reach, steps = SIZE_STEPS + 1, SIZE_STEPS / -np.log(similarity)  # one more for rounding down
+        key = F.floor(F.log(F.greatest(F.col(size), F.lit(1))) * steps).cast("int")
+    fps = materialize(fps.select("id", *columns, key.alias("pop")))
+    counts = dict(fps.groupBy("pop").count().collect())  # one row for each population count or step of size
     total = sum(counts.values())
     if not total:
         return spark.createDataFrame([], fps.select("id", F.col("id").alias("b"), F.lit(0).alias("distance")).toDF("a", "b", "distance").schema)
@@ -197,9 +212,9 @@ def links_in_grid(fps: DataFrame, columns: list[str], radius: int, block_rows: i
     pops = sorted(counts)
     before = dict(zip(pops, np.concatenate([[0], np.cumsum([counts[p] for p in pops])[:-1]]).tolist()))
     first = {p: before[p] * n_blocks // total for p in pops}
-    low, high = [0] * n_blocks, [64 * len(columns)] * n_blocks
+    low, high = [0] * n_blocks, [0] * n_blocks
     for b in range(n_blocks):
-        inside = [p for p in pops if first[p] <= b <= (before[p] + counts[p] - 1) * n_blocks // total] or [0]
+        inside = [p for p in pops if first[p] <= b <= (before[p] + counts[p]) * n_blocks // total] or pops
         low[b], high[b] = min(inside), max(inside)
 
     def looked_up(values: dict[int, int]) -> Column:
@@ -210,7 +225,7 @@ def links_in_grid(fps: DataFrame, columns: list[str], radius: int, block_rows: i
     lows, highs = F.array(*map(F.lit, low)), F.array(*map(F.lit, high))
     other = F.col("other")
     at = lambda array, k: F.element_at(array, k + 1)
-    met = (at(lows, F.greatest("block", other)) - at(highs, F.least("block", other))) <= radius
+    met = (at(lows, F.greatest("block", other)) - at(highs, F.least("block", other))) <= reach
     tiles = (
         rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
         .where(met)
@@ -224,22 +239,22 @@ def links_in_grid(fps: DataFrame, columns: list[str], radius: int, block_rows: i
         values = [np.ascontiguousarray(table[c].to_numpy()).view(np.uint64) for c in columns]
         cut = int(np.searchsorted(block, block[0], "right"))
         same = cut == len(block)
-        i, j, d = _near(values, pop, slice(0, cut), slice(0, cut) if same else slice(cut, len(block)), same, radius, nearest)
+        i, j, d = _near(values, pop, slice(0, cut), slice(0, cut) if same else slice(cut, len(block)), same, radius, reach, nearest)
         ids = table["id"].combine_chunks()
         return pa.table({"a": ids.take(pa.array(i)), "b": ids.take(pa.array(j)), "distance": pa.array(d.astype(np.int32))})
 
     return tiles.groupBy("tile").applyInArrow(run, f"a {id_type}, b {id_type}, distance int")
 
 
-def _near(values, pop, rows: slice, others: slice, same: bool, radius: int, nearest: int, high: int = 64, wide: int = 2048):
-    """Places and distances of the links that ``_thinned`` keeps, by sub-tiles whose population counts allow them."""
+def _near(values, pop, rows: slice, others: slice, same: bool, radius: int, reach: int, nearest: int, high: int = 64, wide: int = 2048):
+    """Places and distances of the links that ``_thinned`` keeps, by sub-tiles within reach."""
     held = (np.empty(0, np.int64),) * 3
     for a in range(rows.start, rows.stop, high):
         top = min(a + high, rows.stop)
         found = []
         for b in range(others.start if not same else a - (a - rows.start) % wide, others.stop, wide):
             end = min(b + wide, others.stop)
-            if pop[b] - pop[top - 1] > radius or pop[a] - pop[end - 1] > radius:
+            if pop[b] - pop[top - 1] > reach or pop[a] - pop[end - 1] > reach:
                 continue
             d = np.bitwise_count(values[0][a:top, None] ^ values[0][None, b:end])
             for v in values[1:]:
@@ -332,11 +347,12 @@ def drop_near_duplicates(
     key = "_near_duplicate_uid"
     named = docs.withColumn(key, uid)
     rows = named.select(F.struct(F.col(key).alias("uid"), F.col(id_col).alias("own")).alias("id"), F.col(text_col).alias("text"))
-    prints = fingerprints(rows, "id", "text", words, (42, 43), distinct=True).select("id.uid", "id.own", "fp0", "fp1")
+    prints = fingerprints(rows, "id", "text", words, (42, 43), distinct=True).select("id.uid", "id.own", "n", "fp0", "fp1")
     prints = materialize(prints)
-    place = F.struct(F.col("own").isNull().alias("last"), "own", "uid")
+    place = F.struct(F.col("own").isNull().alias("last"), "own", "uid", "n")
     groups = materialize(prints.groupBy("fp0", "fp1").agg(F.min(place).alias("least")))
-    links = materialize(links_in_grid(groups.select(F.col("least.uid").alias("id"), "fp0", "fp1"), ["fp0", "fp1"], radius, nearest=nearest))
+    nodes = groups.select(F.col("least.uid").alias("id"), F.col("least.n").alias("n"), "fp0", "fp1")
+    links = materialize(links_in_grid(nodes, ["fp0", "fp1"], radius, nearest=nearest, size="n", similarity=similarity))
     ends = links.select(F.explode(F.array("a", "b")).alias(key)).distinct()
     sets = shingle_sets(named.join(ends, key, "left_semi").select(F.col(key).alias("id"), F.col(text_col).alias("text")), words, 42)
     a, b = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"shingles_{c}")) for c in "ab")
