@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from text_fixtures import LONG, ODD, table
 from trialframe.llm.components import connected
-from trialframe.llm.simhash import drop_near_duplicates, links_in_bands, links_in_grid, simhash_components, spanning_forest
+from trialframe.llm.simhash import drop_near_duplicates, fingerprints, links_in_bands, links_in_grid, simhash_components, spanning_forest
 
 
 def words(text):
@@ -181,3 +181,34 @@ def test_size_bound_loses_no_similar_pair(spark):
         if min(p[1], q[1]) >= 0.8 * max(p[1], q[1]):
             assert frozenset((p[0], q[0])) in got
     assert len(got) < 300 * 299 / 2 / 2
+
+
+def test_crowd_of_look_alikes_in_several_tiles(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    text = [word() for _ in range(124)]
+    rows = []
+    for k in range(120):
+        edited = list(text)
+        for at in rng.sample(range(0, 120, 10), 3):  # three edits each: 0.78 and less, or more where places are shared
+            edited[at + 4] = word() if k % 3 else f"edit{at % 30}"
+        rows.append((k, " ".join(edited)))
+    docs = table(spark, rows)
+    expected = kept_by_brute(rows)
+    assert 1 < len(expected) < len(rows)
+    for block_rows, nearest in ((16, 1), (40, 4), (1 << 15, 4)):
+        kept = drop_near_duplicates(docs, block_rows=block_rows, nearest=nearest)
+        assert sorted((r["doc_id"] for r in kept.collect()), key=str) == expected
+
+
+def test_pairs_far_apart_by_fingerprint(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    rows = []
+    for _ in range(150):
+        text = [word() for _ in range(9)]
+        rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(text[:8]))]  # four of five shingles
+    docs = table(spark, rows)
+    a, b = ({r["id"] // 2: r for r in fingerprints(docs, words=5, seeds=(42, 43), distinct=True).where(F.col("id") % 2 == k).collect()} for k in (0, 1))
+    assert any((a[k]["fp0"] ^ b[k]["fp0"]).bit_count() + (a[k]["fp1"] ^ b[k]["fp1"]).bit_count() > 28 for k in a)
+    assert sorted(r["doc_id"] for r in drop_near_duplicates(docs).collect()) == list(range(0, 300, 2))
