@@ -89,3 +89,14 @@ def test_empty_table_and_native_plan(empty):
     found = S.secret_spans(empty)
     assert found.collect() == []
     assert not re.search("Python|Pandas|Arrow|Exchange", found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_secrets_of_letters_and_in_paths(spark):
+    letters, key = "QxZvBnRtYuKpLmWsEdCfGhJaOiTb", "kJ8sd92HsLq0ZmXvB3tYwQ7uPa51"
+    secret = [letters, f"docs/example/{key}", f"example_{key}", f"{letters[:9]}/{letters[9:18]}/{letters[18:]}", f"EXAMPLE={key}", f"path/to/{letters}"]
+    plain = ["docs/getting-started/installation_guide", "MAX_NUMBER_OF_OPEN_CONNECTIONS", "src/main/HttpServletRequest/doFilter=", "a/b" * 20_000, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "InternationalizationSupport"]
+    found = {r["text"]: r["spans"] for r in S.secret_spans(table(spark, list(enumerate(secret + plain)))).collect()}
+    for text in secret:
+        (span,) = found[text]
+        assert span["kind"] == "entropy" and span["stop"] == len(text) and span["start"] <= len(text) - 28
+    assert all(not found[text] for text in plain)
