@@ -65,7 +65,10 @@ def _powers(kind: str, base: int, n: int) -> np.ndarray:
 class SpanHash:
     """64-bit hashes of any byte spans, from one pass over the bytes.
 
-    A span's hash depends on its bytes alone, not on its place.
+    A span's hash depends on its bytes alone, not on its place. The hash is a polynomial
+    modulo 2^64, for which long spans of equal hash can be built (Thue-Morse words of
+    1,024 letters). Where a false match would be a wrong result, spans are shorter than
+    that or their bytes decide (``numbered``).
     """
 
     def __init__(self, data: np.ndarray):
@@ -127,3 +130,30 @@ def list_array(counts: np.ndarray, values: pa.Array) -> pa.Array:
     at = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=at[1:])
     return pa.ListArray.from_arrays(pa.array(at), values)
+
+
+def runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for ``size[0]`` places, then the same for the next."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def gathered(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
+    """The byte spans as a string column; they may overlap."""
+    whole = data.tobytes()
+    ends = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(stop - start, out=ends[1:])
+    joined = b"".join([whole[a:b] for a, b in zip(start.tolist(), stop.tolist())])
+    return pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(joined)])
+
+
+def kept_spans(data: np.ndarray, inside: np.ndarray, size: np.ndarray) -> pa.Array:
+    """All maximal runs of bytes flagged in ``inside``, of these sizes, as a string column."""
+    ends = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=ends[1:])
+    return pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(data[inside[data]])])
+
+
+def numbered(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """A number for each value, equal just for equal values, and the distinct values by number."""
+    found = column.dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary

@@ -1,18 +1,19 @@
 """Phrase collocations, counted by prefix-free parsing.
 
-The words of a piece (a stretch between punctuation marks or line ends) are cut into
-chunks where a hash of ``longest - 1`` consecutive words says so. Neighbouring chunks
-overlap by just these words, so every phrase of up to ``longest`` words lies whole in
-some chunk, and equal passages give equal chunks wherever they stand. The distinct
-chunks with their frequencies are the dictionary; phrases are counted inside it, each
-chunk weighted by its frequency. A phrase that starts within the overlap at a chunk's
-end belongs to the next chunk, so it is counted once.
+The words of a text are cut into chunks where a hash of ``longest - 1`` consecutive
+words says so. Neighbouring chunks overlap by just these words, so every phrase of up to
+``longest`` words lies whole in some chunk, and equal passages give equal chunks wherever
+they stand. The distinct chunks with their frequencies are the dictionary; phrases are
+counted inside it, each chunk weighted by its frequency. A phrase that starts within the
+overlap at a chunk's end belongs to the next chunk, so it is counted once. A chunk keeps
+the places where a piece (a stretch between punctuation marks or line ends) ends; no
+phrase goes beyond one.
 
 Phrases of one more word at a time: one of k words can only reach the least count if
 both of its parts of k - 1 words do. The frequent ones of the level before reach the
 tasks as a bit array of a fixed size, by hash. A hash that is shared lets a phrase be
-counted that need not be; no phrase is lost, whatever the size of the corpus. Within a
-task, phrases are keyed by exact word numbers, between tasks by their text.
+counted that need not be; no phrase is lost, whatever the size of the corpus. Counts
+are keyed by the phrases' text.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from trialframe.llm._arrays import SpanHash, ascii_lower, byte_table, chunks, mixed, spans, text_bytes
-from trialframe.session import broadcast_if_small, materialize
+from trialframe.llm._arrays import SpanHash, ascii_lower, byte_table, chunks, gathered, kept_spans, mixed, numbered, spans, text_bytes
+from trialframe.session import broadcast_if_small, materialize, written
 
 LEAST = 100
 LONGEST = 5
 TOP = 2000
-SPACING = 16  # words between triggers, in the mean
+SPACING = 32  # words between triggers, in the mean
 FILTER_BITS = 27  # of the bit array of frequent phrases: 16 MB
 BATCH_BYTES = 8 << 20
 SLICE_BYTES = 4 << 20
@@ -38,23 +39,10 @@ ROW_BYTES = 96  # of a counted phrase, when it is sent to every task
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _BREAK = byte_table(lambda b: b in _BREAKS)
 _WORD = byte_table(lambda b: b not in _BREAKS and b not in b" \t")
-_IN_CHUNK = byte_table(lambda b: b != 0x20)
+_IN_CHUNK = byte_table(lambda b: b != 0x20 and b != 0x0A)
 _FACTORS = np.random.default_rng(23).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start[0], start[0] + 1, ... for ``size[0]`` places, then the same for the next."""
-    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-
-
-def gathered(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
-    """The byte spans as a string column; they may overlap."""
-    size = stop - start
-    ends = np.zeros(len(size) + 1, np.int32)
-    np.cumsum(size, out=ends[1:])
-    return pa.Array.from_buffers(pa.string(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data[runs(start, size)]))])
-
-
 def phrase_hashes(words: np.ndarray, groups: np.ndarray, size: int) -> np.ndarray:
     """Hash of the ``size`` words that start at each word, with the group of the first."""
     n = max(len(words) - size + 1, 0)
@@ -65,34 +53,36 @@ def phrase_hashes(words: np.ndarray, groups: np.ndarray, size: int) -> np.ndarra
 
 
 def parse(column: pa.Array, longest: int, spacing: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Chunks of all texts (each word with a space behind), their row, whether a piece ends with them, and the phrases' starts that are theirs."""
+    """Chunks of all texts, their row, whether a text ends with them, and how many words they do not leave to the next.
+
+    Behind each word of a chunk stands a space, or a newline where a piece ends.
+    """
     data, at = text_bytes(column)
     data = ascii_lower(data)
     start, stop, row = spans(data, at, _WORD)
     n, over = len(start), longest - 1
     if not n:
         empty = np.empty(0, np.int64)
-        return pa.array([], pa.string()), empty, empty.astype(bool), empty
+        return pa.array([], pa.large_string()), empty, empty.astype(bool), empty
     breaks = np.cumsum(_BREAK[data])[start]
-    begins = np.ones(n, bool)
-    begins[1:] = (breaks[1:] != breaks[:-1]) | (row[1:] != row[:-1])
-    first = np.flatnonzero(begins)
-    piece = np.cumsum(begins) - 1
-    end = np.append(first[1:], n)[piece]  # of the piece, for each word
-    if over:
-        window = phrase_hashes(SpanHash(data)(start, stop), np.zeros(n, np.uint64), over)
-        cut = np.flatnonzero(window % np.uint64(spacing) == 0)
-        cut = cut[(cut + over < end[cut]) & ~begins[cut]]
-        begins[cut] = True
+    new_text = np.append(True, row[1:] != row[:-1])
+    ends_piece = np.append(new_text[1:] | (breaks[1:] != breaks[:-1]), True)
+    first = np.flatnonzero(new_text)
+    end = np.append(first[1:], n)[np.cumsum(new_text) - 1]  # of the text, for each word
+    window = phrase_hashes(SpanHash(data)(start, stop), np.zeros(n, np.uint64), over)
+    cut = np.flatnonzero(window % np.uint64(spacing) == 0)
+    begins = new_text.copy()
+    begins[cut[cut + over < end[cut]]] = True
     lo = np.flatnonzero(begins)
-    closed = np.append(piece[lo[1:]] != piece[lo[:-1]], True)
+    closed = np.append(new_text[lo[1:]], True)
     hi = np.where(closed, end[lo], np.append(lo[1:], 0) + over)
     size = stop - start + 1
-    spaced = np.full(int(size.sum()), 0x20, np.uint8)  # every word with one space behind
+    spaced = np.full(int(size.sum()), 0x20, np.uint8)  # every word with one byte behind
     word_at = np.concatenate([[0], np.cumsum(size)])
     inside = np.ones(len(spaced), bool)
     inside[word_at[1:] - 1] = False
-    spaced[inside] = data[runs(start, stop - start)]
+    spaced[inside] = data[_WORD[data]]
+    spaced[word_at[1:][ends_piece] - 1] = 0x0A
     return gathered(spaced, word_at[lo], word_at[hi]), row[lo], closed, hi - lo - np.where(closed, 0, over)
 
 
@@ -103,7 +93,7 @@ def chunk_dictionary(docs: DataFrame, longest: int, spacing: int) -> DataFrame:
         for batch in batches:
             for part, column in chunks(batch, limit=SLICE_BYTES):
                 chunk, row, closed, starts = parse(column, longest, spacing)
-                found = pa.table({"grp": part.column(0).take(pa.array(row)), "chunk": chunk, "closed": closed, "starts": starts})
+                found = pa.table({"grp": part.column(0).take(pa.array(row)), "chunk": chunk.cast(pa.string()), "closed": closed, "starts": starts})
                 counted = found.group_by(["grp", "chunk", "closed", "starts"]).aggregate([([], "count_all")])
                 yield from counted.rename_columns(["grp", "chunk", "closed", "starts", "n"]).to_batches()
 
@@ -111,52 +101,37 @@ def chunk_dictionary(docs: DataFrame, longest: int, spacing: int) -> DataFrame:
     return parts.groupBy("grp", "chunk", "closed", "starts").agg(F.sum("n").alias("n"))
 
 
-def exact_keys(parts: list[np.ndarray], sizes: list[int]) -> np.ndarray:
-    """One number for each tuple of numbers, equal just for equal tuples."""
-    key, room = parts[0].astype(np.int64), sizes[0]
-    for part, size in zip(parts[1:], sizes[1:]):
-        if room * size >= 1 << 62:
-            known, key = np.unique(key, return_inverse=True)
-            room = len(known)
-        key, room = key * size + part, room * size
-    return key
-
-
 def count_batch(table: pa.Table, size: int, over: int, bits: np.ndarray | None) -> pa.RecordBatch:
     """(grp, phrase, n): phrases of ``size`` words in dictionary rows, those that the level before does not rule out."""
-    column = table["chunk"].combine_chunks().cast(pa.large_string())
-    data, at = text_bytes(column)
+    data, at = text_bytes(table["chunk"].combine_chunks().cast(pa.large_string()))
     start, stop, row = spans(data, at, _IN_CHUNK)
     n = len(start)
-    words = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.append(start, len(data)).astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
-    number, spelled = words.indices.to_numpy(), words.dictionary
-    groups = table["grp"].combine_chunks().dictionary_encode()
-    group = groups.indices.to_numpy()[row]
+    group, groups = numbered(table["grp"].combine_chunks())
     at_word = np.searchsorted(row, np.arange(len(table) + 1))
-    end = at_word[1:][row]
     last = np.where(table["closed"].to_numpy(), at_word[1:], at_word[1:] - over)[row]
-    place = np.arange(n)
-    here = np.flatnonzero((place + size <= end) & (place < last))
+    piece = np.cumsum(np.append(0, data[stop[:-1]] == 0x0A)) if n else np.empty(0, np.int64)
+    here = np.flatnonzero(np.arange(n) < last)
+    here = here[here + size <= n]
+    here = here[(piece[here + size - 1] == piece[here]) & (row[here + size - 1] == row[here])]
     if bits is not None:
-        known, lane = _hash_inputs(spelled, groups.dictionary)
-        before = phrase_hashes(known[number], lane[group], size - 1) >> np.uint64(64 - FILTER_BITS)
+        before = phrase_hashes(SpanHash(data)(start, stop), _group_hashes(groups)[group[row]], size - 1) >> np.uint64(64 - FILTER_BITS)
         seen = (bits[before >> np.uint64(3)] >> (before & np.uint64(7)).astype(np.uint8)) & 1
         here = here[(seen[here] & seen[here + 1]).astype(bool)]
-    key = exact_keys([group[here], *(number[here + k] for k in range(size))], [max(len(groups.dictionary), 1)] + [max(len(spelled), 1)] * size)
+    words = kept_spans(data, _IN_CHUNK, stop - start).take(pa.array(here)) if size == 1 else gathered(data, start[here], stop[here + size - 1])
+    number, phrases = numbered(words)
+    weight, group = table["n"].to_numpy()[row[here]], group[row[here]]
+    key = group.astype(np.int64) * max(len(phrases), 1) + number
     order = np.argsort(key, kind="stable")
     first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(order) else np.empty(0, np.int64)
-    weight = table["n"].to_numpy()[row[here[order]]]
-    total = np.add.reduceat(weight, first) if len(first) else np.empty(0, np.int64)
-    one = here[order[first]]
-    phrases = gathered(data, start[one], stop[one + size - 1])
-    return pa.RecordBatch.from_arrays([groups.dictionary.take(pa.array(group[one])), phrases, pa.array(total)], names=["grp", "phrase", "n"])
+    total = np.add.reduceat(weight[order], first) if len(first) else np.empty(0, np.int64)
+    one = order[first]
+    phrase = phrases.take(pa.array(number[one])).cast(pa.string())
+    return pa.RecordBatch.from_arrays([groups.take(pa.array(group[one])), phrase, pa.array(total)], names=["grp", "phrase", "n"])
 
 
-def _hash_inputs(spelled: pa.Array, groups: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (each with a space behind) and of the groups."""
-    word_data, word_at = text_bytes(spelled)
-    group_data, group_at = text_bytes(groups.cast(pa.large_string()))
-    return SpanHash(word_data)(word_at[:-1], word_at[1:] - 1), SpanHash(group_data)(group_at[:-1], group_at[1:])
+def _group_hashes(groups: pa.Array) -> np.ndarray:
+    data, at = text_bytes(groups.cast(pa.large_string()))
+    return SpanHash(data)(at[:-1], at[1:])
 
 
 def gathered_batches(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
@@ -188,12 +163,11 @@ def frequent_bits(phrases: DataFrame, size: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups = batch.column(0).dictionary_encode()
+            group, groups = numbered(batch.column(0))
             column = batch.column(1).cast(pa.large_string())
             data, at = text_bytes(column)
             start, stop, row = spans(data, at, _IN_CHUNK)
-            _, lane = _hash_inputs(pa.array([], pa.large_binary()), groups.dictionary)
-            h = phrase_hashes(SpanHash(data)(start, stop), lane[groups.indices.to_numpy()][row], size)
+            h = phrase_hashes(SpanHash(data)(start, stop), _group_hashes(groups)[group[row]], size)
             first = np.searchsorted(row, np.arange(len(batch)))
             yield pa.RecordBatch.from_arrays([pa.array((h[first] >> np.uint64(64 - FILTER_BITS)).astype(np.int64) + 1)], names=["place"])
 
@@ -208,7 +182,7 @@ def frequent_bits(phrases: DataFrame, size: int) -> np.ndarray:
 
 def phrase_counts(docs: DataFrame, longest: int, least: int, spacing: int) -> tuple[DataFrame, DataFrame]:
     """(grp, phrase, words, n) of all phrases of 1 to ``longest`` words with ``least`` occurrences or more; (grp, n) of all words."""
-    dictionary = materialize(chunk_dictionary(docs, longest, spacing))
+    dictionary = written(chunk_dictionary(docs, longest, spacing))
     totals = dictionary.groupBy("grp").agg(F.sum(F.col("starts") * F.col("n")).alias("n"))
     levels, bits = [], None
     for size in range(1, longest + 1):
