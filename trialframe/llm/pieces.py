@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from trialframe.llm._arrays import SpanHash, chunks, list_array, text_bytes
+from trialframe.llm._arrays import chunks, list_array, numbered, text_bytes
 
 MARK = 0xFF  # stands for the marker in byte arrays; no UTF-8 text has this byte
 UNKNOWN_PENALTY = 10.0
@@ -238,10 +238,10 @@ def encode_chunk(pieces: Pieces, column: pa.Array) -> tuple[np.ndarray, np.ndarr
     cut[1:] |= (is_mark[1:] & ~is_mark[:-1]) | alone[:-1]
     cut[lead] = True
     start = np.flatnonzero(cut)
-    stop = np.append(start[1:], len(marked))
-    hashes = SpanHash(marked)(start, stop)
-    _, first, word = np.unique(hashes, return_index=True, return_inverse=True)
-    ids, counts = best_paths(pieces, marked, start[first], stop[first])
+    ends = pa.py_buffer(np.append(start, len(marked)).astype(np.int64))
+    word, words = numbered(pa.Array.from_buffers(pa.large_binary(), len(start), [None, ends, pa.py_buffer(marked)]))
+    spelled, word_at = text_bytes(words)
+    ids, counts = best_paths(pieces, spelled, word_at[:-1], word_at[1:])
     begin = np.cumsum(counts) - counts
     n = counts[word]
     ids = ids[np.repeat(begin[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
