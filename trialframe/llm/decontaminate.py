@@ -10,9 +10,12 @@ window gives the one start that is possible; a start before the document's first
 word or an end after its last drops out; what is left is compared word by word
 over the window's own length.
 
+Words are compared by their bytes: a block of windows numbers its distinct words, and
+a document's words are looked up in them.
+
 The windows go to the tasks in blocks of at most ``BLOCK_BYTES``. A benchmark
-within one block takes one pass; a larger one adds a pass for each block to the
-same tasks, so nothing of the documents is shuffled.
+within one block takes one pass; a larger one takes a pass for each block, with what
+earlier ones have found written in between. Nothing of the documents is shuffled.
 """
 
 from __future__ import annotations
@@ -22,92 +25,100 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from trialframe.llm._arrays import SpanHash, ascii_lower, byte_table, chunks, list_array, spans, text_bytes
+from trialframe.llm._arrays import ascii_lower, byte_table, chunks, gathered, kept_spans, list_array, numbered, runs, spans, text_bytes
 from trialframe.session import materialize
 
 WINDOW = 13
 BLOCK_BYTES = 32 << 20
+WINDOW_BYTES = 128  # of a window beside its words: their numbers, and its place in the index
+CHUNK = 4 << 20
 _WORD = byte_table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of every word: runs of digits, letters and bytes beyond ASCII, A-Z lower-cased."""
+def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Text and row of every word: runs of digits, letters and bytes beyond ASCII, A-Z lower-cased."""
     data, at = text_bytes(column)
     data = ascii_lower(data)
     starts, stops, rows = spans(data, at, _WORD)
-    return SpanHash(data)(starts, stops), rows
+    return kept_spans(data, _WORD, stops - starts), rows
+
+
+def known_words(column: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Place in ``vocabulary`` (-1 where it has none) and row of every word; words are compared by their bytes."""
+    words, rows = words_of(column)
+    number, distinct = numbered(words)
+    place = pc.fill_null(pc.index_in(distinct, value_set=vocabulary), -1).to_numpy()
+    return place[number], rows
 
 
 @dataclass
 class WindowIndex:
-    """Windows by their rarest word: all arrays are sorted by ``token``."""
+    """Windows by their rarest word: words are places in ``vocabulary``, windows are in order of ``token``."""
 
-    token: np.ndarray  # rarest word of each window
-    offset: np.ndarray  # its place in the window
+    vocabulary: pa.Array
+    first: np.ndarray  # of each word as a token: its first window, and one more at the end
+    offset: np.ndarray  # place of the token in its window
     size: np.ndarray
-    words: np.ndarray  # windows x longest window, zero beyond a window's size
+    words: np.ndarray  # windows x longest window, -2 beyond a window's size
     item_at: np.ndarray  # first item of each window in ``items``
     items: list[str]
-    seen: np.ndarray  # 65,536 flags by the leading bits of the tokens
-
-    def occurrences(self, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start places and windows of all occurrences; ``hashes`` are in text order."""
-        places = np.flatnonzero(self.seen[hashes >> np.uint64(48)])
-        lo = np.searchsorted(self.token, hashes[places], "left")
-        n = np.searchsorted(self.token, hashes[places], "right") - lo
-        places, lo, n = places[n > 0], lo[n > 0], n[n > 0]
-        window = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        place = np.repeat(places, n)
+
+    def occurrences(self, places: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and windows of all occurrences; ``places`` are those of ``known_words``, in text order."""
+        n_windows = np.diff(self.first)
+        at = np.flatnonzero(places >= 0)
+        at = at[n_windows[places[at]] > 0]
+        n = n_windows[places[at]]
+        window, place = runs(self.first[places[at]], n), np.repeat(at, n)
         start = place - self.offset[window]
         stop = start + self.size[window]
-        fits = (start >= 0) & (stop <= len(hashes))
+        fits = (start >= 0) & (stop <= len(places))
         start, stop, window, place = start[fits], stop[fits], window[fits], place[fits]
         fits = (rows[start] == rows[place]) & (rows[stop - 1] == rows[place])
         start, window = start[fits], window[fits]
         for k in range(self.words.shape[1]):
             size = self.size[window]
-            at = np.minimum(start + k, len(hashes) - 1)
-            same = (k >= size) | (hashes[at] == self.words[window, k])
+            here = np.minimum(start + k, len(places) - 1)
+            same = (k >= size) | (places[here] == self.words[window, k])
             start, window = start[same], window[same]
         return start, window
 
 
 def item_windows(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(item, words): every distinct window of every item, as word hashes."""
+    """(item, words): every distinct window of every item, as words with a space between."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, column in chunks(batch):
-                hashes, rows = word_hashes(column)
-                ids = part.column(0)
-                at = np.searchsorted(rows, np.arange(len(ids) + 1))
-                for row in range(len(ids)):
-                    own = hashes[at[row] : at[row + 1]].view(np.int64)
-                    if len(own):
-                        all_ = np.lib.stride_tricks.sliding_window_view(own, min(size, len(own)))
-                        yield pa.RecordBatch.from_arrays(
-                            [ids.take(pa.array(np.full(len(all_), row))), list_array(np.full(len(all_), all_.shape[1]), pa.array(np.ascontiguousarray(all_).ravel()))],
-                            names=["item", "words"],
-                        )
+                words, rows = words_of(column)
+                if not len(words):
+                    continue
+                spaced, word_at = text_bytes(pc.binary_join_element_wise(words, *(pa.scalar(x, pa.large_string()) for x in ("", " "))))
+                at = np.searchsorted(rows, np.arange(len(part) + 1))
+                n = np.diff(at)
+                own = np.where(n > 0, np.maximum(n - size, 0) + 1, 0)  # windows of each row
+                row = np.repeat(np.arange(len(part)), own)
+                first = runs(at[:-1], own)
+                last = first + np.minimum(n, size)[row]
+                windows = gathered(spaced, word_at[first], word_at[last] - 1)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), windows.cast(pa.string())], names=["item", "words"])
 
     rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
-    return rows.where("item is not null").mapInArrow(run, "item string, words array<bigint>").distinct()
+    return rows.where("item is not null").mapInArrow(run, "item string, words string").distinct()
 
 
-def corpus_counts(docs: DataFrame, text_col: str, vocabulary: np.ndarray) -> np.ndarray:
-    """How often each word of the sorted ``vocabulary`` occurs in all documents."""
+def corpus_counts(docs: DataFrame, text_col: str, vocabulary: pa.Array) -> np.ndarray:
+    """How often each word of ``vocabulary`` occurs in all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(len(vocabulary), np.int64)
-        seen = leading_bits(vocabulary)
         for batch in batches:
-            for _, column in chunks(batch, 0):
-                hashes, _ = word_hashes(column)
-                hashes = hashes[seen[hashes >> np.uint64(48)]]
-                at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-                counts += np.bincount(at[vocabulary[at] == hashes], minlength=len(vocabulary))
+            for _, column in chunks(batch, 0, CHUNK):
+                places, _ = known_words(column, vocabulary)
+                counts += np.bincount(places[places >= 0], minlength=len(vocabulary))
         places = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(counts[places])], names=["place", "n"])
 
@@ -118,26 +129,18 @@ def corpus_counts(docs: DataFrame, text_col: str, vocabulary: np.ndarray) -> np.
     return out
 
 
-def leading_bits(hashes: np.ndarray) -> np.ndarray:
-    seen = np.zeros(1 << 16, bool)
-    seen[hashes >> np.uint64(48)] = True
-    return seen
-
-
-def build_index(windows: list, docs: DataFrame, text_col: str) -> WindowIndex:
+def build_index(windows: pa.Table, docs: DataFrame, text_col: str) -> WindowIndex:
     """Index of one block of (item, words) rows, ordered by rarity over all documents."""
-    longest = max(len(words) for _, words in windows)
-    table = np.zeros((len(windows), longest + 1), np.int64)
-    for k, (_, words) in enumerate(windows):
-        table[k, 0] = len(words)
-        table[k, 1 : len(words) + 1] = words
-    distinct, which = np.unique(table, axis=0, return_inverse=True)
-    which = which.ravel()
-    size, words = distinct[:, 0], np.ascontiguousarray(distinct[:, 1:]).view(np.uint64)
+    which, distinct = numbered(windows["words"].combine_chunks().cast(pa.large_string()))
+    lists = pc.split_pattern(distinct, " ")
+    size = np.diff(lists.offsets.to_numpy())
+    number, vocabulary = numbered(lists.flatten())
+    longest = int(size.max())
     inside = np.arange(longest)[None, :] < size[:, None]
-    vocabulary = np.unique(words[inside])
+    words = np.full(inside.shape, -2, np.int32)
+    words[inside] = number
     counts = corpus_counts(docs, text_col, vocabulary)
-    rarity = np.where(inside, counts[np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)], np.iinfo(np.int64).max)
+    rarity = np.where(inside, counts[words], np.iinfo(np.int64).max)
     offset = rarity.argmin(axis=1)
     token = words[np.arange(len(words)), offset]
     order = np.argsort(token, kind="stable")
@@ -145,8 +148,9 @@ def build_index(windows: list, docs: DataFrame, text_col: str) -> WindowIndex:
     rank[order] = np.arange(len(order))
     by_window = np.argsort(rank[which], kind="stable")
     item_at = np.searchsorted(rank[which][by_window], np.arange(len(order) + 1))
-    items = [windows[k][0] for k in by_window]
-    return WindowIndex(token[order], offset[order], size[order], words[order], item_at, items, leading_bits(token))
+    items = windows["item"].take(pa.array(by_window)).to_pylist()
+    first = np.searchsorted(token[order], np.arange(len(vocabulary) + 1))
+    return WindowIndex(vocabulary, first, offset[order], size[order], words[order], item_at, items)
 
 
 def contamination(
@@ -168,7 +172,7 @@ def contamination(
     empty benchmark hits nothing.
     """
     windows = materialize(item_windows(benchmark, item_col, item_text_col, window))
-    bytes_ = windows.agg(F.sum(F.size("words") * 8 + F.octet_length("item") + 64)).first()[0] or 0
+    bytes_ = windows.agg(F.sum(F.octet_length("words") + F.octet_length("item") + WINDOW_BYTES)).first()[0] or 0
     n_blocks = -(-int(bytes_) // block_bytes)
     rows = docs.select(
         F.col(id_col).alias("id"),
@@ -181,26 +185,28 @@ def contamination(
     kinds = rows.schema
     for block in range(max(n_blocks, 1)):
         here = windows.where(F.pmod(F.xxhash64("item", "words"), F.lit(max(n_blocks, 1))) == block)
-        found = [(item, words) for item, words in here.collect()]  # at most about block_bytes
-        index = build_index(found, docs, text_col) if found else None
+        found = here.toArrow()  # at most about block_bytes
+        index = build_index(found, docs, text_col) if len(found) else None
         rows = rows.mapInArrow(lambda batches, index=index: _marked(batches, index), kinds)
+        if n_blocks > 1:  # so that one index at a time is in the tasks
+            rows = materialize(rows)
     return rows.drop("text")
 
 
 def _marked(batches: Iterator[pa.RecordBatch], index: WindowIndex | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, column in chunks(batch):
-            hashes, rows = word_hashes(column)
+        for part, column in chunks(batch, limit=CHUNK):
+            places, rows = known_words(column, index.vocabulary if index is not None else pa.array([], pa.large_string()))
             n = len(part)
             at = np.searchsorted(rows, np.arange(n + 1))
-            edges = np.zeros(len(hashes) + 1, np.int64)
+            edges = np.zeros(len(places) + 1, np.int64)
             for name, sign in (("starts", 1), ("stops", -1)):  # what earlier blocks have found
                 lists = part.column(part.schema.get_field_index(name))
                 values = lists.flatten().to_numpy(zero_copy_only=False)
                 np.add.at(edges, values + np.repeat(at[:n], np.diff(lists.offsets.to_numpy())), sign)
             items = part.column(part.schema.get_field_index("items")).to_pylist()
             if index is not None:
-                start, window = index.occurrences(hashes, rows)
+                start, window = index.occurrences(places, rows)
                 np.add.at(edges, start, 1)
                 np.add.at(edges, start + index.size[window], -1)
                 for row, w in np.unique(np.stack([rows[start], window]), axis=1).T.tolist():
