@@ -14,7 +14,6 @@ scoring is one look-up for each n-gram of the whole text.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +32,6 @@ SIZES = (1, 2, 3)
 STRENGTH = 30.0  # of the features: shares times this
 UNDETERMINED = "und"
 _FACTORS = np.random.default_rng(11).integers(1, 1 << 62, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LETTER = re.compile(r"[^\W\d_]")
 _TO_SPACE = np.array([c if chr(c).isalpha() else 0x20 for c in range(128)], np.uint32)
 
 
@@ -234,7 +232,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_i
         for batch in batches:
             for part, column in chunks(batch):
                 texts = lowered(column)
-                known = np.array([bool(model.languages) and _LETTER.search(t) is not None for t in texts])
+                known = np.array([bool(model.languages) and any(map(str.isalpha, t)) for t in texts])
                 best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
                 if known.any():
                     odds = log_odds(model, texts) / model.temperature
