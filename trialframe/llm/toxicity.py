@@ -16,13 +16,14 @@ learning). A score of 0.5 is the threshold. Scoring needs the text alone.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trialframe.llm._arrays import SpanHash, byte_table, chunks, list_array, mixed, spans, text_bytes
 from trialframe.llm._learning import bounded_sample, held_out, list_rows
@@ -36,7 +37,6 @@ FILTERS = 8
 PAD = max(WIDTHS)
 FOLDS = 4
 LEAST_POSITIVES = 30  # toxic documents, and others, that a threshold of its own takes
-MOST_LANGUAGES = 64  # columns of the language guess; rarer ones share a threshold
 _WORD = byte_table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
 _SALTS = np.random.default_rng(7).integers(1, 1 << 63, FEATURES, dtype=np.uint64)
 
@@ -209,8 +209,8 @@ def calibrate(model: Model, raw: np.ndarray, guess: np.ndarray, labels: np.ndarr
 
     if enough(np.ones(len(raw), bool)):
         model.threshold[:] = best_threshold(odds, labels, weight)
-    for k in range(len(model.languages)):
-        if enough(own := guess == k):
+    for k, lang in enumerate(model.languages):
+        if lang is not None and enough(own := guess == k):
             model.threshold[k] = best_threshold(odds[own], labels[own], weight[own])
 
 
@@ -223,18 +223,55 @@ def best_threshold(odds: np.ndarray, labels: np.ndarray, weight: np.ndarray) ->
     return float((odds[order[k]] + low) / 2)
 
 
-def learn_languages(model: Model, ids: list[np.ndarray], langs: list) -> None:
-    """Log probabilities of the word feature by language, for the guess that picks a threshold."""
-    known = [x for x in langs if x is not None]
-    names = sorted(set(known), key=lambda x: (-known.count(x), x))[:MOST_LANGUAGES]
+def learn_languages(model: Model, ids: list[np.ndarray], langs: list, label: np.ndarray) -> None:
+    """Log probabilities of the word feature by language, for the guess that picks a threshold.
+
+    A language has a column of its own if ``LEAST_POSITIVES`` rows of either label are in it,
+    so the bound of the sample bounds their number. All others share the column None, whose
+    threshold is the shared one.
+    """
+    rows = {lang: np.flatnonzero([x == lang for x in langs]) for lang in {x for x in langs if x is not None}}
+    often = {lang for lang, own in rows.items() if min(label[own].sum(), (1 - label[own]).sum()) >= LEAST_POSITIVES}
+    names = sorted(often, key=lambda x: (-len(rows[x]), x)) + [None] * (len(rows) > len(often))
     table = np.full((BUCKETS, len(names)), 0.1)
-    for own, lang in zip(ids, langs):
-        if lang in names:
-            np.add.at(table[:, names.index(lang)], own[:, 0], 1)
+    for lang, own in rows.items():
+        column = names.index(lang if lang in often else None)
+        for k in own:
+            np.add.at(table[:, column], ids[k][:, 0], 1)
     model.languages = names
     model.by_word = np.log(table / table.sum(axis=0)).astype(np.float32) if names else np.zeros((BUCKETS, 1), np.float32)
 
 
+def train_folds(spark: SparkSession, ids: list[np.ndarray], label: np.ndarray) -> tuple[Model, np.ndarray]:
+    """The model of all rows, and the raw score of each row by a model of the other folds; each training is a task."""
+    fold = np.zeros(len(ids), np.int64)
+    for k in (0, 1):  # both labels in every fold
+        fold[label == k] = np.arange((label == k).sum()) % FOLDS
+    shared = spark.sparkContext.broadcast((ids, label, fold))  # the bounded sample
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, label, fold = shared.value
+        counts = np.array([len(x) for x in ids])
+        for batch in batches:
+            for k in batch.column(0).to_pylist():  # FOLDS stands for all rows
+                own = train([x for x, f in zip(ids, fold) if f != k], label[fold != k])
+                out, raw = np.flatnonzero(fold == k), np.empty(0)
+                if len(out):
+                    some = np.array_split(out, 1 + len(out) // 128)
+                    raw = np.concatenate([raw_scores(own, np.concatenate([ids[r] for r in rows]), counts[rows]) for rows in some])
+                found = pickle.dumps((own if k == FOLDS else None, raw))
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([found], pa.binary())], names=["fold", "found"])
+
+    rows = spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(run, "fold bigint, found binary").collect()
+    raw, model = np.zeros(len(ids)), None
+    for k, found in rows:
+        own, scored = pickle.loads(bytes(found))
+        raw[fold == k] = scored
+        model = own if k == FOLDS else model
+    shared.unpersist()
+    return model, raw
+
+
 def fit_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -277,24 +314,13 @@ def fit_toxicity(
     if len(set(label.tolist())) < 2:
         model = train([], np.empty(0, np.int64), epochs=0)
         model.out[:], model.out_bias = 0, 30.0 if len(label) and label[0] else -30.0
-        learn_languages(model, [], [])
+        learn_languages(model, [], [], label[:0])
         model.threshold = np.zeros(1)
         return model
     weight = np.where(label == 1, totals[1] / (label == 1).sum(), totals[0] / (label == 0).sum())
-    model = train(ids, label)
-    learn_languages(model, ids, langs)
+    model, raw = train_folds(docs.sparkSession, ids, label)
+    learn_languages(model, ids, langs, label)
     counts = np.array([len(x) for x in ids])
-    fold = np.zeros(len(ids), np.int64)
-    for k in (0, 1):  # both labels in every fold
-        fold[label == k] = np.arange((label == k).sum()) % FOLDS
-    raw = np.zeros(len(ids))
-    for k in range(FOLDS):
-        out = np.flatnonzero(fold == k)
-        if len(out):
-            rest = np.flatnonzero(fold != k)
-            own = train([ids[r] for r in rest], label[rest])
-            for some in np.array_split(out, 1 + len(out) // 128):
-                raw[some] = raw_scores(own, np.concatenate([ids[r] for r in some]), counts[some])
     parts = np.array_split(np.arange(len(ids)), 1 + len(ids) // 128)
     guess = np.concatenate([guesses(model, np.concatenate([ids[r] for r in some]), counts[some]) for some in parts])
     calibrate(model, raw, guess, label, weight)
