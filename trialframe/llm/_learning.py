@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from trialframe.session import broadcast_if_small, materialize
+
 
 def held_out(doc_id: str | Column) -> Column:
     """True where crc32 of the id as text leaves no rest by 5; also without an id. Such rows are never learned from."""
@@ -16,9 +18,11 @@ def bounded_sample(rows: DataFrame, key: str, group: str, most: int) -> DataFram
     """At most ``most`` rows of every non-null value of ``group``: those with the least hash of ``key``.
 
     A bound on the hash, from the value's count and with a margin, comes first, so
-    that only some two times ``most`` rows of a value meet to be ranked.
+    that only some two times ``most`` rows of a value meet to be ranked. The counts go
+    to every task if their size allows, so that no row moves before that bound.
     """
-    counts = rows.groupBy(group).agg(F.count("*").alias("n"))  # one row for each value
+    counts = materialize(rows.groupBy(group).agg(F.count("*").alias("n")))  # one row for each value
+    counts = broadcast_if_small(counts, 128)
     share = F.least(F.lit(1.0), (2.0 * most + 200) / F.col("n"))
     near = (
         rows.join(counts, group)

@@ -3,17 +3,20 @@
 The text view sees the words of the whole text (hashed, log counts) and its shape
 (lengths, shares of digits, capitals, marks, repeated words and lines). The
 metadata view sees source, language and size. Both are logistic regressions.
-They start from the labelled documents of a bounded sample; in each round either
-one labels the documents of an unlabelled pool that it is surest of, as good and
-as poor in the proportion of the labels, and hands them to the other. A part of
-the labelled sample that is never trained on calibrates each view and the weights
-with which their log odds are combined.
+They start from the labelled documents of a bounded sample. In each round Spark
+scores every unlabelled document by both views; quantiles of all scores give the
+documents that a view is surest of, as good and as poor in the proportion of the
+labels, and a growing share of the pool. The view labels them, and a bounded sample
+of them, by id hash, trains the other view. A part of the labelled sample that is
+never trained on calibrates each view and the weights with which their log odds are
+combined.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +26,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from trialframe.llm._arrays import SpanHash, byte_table, chunks, list_array, spans, text_bytes
 from trialframe.llm._learning import bounded_sample, held_out, list_rows
+from trialframe.session import materialize
 
 MOST_PER_LABEL = 1500
-MOST_UNLABELLED = 3000
-ROUNDS = 4
-HANDED_OVER = 0.05  # share of the pool that a view labels in a round
+MOST_HANDED = 750  # documents of one pseudo-label that train a view in a round
+ROUNDS = 3
+HANDED_OVER = 0.05  # of the pool, labelled by a view in the first round; twice as much in the second, and so on
+QUANTILE_ACCURACY = 10_000
 BITS = 11
 META_BITS = 9
 _WORD = byte_table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or 0x41 <= b <= 0x5A or b >= 0x80)
@@ -143,25 +148,42 @@ def fit_small(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = ROUNDS) -> tuple[View, View]:
-    """Both views after the rounds; ``label`` is 0, 1, or -1 in the unlabelled pool."""
-    known, pool = label >= 0, label < 0
-    good = label[known].mean() if known.any() else 0.5
-    own = [label.copy(), label.copy()]  # what each view trains on
-    views = (text, meta)
-    for k in range(rounds + 1):
-        fits = [fit_logistic(x[y >= 0], y[y >= 0]) for x, y in zip(views, own)]
-        if k == rounds or not pool.any():
-            break
-        n = max(1, int(HANDED_OVER * pool.sum()))
-        for teacher, pupil in ((0, 1), (1, 0)):
-            free = np.flatnonzero(pool & (own[pupil] < 0))
-            odds = fits[teacher].odds(views[teacher][free])
-            order = np.argsort(odds, kind="stable")
-            n_good = int(round(n * good))
-            own[pupil][free[order[len(order) - min(n_good, len(order)) :]]] = 1
-            own[pupil][free[order[: min(n - n_good, len(order))]]] = 0
-    return fits[0], fits[1]
+def bounds(share: float, good: float) -> tuple[float, float]:
+    """Quantiles of the scores up to which documents are poor, and from which they are good."""
+    return share * (1 - good), 1 - share * good
+
+
+def handed_over(scored: DataFrame, share: float, good: float, most: int) -> DataFrame:
+    """(id, pupil, label) of the documents that one view labels for the other, ``most`` of each pupil and label at most.
+
+    ``scored`` has (id, text_odds, meta_odds) of the whole pool. Where a view's scores are so much
+    alike that both quantiles meet, it labels nothing.
+    """
+    low, high = bounds(share, good)
+    cut = scored.agg(*(F.percentile_approx(c, F.array(F.lit(low), F.lit(high)), F.lit(QUANTILE_ACCURACY)) for c in ("text_odds", "meta_odds"))).first()
+    parts = []
+    for pupil, teacher, found in (("meta", "text_odds", cut[0]), ("text", "meta_odds", cut[1])):
+        if found is not None and found[0] < found[1]:
+            label = F.when(F.col(teacher) >= found[1], 1).when(F.col(teacher) <= found[0], 0)
+            parts.append(scored.select("id", F.lit(pupil).alias("pupil"), label.alias("label")).where("label is not null"))
+    if not parts:
+        return scored.select("id", F.lit("").alias("pupil"), F.lit(0).alias("label")).limit(0)
+    rows = reduce(DataFrame.unionByName, parts).withColumn("kind", F.concat("pupil", F.col("label").cast("string")))
+    return bounded_sample(rows, "id", "kind", most).select("id", "pupil", "label")
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, hand: Callable, rounds: int = ROUNDS) -> tuple[View, View]:
+    """Both views after the rounds. ``hand(views, share)`` gives what they label: (features, labels) for the text view and for the other."""
+    first = views = fit_logistic(text, label), fit_logistic(meta, label)
+    for k in range(rounds):
+        handed = hand(views, HANDED_OVER * (k + 1))
+        if not any(len(y) for _, y in handed):
+            return views
+        views = tuple(
+            fit_logistic(np.concatenate([own, x]), np.concatenate([label, y])) if len(y) else before
+            for own, (x, y), before in zip((text, meta), handed, first)
+        )
+    return views
 
 
 def fit_quality(
@@ -174,9 +196,9 @@ def fit_quality(
     size_col: str = "n_chars",
     label_col: str = "quality",
     most_per_label: int = MOST_PER_LABEL,
-    most_unlabelled: int = MOST_UNLABELLED,
+    most_handed: int = MOST_HANDED,
 ) -> QualityModel:
-    """Learns from at most ``most_per_label`` documents of each label and ``most_unlabelled`` others.
+    """Learns from at most ``most_per_label`` documents of each label, and what the views label in the pool of all others.
 
     All of them have an id whose crc32 leaves a rest by 5. Of several labels of
     an id the lowest holds. Without both labels every text scores the same.
@@ -187,36 +209,51 @@ def fit_quality(
         .agg((F.min(label_col) > 0).cast("int").alias("label"))
     )
     totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    ids = docs.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull() & ~held_out("id")).distinct()
-    others = ids.join(known, "id", "left_anti").withColumn("label", F.lit(-1))
-    chosen = bounded_sample(known, "id", "label", most_per_label).select("id", "label").unionByName(
-        bounded_sample(others, "id", "label", most_unlabelled).select("id", "label")
-    )
-    rows = _rows(docs, id_col, text_col, source_col, lang_col, size_col).join(F.broadcast(chosen), "id")  # within the bounds
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, text, meta in _views(batch):
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(5), *(list_array(np.full(len(x), x.shape[1]), pa.array(x.ravel())) for x in (text, meta))],
-                    names=["id", "label", "text", "meta"],
-                )
-
-    kind = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(run, f"id {kind}, label int, text array<float>, meta array<float>").toArrow().sort_by([("id", "ascending")])
-    label = found["label"].to_numpy().astype(np.int64)
+    chosen = bounded_sample(known, "id", "label", most_per_label).select("id", "label")
+    every = _rows(docs, id_col, text_col, source_col, lang_col, size_col)
+
+    def features(wanted: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Labels and features of the documents in ``wanted`` (id, label), in order of their ids; one row of each id."""
+        rows = every.join(F.broadcast(wanted), "id").dropDuplicates(["id"])  # within the bounds of the samples
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, text, meta in _views(batch):
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), part.column(5), *(list_array(np.full(len(x), x.shape[1]), pa.array(x.ravel())) for x in (text, meta))],
+                        names=["id", "label", "text", "meta"],
+                    )
+
+        kind = rows.schema["id"].dataType.simpleString()
+        found = rows.mapInArrow(run, f"id {kind}, label int, text array<float>, meta array<float>").toArrow().sort_by([("id", "ascending")])
+        widths = (1 << BITS) + SHAPES, 1 << META_BITS
+        x = [np.stack(own) if (own := list_rows(found[c])) else np.empty((0, w), np.float32) for c, w in zip(("text", "meta"), widths)]
+        return found["label"].to_numpy().astype(np.int64), *x
+
+    label, text, meta = features(chosen)
     if not {0, 1} <= set(label.tolist()):
         width = (1 << BITS) + SHAPES
         flat = 20.0 if 1 in label else -20.0 if 0 in label else 0.0
         return QualityModel(View(np.zeros(width, np.float32), 0.0), View(np.zeros(1 << META_BITS, np.float32), 0.0), np.array([0.0, 0.0, flat]))
-    text, meta = np.stack(list_rows(found["text"])), np.stack(list_rows(found["meta"]))
-    own = np.flatnonzero(label >= 0)
+    pool = every.where(F.col("id").isNotNull() & ~held_out("id"))
+
+    def hand(views: tuple[View, View], share: float) -> list[tuple[np.ndarray, np.ndarray]]:
+        scored = _scored(pool, QualityModel(*views, np.zeros(3)))
+        scored = scored.join(known.select("id"), "id", "left_anti").groupBy("id").agg(*(F.max(c).alias(c) for c in ("text_odds", "meta_odds")))
+        scored = materialize(scored)
+        wanted = materialize(handed_over(scored, share, float(label.mean()), most_handed))
+        out = []
+        for pupil, column in (("text", 1), ("meta", 2)):
+            found = features(wanted.where(F.col("pupil") == pupil).select("id", "label"))
+            out.append((found[column], found[0]))
+        return out
+
     aside = np.zeros(len(label), bool)
     for k in (0, 1):
         aside[np.flatnonzero(label == k)[3::4]] = True
     aside &= (label == 0).sum() >= 8 and (label == 1).sum() >= 8
-    views = co_train(text[~aside], meta[~aside], label[~aside])
-    judges = np.flatnonzero(aside) if aside.any() else own
+    views = co_train(text[~aside], meta[~aside], label[~aside], hand)
+    judges = np.flatnonzero(aside if aside.any() else ~aside)
     y = label[judges].astype(np.float64)
     weight = np.where(y == 1, totals[1] / max((y == 1).sum(), 1), totals[0] / max((y == 0).sum(), 1))
     weight *= len(y) / weight.sum()
@@ -259,12 +296,18 @@ def score_quality(
     A null text counts as empty; null metadata are values of their own. Rows with
     equal ids each keep their row. An empty table gives an empty one.
     """
-    rows = _rows(docs, id_col, text_col, source_col, lang_col, size_col)
+    found = _scored(_rows(docs, id_col, text_col, source_col, lang_col, size_col), model)
+    p = {"score": "odds", "score_text": "text_odds", "score_meta": "meta_odds"}
+    return found.select("id", *((1 / (1 + F.exp(-F.col(odds)))).alias(name) for name, odds in p.items()))
+
+
+def _scored(rows: DataFrame, model: QualityModel) -> DataFrame:
+    """(id, odds, text_odds, meta_odds): log odds of every row of ``_rows``, within -30 and 30."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, text, meta in _views(batch):
-                found = [pa.array(sigmoid(x).astype(np.float64)) for x in model.odds(text, meta)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *found], names=["id", "score", "score_text", "score_meta"])
+                found = [pa.array(np.clip(x, -30, 30).astype(np.float64)) for x in model.odds(text, meta)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *found], names=["id", "odds", "text_odds", "meta_odds"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double, score_text double, score_meta double")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, odds double, text_odds double, meta_odds double")
