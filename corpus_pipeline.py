@@ -7,7 +7,7 @@ through a row-wise operator as its id, so repeated ids do no harm.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trialframe.llm.decontaminate import contamination, judged
 from trialframe.llm.pieces import encode_and_decode
@@ -31,8 +31,8 @@ def keep_harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with five-word shingles of similarity 0.8 or more."""
-    return drop_near_duplicates(docs, words=5, similarity=0.8)
+    """One document of each group whose SimHash fingerprints of three-word shingles are linked by two or fewer bits."""
+    return drop_near_duplicates(docs, words=3, radius=2, seed=42)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,25 +43,43 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret in the text replaced by a mark and the length brought up to date."""
-    others = [c for c in docs.columns if c != "text"]
-    found = secret_spans(docs.select(F.struct(*others).alias("row"), "text"), "row")
-    hit = F.size("spans") > 0
-    rows = found.select("id.*", redacted(F.col("text"), F.col("spans")).alias("text"), hit.alias("_hit"))
-    n_chars = F.when(F.col("_hit"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return rows.withColumn("n_chars", n_chars).select(docs.columns)
+    found = secret_spans(_others(docs), "row")
+    text, hit = redacted(F.col("text"), F.col("spans")), F.size("spans") > 0
+
+    def value(name: str) -> Column:
+        if name == "text":
+            return text
+        own = F.col("id")[name]
+        return F.when(hit, F.length(text).cast(docs.schema[name].dataType)).otherwise(own) if name == "n_chars" else own
+
+    return found.select(*(value(c).alias(c) for c in docs.columns))
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with the ids of its pieces, and whether they spell its text again."""
-    others = [c for c in docs.columns if c != "text"]
-    rows = encode_and_decode(docs.select(F.struct(*others).alias("row"), "text"), PIECE_MODEL, "row")
-    return rows.select(
-        "id.*",
-        "text",
-        "ids",
-        F.size("ids").alias("n_tokens"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
-    )
+    """Every document with the ids of its pieces, and whether they spell its text again.
+
+    The columns ``ids``, ``n_tokens`` and ``round_trip`` come behind those of ``docs``; one whose
+    name ``docs`` has already gets an underscore more.
+    """
+    rows = encode_and_decode(_others(docs), PIECE_MODEL, "row")
+    added = {
+        "ids": F.col("ids"),
+        "n_tokens": F.size("ids"),
+        "round_trip": F.col("decoded") == F.coalesce("text", F.lit("")),
+    }
+    own = [(F.col("text") if c == "text" else F.col("id")[c]).alias(c) for c in docs.columns]
+    return rows.select(*own, *(value.alias(_free(name, docs.columns)) for name, value in added.items()))
+
+
+def _others(docs: DataFrame) -> DataFrame:
+    """Each row's other columns as one value, beside its text."""
+    return docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("row"), "text")
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while name.lower() in (t.lower() for t in taken):
+        name += "_"
+    return name
 
 
 STAGES = [

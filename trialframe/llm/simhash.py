@@ -9,19 +9,12 @@ population counts differ by more than the radius is skipped.
 Which tiles meet: for a small radius on 64 bits, fingerprints that agree on two
 of four 16-bit blocks (at radius 2 or less every linked pair agrees on at least
 two), so tiles are short and the work follows the number of fingerprints.
-Otherwise all pairs of tiles within reach, as blocks of a fixed size: within the
-radius of population counts, or where a similarity of sets is asked for, within
-the sizes that allow it. That is quadratic in the number of distinct fingerprints
-of like size.
-
-Where a similarity of sets decides, SimHash only folds the crowds: a prefix-filtered
-join of the shingle sets then finds every pair between different components that
-can be similar, and each is checked.
+For a larger radius all pairs of tiles whose population counts are within it, as
+blocks of a fixed size; that is quadratic in the number of distinct fingerprints.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -30,18 +23,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trialframe.llm._arrays import as_text, list_array
+from trialframe.llm._arrays import as_text
 from trialframe.llm.components import connected
 from trialframe.session import broadcast_if_small, materialize
 
 TILE = 128
-SIZE_STEPS = 16  # of set sizes, within the ratio that a similarity allows
 BLOCK_ROWS = 32768
-POST_ROWS = 256  # of one shingle's documents in a tile
-HOT_SAMPLE = 4000  # documents whose shingles are counted, for the order of shingles only
-HOT_MOST = 200_000
-UID_BYTES = 64  # of a document's key with two numbers
-ROUNDS = (1, 8, 64)  # 64ths of the pairs that are checked by the end of each round
+UID_BYTES = 64  # of a document's key, when it is sent to every task
 _LANES = np.arange(256, dtype=np.uint8)[:, None] >> np.arange(8, dtype=np.uint8)[None, :] & 1
 
 
@@ -79,12 +67,11 @@ def majority(hashes: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 
 
 def fingerprints(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seeds: tuple[int, ...] = (42,), distinct: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seeds: tuple[int, ...] = (42,)
 ) -> DataFrame:
     """(id, n, fp0, fp1, ...): number of shingles, and a 64-bit fingerprint for every seed, as signed long.
 
-    ``distinct`` counts each shingle of a text once, and adds ``key``, a 128-bit hash of their set. A text of fewer words is one
-    shingle; a null text, or one without words, has fingerprint zero.
+    A text of fewer words is one shingle; a null text, or one without words, has fingerprint zero.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -94,19 +81,15 @@ def fingerprints(
             for start in range(0, len(texts), 512):
                 part = texts.slice(start, 512)
                 columns = [batch.column(0).slice(start, 512)]
-                keys = []
                 for seed in seeds:
                     found = [shingle_hashes(t.as_py(), words, seed) for t in part]
-                    if distinct:
-                        found = [np.unique(h) for h in found]
-                        keys = keys or [pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in found], pa.binary())]
                     rows = np.repeat(np.arange(len(found)), [len(h) for h in found])
                     fp = majority(np.concatenate(found) if found else np.empty(0, np.uint64), rows, len(found))
                     columns.append(pa.array(fp.view(np.int64)))
                 columns.insert(1, pa.array([len(h) for h in found], pa.int64()))
-                yield pa.RecordBatch.from_arrays(columns + keys, names=["id", "n", *(f"fp{k}" for k in range(len(seeds))), *["key"][: len(keys)]])
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", *(f"fp{k}" for k in range(len(seeds)))])
 
-    schema = f"id {id_type}, n bigint, " + ", ".join(f"fp{k} bigint" for k in range(len(seeds))) + ", key binary" * distinct
+    schema = f"id {id_type}, n bigint, " + ", ".join(f"fp{k} bigint" for k in range(len(seeds)))
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
@@ -196,27 +179,19 @@ def spanning_forest(i: np.ndarray, j: np.ndarray, cost: np.ndarray) -> np.ndarra
 
 
 def links_in_grid(
-    fps: DataFrame, columns: list[str], radius: int, block_rows: int = BLOCK_ROWS, nearest: int = 0, size: str | None = None, similarity: float = 0.0
+    fps: DataFrame, columns: list[str], radius: int, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Links (a, b, distance) between rows (id, *columns) whose fingerprints differ in at most ``radius`` bits together.
 
-    Rows are laid out in blocks of about ``block_rows`` by population count, or by
-    the logarithm of column ``size``; each pair of blocks within reach is one
-    task's tile, and inside it sub-tiles beyond reach are skipped. The reach is the
-    radius, or the ratio of two set sizes whose Jaccard similarity is at least
-    ``similarity``: the smaller has that share of the larger. From every tile the links
-    of a minimal spanning forest are kept, so that at any smaller radius the
-    components are those of all links, and the ``nearest`` links of each row.
+    Rows are laid out in blocks of about ``block_rows`` by population count; each pair
+    of blocks within the radius is one task's tile, and inside it sub-tiles beyond it
+    are skipped. From every tile the links of a minimal spanning forest are kept, so
+    that at any smaller radius the components are those of all links.
     """
     spark = fps.sparkSession
-    reach, key = radius, sum(F.bit_count(c) for c in columns)
-    if size is not None:
-        if not 0 < similarity < 1:
-            raise ValueError("a size bound needs a similarity between 0 and 1")
-        reach, steps = SIZE_STEPS + 1, SIZE_STEPS / -np.log(similarity)  # one more for rounding down
-        key = F.floor(F.log(F.greatest(F.col(size), F.lit(1))) * steps).cast("int")
+    key = sum(F.bit_count(c) for c in columns)
     fps = materialize(fps.select("id", *columns, key.alias("pop")))
-    counts = dict(fps.groupBy("pop").count().collect())  # one row for each population count or step of size
+    counts = dict(fps.groupBy("pop").count().collect())  # one row for each population count
     total = sum(counts.values())
     if not total:
         return spark.createDataFrame([], fps.select("id", F.col("id").alias("b"), F.lit(0).alias("distance")).toDF("a", "b", "distance").schema)
@@ -237,7 +212,7 @@ def links_in_grid(
     lows, highs = F.array(*map(F.lit, low)), F.array(*map(F.lit, high))
     other = F.col("other")
     at = lambda array, k: F.element_at(array, k + 1)
-    met = (at(lows, F.greatest("block", other)) - at(highs, F.least("block", other))) <= reach
+    met = (at(lows, F.greatest("block", other)) - at(highs, F.least("block", other))) <= radius
     tiles = (
         rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
         .where(met)
@@ -251,14 +226,14 @@ def links_in_grid(
         values = [np.ascontiguousarray(table[c].to_numpy()).view(np.uint64) for c in columns]
         cut = int(np.searchsorted(block, block[0], "right"))
         same = cut == len(block)
-        i, j, d = _near(values, pop, slice(0, cut), slice(0, cut) if same else slice(cut, len(block)), same, radius, reach, nearest)
+        i, j, d = _near(values, pop, slice(0, cut), slice(0, cut) if same else slice(cut, len(block)), same, radius)
         ids = table["id"].combine_chunks()
         return pa.table({"a": ids.take(pa.array(i)), "b": ids.take(pa.array(j)), "distance": pa.array(d.astype(np.int32))})
 
     return tiles.groupBy("tile").applyInArrow(run, f"a {id_type}, b {id_type}, distance int")
 
 
-def _near(values, pop, rows: slice, others: slice, same: bool, radius: int, reach: int, nearest: int, high: int = 64, wide: int = 2048):
+def _near(values, pop, rows: slice, others: slice, same: bool, radius: int, high: int = 64, wide: int = 2048):
     """Places and distances of the links that ``_thinned`` keeps, by sub-tiles within reach."""
     held = (np.empty(0, np.int64),) * 3
     for a in range(rows.start, rows.stop, high):
@@ -266,7 +241,7 @@ def _near(values, pop, rows: slice, others: slice, same: bool, radius: int, reac
         found = []
         for b in range(others.start if not same else a - (a - rows.start) % wide, others.stop, wide):
             end = min(b + wide, others.stop)
-            if pop[b] - pop[top - 1] > reach or pop[a] - pop[end - 1] > reach:
+            if pop[b] - pop[top - 1] > radius or pop[a] - pop[end - 1] > radius:
                 continue
             d = np.bitwise_count(values[0][a:top, None] ^ values[0][None, b:end])
             for v in values[1:]:
@@ -278,23 +253,15 @@ def _near(values, pop, rows: slice, others: slice, same: bool, radius: int, reac
                 found.append((gi[ahead], gj[ahead], gd[ahead]))
         if found:
             stripe = tuple(np.concatenate(x) for x in zip(*found))
-            held = tuple(np.concatenate(x) for x in zip(held, _thinned(*stripe, nearest)))
+            held = tuple(np.concatenate(x) for x in zip(held, _thinned(*stripe)))
             if len(held[0]) > 1 << 19:  # what one pass over the stripes drops, another may too
-                held = _thinned(*held, nearest)
-    return _thinned(*held, nearest)
-
-
-def _thinned(i: np.ndarray, j: np.ndarray, d: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The links of a minimal spanning forest, and of each end the ``nearest`` ones."""
-    if not len(i):
-        return i, j, d
-    kept = np.zeros(len(i), bool)
-    kept[spanning_forest(i, j, d)] = True
-    if nearest:
-        node, link = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
-        order = np.lexsort((np.concatenate([j, i]), np.tile(d, 2), node))
-        first = np.searchsorted(node[order], node[order])
-        kept[link[order[np.arange(len(order)) - first < nearest]]] = True
+                held = _thinned(*held)
+    return _thinned(*held)
+
+
+def _thinned(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The links of a minimal spanning forest."""
+    kept = spanning_forest(i, j, d) if len(i) else slice(None)
     return i[kept], j[kept], d[kept]
 
 
@@ -311,7 +278,11 @@ def simhash_components(
     """
     rows = materialize(fingerprints(docs, id_col, text_col, words, (seed,)).select("id", F.col("fp0").alias("fp")))
     groups = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = connected(links_in_bands(groups.select("fp"), radius))
+    if radius <= 2:
+        links = links_in_bands(groups.select("fp"), radius)
+    else:
+        links = links_in_grid(groups.select(F.col("fp").alias("id"), "fp"), ["fp"], radius)
+    roots = connected(links)
     placed = groups.join(roots, groups["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
@@ -319,217 +290,23 @@ def simhash_components(
     return rows.join(placed.join(least, "root").select("fp", "component"), "fp").select("id", "fp", "component")
 
 
-def shingle_sets(rows: DataFrame, words: int, seed: int) -> DataFrame:
-    """(id, shingles): the distinct shingle hashes of each text. ``rows`` has (id, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = as_text(batch.column(1)).cast(pa.large_binary())
-            for start in range(0, len(texts), 512):
-                found = [np.unique(shingle_hashes(t.as_py(), words, seed)).view(np.int64) for t in texts.slice(start, 512)]
-                values = pa.array(np.concatenate(found) if found else np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, 512), list_array([len(x) for x in found], values)], names=["id", "shingles"]
-                )
-
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, shingles array<bigint>")
-
-
-def common_shingles(rows: DataFrame, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes that several documents of a sample have, ascending, and how many have them. ``rows`` has (id, text)."""
-    counted = shingle_sets(rows, words, seed).select(F.explode("shingles").alias("token")).groupBy("token").count().where("count > 1")
-    found = counted.orderBy(F.desc("count"), "token").limit(HOT_MOST).toPandas()
-    token = found["token"].to_numpy(np.int64)
-    order = np.argsort(token)
-    return token[order], found["count"].to_numpy(np.int64)[order]
-
-
-def prefix_posts(rows: DataFrame, words: int, seed: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(token, node, root, place, n): the first shingles of each text in one order of all shingles, common ones last.
-
-    ``rows`` has (node, root, text). Two sets of at least this Jaccard similarity
-    share one of these shingles, whatever the order is.
-    """
-    hot, often = common
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = as_text(batch.column(2)).cast(pa.large_binary())
-            node, root = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for start in range(0, len(texts), 512):
-                tokens, sizes = [np.empty(0, np.int64)], []
-                for t in texts.slice(start, 512):
-                    own = np.unique(shingle_hashes(t.as_py(), words, seed)).view(np.int64)
-                    sizes.append(len(own))
-                    if len(hot):
-                        at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
-                        own = own[np.lexsort((own, np.where(hot[at] == own, often[at], 0)))]
-                    tokens.append(own[: _first(len(own), similarity)])
-                first = [len(x) for x in tokens[1:]]
-                place = np.concatenate([np.arange(0), *map(np.arange, first)])
-                own = slice(start, start + len(first))
-                columns = [np.concatenate(tokens), *(np.repeat(x, first) for x in (node[own], root[own])), place.astype(np.int32), np.repeat(sizes, first).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", "node", "root", "place", "n"])
-
-    return rows.select("node", "root", "text").mapInArrow(run, "token bigint, node bigint, root bigint, place int, n int")
-
-
-def _first(n: int, similarity: float) -> int:
-    return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
-
-
-def live_posts(posts: DataFrame) -> DataFrame:
-    """(token, node, place, n, part, parts): posts of shingles that more than one component has, in parts of ``POST_ROWS``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, kind) for kind in (np.int64,) * 3 + (np.int32,) * 2]
-        waiting: list[list[np.ndarray]] = []
-        for batch in batches:
-            new = [c.to_numpy() for c in batch.columns]
-            if not len(new[0]):
-                continue
-            waiting.append(new)
-            if new[0][0] == new[0][-1]:
-                continue  # one shingle only: it may have begun before and may go on
-            held = [np.concatenate(x) for x in zip(held, *waiting)]
-            whole = int(np.searchsorted(held[0], held[0][-1]))
-            yield _live(*(x[:whole] for x in held))
-            held, waiting = [x[whole:] for x in held], []
-        yield _live(*(np.concatenate(x) for x in zip(held, *waiting)))
-
-    dealt = posts.repartition("token").sortWithinPartitions("token")
-    return dealt.mapInArrow(run, "token bigint, node bigint, place int, n int, part int, parts int")
-
-
-def _live(token, node, root, place, n) -> pa.RecordBatch:
-    names = ["token", "node", "place", "n", "part", "parts"]
-    begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.empty(0, np.int64)
-    size = np.diff(np.r_[begin, len(token)])
-    several = np.minimum.reduceat(root, begin) != np.maximum.reduceat(root, begin) if len(begin) else np.empty(0, bool)
-    stays = np.repeat(several, size)
-    part = (np.arange(len(token)) - np.repeat(begin, size)) // POST_ROWS
-    parts = np.repeat(-(-size // POST_ROWS), size)
-    columns = [token, node, place, n, part.astype(np.int32), parts.astype(np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(x[stays]) for x in columns], names=names)
-
-
-def pairs_between(live: DataFrame, roots: DataFrame, similarity: float, low: int, high: int) -> DataFrame:
-    """(a, b): the pairs of nodes of different components that can be similar, of the 64ths from ``low`` to ``high``."""
-    rows = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-    def side(name: str, low: Column, high: Column, lo: str, hi: str) -> DataFrame:
-        own = rows.withColumn("other", F.explode(F.sequence(low, high)))
-        return own.select("token", F.col(lo).alias("lo"), F.col(hi).alias("hi"), *(F.col(c).alias(f"{c}_{name}") for c in ("node", "root", "place", "n")))
-
-    a = side("a", F.col("part"), F.col("parts") - 1, "part", "other")
-    b = side("b", F.lit(0), F.col("part"), "other", "part")
-    n = F.col("n_a") + F.col("n_b")
-    most = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))  # in common, if this is the first in common
-    least, greatest = F.least("node_a", "node_b"), F.greatest("node_a", "node_b")
-    lot = F.pmod(F.xxhash64(least, greatest), F.lit(64))
-    wanted = (
-        ((F.col("lo") < F.col("hi")) | (F.col("node_a") < F.col("node_b")))
-        & (F.col("root_a") != F.col("root_b"))
-        & (most >= n * (similarity / (1 + similarity)) - 1e-6)
-        & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity - 1e-6)
-        & (lot >= low)
-        & (lot < high)
-    )
-    return a.join(b, ["token", "lo", "hi"]).where(wanted).select(least.alias("a"), greatest.alias("b")).distinct()
-
-
-def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose ``sets`` (id, shingles) have at least this Jaccard similarity."""
-    a, b = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"shingles_{c}")) for c in "ab")
-    shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    either = F.size("shingles_a") + F.size("shingles_b") - shared
-    return pairs.join(a, "a").join(b, "b").where(shared >= similarity * either).select("a", "b").distinct()
-
-
-def _settled(df: DataFrame) -> DataFrame:
-    """``materialize``, and the shuffle files behind it are given up at once, not when the driver next collects its garbage."""
-    out = materialize(df)
-    del df
-    gc.collect()
-    out.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
 def drop_near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    words: int = 5,
-    similarity: float = 0.8,
-    radius: int = 28,
-    nearest: int = 4,
-    block_rows: int = BLOCK_ROWS,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, seed: int = 42
 ) -> DataFrame:
-    """The rows of ``docs`` with one document left of each group of near-duplicates: the one with the smallest id.
-
-    Two documents belong together if the Jaccard similarity of their sets of
-    ``words``-word shingles is at least ``similarity``, or through others. Equal
-    sets fold into one node. The first links are pairs whose 128-bit SimHash (two
-    seeds, each shingle once) differs in at most ``radius`` bits, of which each
-    tile keeps a minimal spanning forest and the ``nearest`` of each node; those
-    of enough exact similarity fold the crowds, with some n checks for n copies.
-
-    No pair depends on these links. Every pair of nodes that are still in
-    different components, share a shingle of their prefixes and have sizes and
-    places that allow the similarity is then checked exactly, in rounds; each
-    pair has its round by hash, and a pair whose components have met before is
-    left out. So the groups are those of all pairs.
-
-    Null texts and texts without words are copies of each other. Of rows that
-    repeat in id and text one stays. A null id comes after all others. All
-    columns of ``docs`` are returned as they are.
+    """The rows of ``docs`` with one document left of each component of ``simhash_components``: the one with the smallest id.
+
+    Null texts and texts without words are copies of each other. Of rows that repeat in
+    id and text one stays. A null id comes after all others. All columns of ``docs`` are
+    returned as they are, whatever their names.
     """
-    uid = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.length(F.coalesce(text_col, F.lit(""))).cast("string"), text_col))
-    key = "_near_duplicate_uid"
-    named = docs.withColumn(key, uid)
-    rows = named.select(F.struct(F.col(key).alias("uid"), F.col(id_col).alias("own")).alias("id"), F.col(text_col).alias("text"))
-    prints = _settled(fingerprints(rows, "id", "text", words, (42, 43), distinct=True).select("id.uid", "id.own", "n", "fp0", "fp1", "key"))
-    repeats = prints.groupBy("uid").count().where("count > 1").limit(1).count() > 0
-    place = F.struct(F.col("own").isNull().alias("last"), "own", "uid")
-    groups = prints.groupBy("key").agg(F.min(place).alias("least"), *(F.min(c).alias(c) for c in ("n", "fp0", "fp1")))
-    groups = _settled(groups.withColumn("node", F.monotonically_increasing_id()))
-    texts = named.select(F.col(key).alias("uid"), F.col(text_col).alias("text"))
-    texts = texts.dropDuplicates(["uid"]) if repeats else texts
-
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        own = materialize(groups.join(nodes, "node", "left_semi").select(F.col("least.uid").alias("uid"), "node"))
-        own = broadcast_if_small(own, UID_BYTES)
-        return shingle_sets(texts.join(own, "uid").select(F.col("node").alias("id"), "text"), words, 42)
-
-    links = links_in_grid(groups.select(F.col("node").alias("id"), "n", "fp0", "fp1"), ["fp0", "fp1"], radius, block_rows, nearest, "n", similarity)
-    links = _settled(links)
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sure = _settled(similar_pairs(links.select("a", "b"), sets_of(ends), similarity))
-    roots = connected(sure)
-
-    every = max(1, prints.count() // HOT_SAMPLE)
-    sample = texts.where(F.pmod(F.xxhash64("uid"), F.lit(every)) == 0).select(F.col("uid").alias("id"), "text")
-    common = common_shingles(sample, words, 42)
-    owners = groups.join(roots, "node", "left").select(F.col("least.uid").alias("uid"), "node", F.coalesce("root", "node").alias("root"))
-    owners = broadcast_if_small(_settled(owners), UID_BYTES)
-    live = _settled(live_posts(prefix_posts(texts.join(owners, "uid"), words, 42, similarity, common)))
-    if live.limit(1).count():
-        for low, high in zip((0, *ROUNDS), ROUNDS):
-            pairs = _settled(pairs_between(live, roots, similarity, low, high))
-            if not pairs.limit(1).count():
-                continue
-            ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            found = _settled(similar_pairs(pairs, sets_of(ends), similarity))
-            if found.limit(1).count():
-                sure = sure.union(found)
-                roots = connected(sure)
-
-    placed = groups.join(roots, "node", "left").select("key", "least", F.coalesce("root", "node").alias("root"))
-    kept = placed.groupBy("root").agg(F.min("least").alias("kept"))
-    stays = placed.join(kept, "root").select("key", F.col("kept.uid").alias("kept"))
-    gone = _settled(prints.join(stays, "key").where("uid <> kept").select(F.col("uid").alias(key)).distinct())
-    out = named.join(gone, key, "left_anti")
+    own, text = F.col(id_col), F.col(text_col)
+    uid = F.md5(F.concat_ws(":", F.coalesce(own.cast("string"), F.lit("")), F.length(F.coalesce(text, F.lit(""))).cast("string"), text))
+    place = F.struct(own.isNull().alias("last"), own.alias("own"), uid.alias("uid"))  # without a null, smallest id first
+    found = simhash_components(docs.select(place.alias("id"), text.alias("text")), "id", "text", words, radius, seed)
+    found = materialize(found.select(F.col("id.uid").alias("uid"), (F.col("id") != F.col("component")).alias("gone")))
+    repeats = found.groupBy("uid").count().where("count > 1").limit(1).count() > 0
+    gone = broadcast_if_small(materialize(found.where("gone").select("uid").distinct()), UID_BYTES)
+    out = docs.select(uid.alias("uid"), F.struct(*docs.columns).alias("row")).join(gone, "uid", "left_anti")
     if repeats:
-        out = out.dropDuplicates([key])
-    return out.select(docs.columns)
+        out = out.dropDuplicates(["uid"])
+    return out.select("row.*")
