@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,12 +135,117 @@ def test_temperature_is_recovered(true):
     assert abs(language.fit_temperature(odds * true, classes) / true - 1) < 0.05
 
 
+def brute_hand(views, pool, good, odds):
+    """What two views label in a whole pool, sorted in memory."""
+    def hand(fitted, share):
+        out = []
+        for pupil, teacher in ((0, 1), (1, 0)):
+            scores = odds(fitted[teacher], views[teacher][pool])
+            low, high = quality.bounds(share, good)
+            order = np.sort(scores)
+            lo, hi = (order[max(int(np.ceil(q * len(order))) - 1, 0)] for q in (low, high))
+            label = np.where(scores >= hi, 1, np.where(scores <= lo, 0, -1)) if lo < hi else np.full(len(scores), -1)
+            own = label >= 0
+            out.append((views[pupil][pool][own], label[own]))
+        return out
+
+    return hand
+
+
 def test_co_training_learns_from_the_pool():
     rng = np.random.default_rng(4)
     truth = rng.integers(0, 2, 800)
     views = [np.column_stack([truth * 2 - 1 + rng.normal(0, s, 800) for s in (0.5, 3.0)] + [rng.normal(size=(800, 20))]).astype(np.float32) for _ in range(2)]
-    label = np.where(np.arange(800) < 12, truth, -1)
-    fitted = quality.co_train(*views, label)
+    known = np.arange(800) < 12
+    hand = brute_hand(views, ~known, truth[known].mean(), lambda view, x: view.odds(x))
+    fitted = quality.co_train(views[0][known], views[1][known], truth[known], hand)
     for view, x in zip(fitted, views):
-        alone = quality.fit_logistic(x[:12], truth[:12])
+        alone = quality.fit_logistic(x[known], truth[known])
         assert ((view.odds(x) > 0) == truth).mean() >= ((alone.odds(x) > 0) == truth).mean()
+
+
+def test_handed_over_documents_against_sorting(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, float(a), float(b)) for k, (a, b) in enumerate(rng.normal(size=(500, 2)))]
+    scored = spark.createDataFrame(rows, "id long, text_odds double, meta_odds double")
+    found = {(r["pupil"], r["id"]): r["label"] for r in quality.handed_over(scored, 0.2, 0.75, 10_000).collect()}
+    expected = {}
+    for pupil, column in (("meta", 1), ("text", 2)):
+        order = sorted(rows, key=lambda r: r[column])
+        expected |= {(pupil, r[0]): 0 for r in order[:25]} | {(pupil, r[0]): 1 for r in order[-76:]}
+    assert found.keys() <= expected.keys() and len(found) >= len(expected) - 2
+    assert all(expected[k] == v for k, v in found.items())
+    some = quality.handed_over(scored, 0.2, 0.75, 7).groupBy("pupil", "label").count().collect()
+    assert [r["count"] for r in some] == [7] * 4
+    flat = scored.withColumn("text_odds", F.lit(1.0)).withColumn("meta_odds", F.lit(0.0))
+    assert quality.handed_over(flat, 0.2, 0.5, 10).count() == 0
+
+
+def test_quality_against_a_version_in_memory(spark):
+    """The whole fit, with the pool scored and sorted in one process."""
+    rng = np.random.default_rng(9)
+    kinds = (["kind", "calm", "good", "fine", "clear"], ["awful", "nasty", "bad", "poor", "junk"])
+    rows = []
+    for k in range(400):
+        poor = int(rng.random() < 0.5)
+        text = " ".join(rng.choice(kinds[poor if rng.random() < 0.8 else 1 - poor], 12))
+        rows.append((k, text, "en", ("web", "book")[poor if rng.random() < 0.8 else 1 - poor], len(text), 1 - poor))
+    docs = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(r[0], r[5]) for r in rows[:120]], "doc_id long, quality int")
+    learn = {k for k in range(400) if zlib.crc32(str(k).encode()) % 5}
+    model = quality.fit_quality(docs, labels, most_handed=10_000)
+
+    text = quality.text_view(pa.array([r[1] for r in rows], pa.large_string()))
+    meta = quality.meta_view([r[3] for r in rows], [r[2] for r in rows], np.array([float(r[4]) for r in rows]))
+    truth = np.array([r[5] for r in rows])
+    labelled = np.array([k for k in range(120) if k in learn])
+    pool = np.array([k for k in range(120, 400) if k in learn])
+    aside = np.zeros(len(labelled), bool)
+    for k in (0, 1):
+        aside[np.flatnonzero(truth[labelled] == k)[3::4]] = True
+    own = labelled[~aside]
+    hand = brute_hand((text, meta), pool, truth[labelled].mean(), lambda view, x: np.clip(view.odds(x), -30, 30))
+    views = quality.co_train(text[own], meta[own], truth[own], hand)
+    assert np.corrcoef(views[0].weights, model.text.weights)[0, 1] > 0.99
+    assert np.corrcoef(views[1].weights, model.meta.weights)[0, 1] > 0.99
+    scored = quality.score_quality(docs, model).toPandas().set_index("id").score_text
+    a, b = model.text.scale
+    expected = 1 / (1 + np.exp(-(a * (text @ views[0].weights + views[0].bias) + b)))
+    assert np.abs(scored.sort_index().to_numpy() - expected).max() < 0.05
+
+
+def test_letters_only_make_a_language(spark):
+    docs, _ = labelled(spark)
+    rows = [(1, "½ ² ① 10²"), (2, "٣٤٥ १२३"), (3, "½ a"), (4, "東"), (5, "_ - !"), (6, "ª")]
+    found = {r["id"]: r["lang_pred"] for r in language.predict_language(table(spark, rows), language.fit_language(docs)).collect()}
+    assert {k for k, v in found.items() if v == "und"} == {1, 2, 5}
+
+
+def test_a_rare_language_has_the_shared_threshold():
+    rng = np.random.default_rng(3)
+    ids, langs, label = [], [], []
+    for k in range(400):  # two common languages and seventy rare ones
+        lang = "ab"[k % 2] if k < 260 else f"rare{k % 70}"
+        ids.append(rng.integers(0, 50, (20, toxicity.FEATURES)).astype(np.int32) + (0 if lang == "a" else 50 if lang == "b" else 100))
+        langs.append(lang)
+        label.append(k // 2 % 2)
+    model = toxicity.Model(*[None] * 4, 0.0)
+    toxicity.learn_languages(model, ids, langs, np.array(label))
+    assert model.languages == ["a", "b", None]
+    guess = toxicity.guesses(model, np.concatenate(ids), np.full(400, 20))
+    assert guess.tolist() == [{"a": 0, "b": 1}.get(x, 2) for x in langs]
+    toxicity.calibrate(model, rng.normal(size=400) + np.array(label) * (1 + guess), guess, np.array(label), np.ones(400))
+    assert model.threshold[2] == model.threshold[3] and len(set(model.threshold[:3].tolist())) == 3
+
+
+def test_folds_are_trained_in_tasks(spark):
+    rng = np.random.default_rng(5)
+    label = np.arange(40) % 2
+    ids = [rng.integers(0, 30, (15, toxicity.FEATURES)).astype(np.int32) + 40 * y for y in label]
+    model, raw = toxicity.train_folds(spark, ids, label)
+    alone = toxicity.train(ids, label)
+    assert np.allclose(model.out, alone.out) and np.allclose(model.embedding, alone.embedding)
+    fold = np.arange(40) // 2 % toxicity.FOLDS
+    own = toxicity.train([x for x, f in zip(ids, fold) if f != 1], label[fold != 1])
+    some = np.flatnonzero(fold == 1)
+    assert np.allclose(raw[some], toxicity.raw_scores(own, np.concatenate([ids[k] for k in some]), np.full(len(some), 15)), atol=1e-5)

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from text_fixtures import ODD, table
+from text_fixtures import ODD, table, thue_morse
 from trialframe.llm.decontaminate import contamination, judged
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -70,3 +70,11 @@ def test_long_text_is_read_to_its_end(spark):
 def test_empty_tables(spark, empty):
     assert found(empty, ITEMS, spark) == []
     assert {r[2] for r in found(table(spark, SHORT), [], spark)} == {0}
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_whose_polynomial_hashes_collide_do_not_match(spark, n):
+    one, other = thue_morse(n, "a", "b"), thue_morse(n, "b", "a")
+    rows = [(1, f"{other} tail"), (2, f"{one} tail"), (3, other)]
+    items = [(1, f"{one} tail")]
+    assert found(table(spark, rows), items, spark) == brute(rows, items)

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from text_fixtures import ODD, table
+from text_fixtures import ODD, table, thue_morse
 from trialframe.llm import pieces as P
 from trialframe.llm.queries import PIECE_MODEL
 
@@ -170,3 +170,10 @@ def test_trie_holds_every_piece_and_no_other():
 def test_piece_across_a_marker_is_refused():
     with pytest.raises(ValueError):
         small({b"a" + MARK + b"b": -1.0})
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_whose_polynomial_hashes_collide_stay_apart(model, n):
+    for a, b in ("ab", "01", "et"):
+        texts = [f"{thue_morse(n, a, b)} x {thue_morse(n, b, a)}", thue_morse(n, b, a)]
+        assert encoded(model, texts)[1] == [" " + t for t in texts] or encoded(model, texts)[1] == texts

@@ -30,3 +30,8 @@ ODD = [
     (9, "x" * 5000),
     (10, "tie tie tie tie tie tie tie tie tie tie tie tie tie tie tie tie"),
 ]
+
+
+def thue_morse(n, a, b):
+    """A word of ``n`` letters; with both letters exchanged, a polynomial modulo 2^64 maps it to the same value from 1,024 on."""
+    return "".join((a, b)[k.bit_count() & 1] for k in range(n))
