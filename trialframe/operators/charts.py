@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trialframe.functions.scalar import either
-from trialframe.operators.curves import Curve, fit_curve, predict_curve
+from trialframe.operators.curves import Curve, fit_curve, predict_curve, self_start_fit
 from trialframe.operators.least_squares import gram_ols
 from trialframe.operators.windows import stage_window
 
@@ -79,12 +79,13 @@ def smooth_quadratic(
 def smooth_curve(
     means: DataFrame, curve: Curve, starts, grid: DataFrame, keys: Sequence[str] = ("family", "treatment")
 ) -> DataFrame:
-    """Curve drawn through the means, each mean counting once."""
+    """Curve drawn through the means, each mean counting once. Without ``starts`` (None) the curve finds its own."""
     points = means.select(
         *keys, "x", F.lit(1).cast("long").alias("n"), F.col("emmean").alias("mean"), F.lit(0.0).alias("ss")
     )
     on = [k for k in keys if k in grid.columns]
-    return predict_curve(grid, fit_curve(points, curve, starts, keys), curve, on)
+    fits = self_start_fit(points, curve, keys) if starts is None else fit_curve(points, curve, starts, keys)
+    return predict_curve(grid, fits, curve, on)
 
 
 def _level_order(column: str, order: Sequence[str]) -> Column:

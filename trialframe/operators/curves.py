@@ -19,7 +19,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import (
     ArrayType,
     BooleanType,
@@ -373,9 +373,106 @@ def logistic_starts(cells: DataFrame, keys: Sequence[str] = ("family", "treatmen
     return asym.join(shape, keys).select(*keys, "asym", "xmid", "scal")
 
 
-def logistic_self_start(cells: DataFrame, keys: Sequence[str] = ("family", "treatment")) -> DataFrame:
+def logistic_offset_starts(cells: DataFrame, keys: Sequence[str] = ("family", "treatment")) -> DataFrame:
+    """Start values of the logistic with an offset: the shape of ``logistic_starts``, height and offset as the line of y on it."""
+    keys = list(keys)
+    shape = logistic_starts(cells, keys).drop("asym")
+    s, _ = _sigmoid(F.col("x").cast("double"), {"xmid": F.col("xmid"), "scal": F.col("scal")})
+    points = cells.select(*keys, "x", "n", "mean").join(shape, keys).withColumn("_s", s)
+    return _weighted_lines(points.withColumn("x", F.col("_s")), [*keys, "xmid", "scal"]).select(
+        *keys, F.col("slope").alias("asym"), "xmid", "scal", F.col("intercept").alias("offset")
+    )
+
+
+def asymptotic_starts(
+    cells: DataFrame, keys: Sequence[str] = ("family", "treatment"), steps: int = 32, rounds: int = 3
+) -> DataFrame:
+    """Start values of the asymptotic curve by separable least squares.
+
+    For a given rate r the curve is a line in w = (1 - exp(-r (x - x0))) / (1 - exp(-r S)), x0
+    being the least x and S the span, so that height and offset follow from sums of one pass.
+    A grid of rates, evenly spaced on the logarithm from a fiftieth to the five hundredfold of
+    1/S, is refined around its best one, each time to a grid between the neighbours. A key with
+    fewer than three x, or whose best line has no such curve, has NULL starts.
+    """
+    keys = list(keys)
+    points = cells.groupBy(*keys, "x").agg(
+        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_y"), F.sum("n").cast("double").alias("_n")
+    )
+    span = points.groupBy(*keys).agg(
+        F.min("x").cast("double").alias("_x0"),
+        (F.max("x") - F.min("x")).cast("double").alias("_span"),
+        (F.sum(F.col("_n") * F.col("_y")) / F.sum("_n")).alias("_m"),
+        F.count(F.lit(1)).alias("_points"),
+    )
+    points = materialize(
+        points.join(span.where((F.col("_points") >= 3) & (F.col("_span") > 0)), keys).select(
+            *keys, (F.col("x").cast("double") - F.col("_x0")).alias("_d"), "_span", (F.col("_y") - F.col("_m")).alias("_e"), "_n", "_x0", "_m"
+        )
+    )
+    low, high = float(np.log(0.02)), float(np.log(500.0))
+    middle, reach = F.lit((low + high) / 2), (high - low) / 2
+    best = None
+    for _ in range(rounds):
+        grid = F.transform(F.sequence(F.lit(-steps), F.lit(steps)), lambda k: F.col("_mid") + k * F.lit(reach / steps))
+        rows = points.withColumn("_mid", middle) if best is None else points.join(best.select(*keys, F.col("_u").alias("_mid")), keys)
+        rows = rows.withColumn("_u", F.explode(grid)).withColumn("_r", F.exp("_u") / F.col("_span"))
+        top = -F.expm1(-F.col("_r") * F.col("_span"))
+        rows = rows.withColumn("_w", F.try_divide(-F.expm1(-F.col("_r") * F.col("_d")), top))
+        n, w, e = F.col("_n"), F.col("_w"), F.col("_e")
+        sums = rows.groupBy(*keys, "_u").agg(
+            F.sum(n).alias("_n"),
+            (F.sum(n * w) / F.sum(n)).alias("_mw"),
+            F.sum(n * w * w).alias("_ww"),
+            F.sum(n * w * e).alias("_we"),
+            F.sum(n * e * e).alias("_ee"),
+            *(F.first(c).alias(c) for c in ("_r", "_span", "_x0", "_m")),
+        )
+        sww = F.col("_ww") - F.col("_n") * F.col("_mw") * F.col("_mw")
+        slope = F.try_divide(F.col("_we"), F.when(sww > 0, sww))
+        fitted = sums.withColumn("_b", slope).withColumn("_rss", F.col("_ee") - F.col("_b") * F.col("_we")).where(F.col("_rss").isNotNull())
+        best = materialize(
+            fitted.groupBy(*keys).agg(F.min(F.struct("_rss", "_u", "_b", "_mw", "_r", "_span", "_x0", "_m")).alias("_s")).select(*keys, "_s.*")
+        )
+        reach = reach / steps
+    start = F.col("_m") - F.col("_b") * F.col("_mw")  # the curve at x0
+    asym = start + F.try_divide(F.col("_b"), -F.expm1(-F.col("_r") * F.col("_span")))
+    left = F.lit(1.0) - F.try_divide(F.col("_a"), F.col("asym"))
+    found = best.withColumn("_a", start).withColumn("asym", asym).withColumn("_left", left)
+    found = found.select(
+        *keys,
+        F.when(F.col("_left") > 0, F.col("asym")).alias("asym"),
+        F.when(F.col("_left") > 0, F.ln("_r")).alias("lrc"),
+        F.when(F.col("_left") > 0, F.col("_x0") + F.ln("_left") / F.col("_r")).alias("c0"),
+    )
+    return cells.select(*keys).distinct().join(found, keys, "left")
+
+
+def curve_starts(cells: DataFrame, curve: Curve, keys: Sequence[str] = ("family", "treatment")) -> DataFrame:
+    """Start values of a curve that can find its own."""
+    known = {
+        LOGISTIC.name: logistic_starts,
+        LOGISTIC_OFFSET.name: logistic_offset_starts,
+        ASYMPTOTIC.name: asymptotic_starts,
+        BROKEN_LINE.name: profile_starts,
+    }
+    if curve.name not in known:
+        raise ValueError(f"start values of {curve.name} must be given")
+    return known[curve.name](cells, keys)
+
+
+def self_start_fit(cells: DataFrame, curve: Curve, keys: Sequence[str] = ("family", "treatment")) -> DataFrame:
+    """``fit_curve`` without start values."""
     cells = materialize(cells)
-    return fit_curve(cells, LOGISTIC, logistic_starts(cells, keys), keys)
+    return fit_curve(cells, curve, curve_starts(cells, curve, keys), keys, written=True)
+
+
+def asymptotic_self_start(cells: DataFrame, keys: Sequence[str] = ("family", "treatment")) -> DataFrame:
+    return self_start_fit(cells, ASYMPTOTIC, keys)
+
+
+def logistic_self_start(cells: DataFrame, keys: Sequence[str] = ("family", "treatment")) -> DataFrame:
+    return self_start_fit(cells, LOGISTIC, keys)
 
 
 def _weighted_lines(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -426,14 +523,105 @@ def broken_line_starts(
     )
 
 
-def segmented_fit(cells: DataFrame, breaks: Mapping[str, float]) -> DataFrame:
+def profile_starts(cells: DataFrame, keys: Sequence[str] = ("family", "treatment")) -> DataFrame:
+    """Start values of the broken line at the least residual of all breaks.
+
+    The points of a key are run through once in order of x. Sums up to each point and behind
+    it give the two separate lines of every split, the place where they cross, brought back
+    between the split's two points, and the residual of the continuous line that breaks there.
+    A least-squares break is among these places, so no first guess is needed and none can
+    mislead. A key with fewer than two points on either side of every split has no row here.
+    """
+    keys = list(keys)
+    points = cells.groupBy(*keys, F.col("x").cast("double").alias("x")).agg(
+        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("y"), F.sum("n").cast("double").alias("n")
+    )
+    centre = points.groupBy(*keys).agg(
+        (F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("_cx"), (F.sum(F.col("n") * F.col("y")) / F.sum("n")).alias("_cy")
+    )
+    rows = points.join(centre, keys).withColumn("x", F.col("x") - F.col("_cx")).withColumn("y", F.col("y") - F.col("_cy"))
+    n, x, y = F.col("n"), F.col("x"), F.col("y")
+    sums = {"n": n, "x": n * x, "y": n * y, "xx": n * x * x, "xy": n * x * y, "yy": n * y * y}
+    order = Window.partitionBy(*keys).orderBy("x")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = Window.partitionBy(*keys)
+    rows = rows.select(
+        *keys,
+        "x",
+        "_cx",
+        "_cy",
+        F.lead("x").over(order).alias("_next"),
+        F.row_number().over(order).alias("_left"),
+        F.count(F.lit(1)).over(every).alias("_all"),
+        *(F.sum(v).over(upto).alias(f"_l{c}") for c, v in sums.items()),
+        *(F.sum(v).over(every).alias(f"_t{c}") for c, v in sums.items()),
+    ).where((F.col("_left") >= 2) & (F.col("_all") - F.col("_left") >= 2))
+    rows = rows.select("*", *((F.col(f"_t{c}") - F.col(f"_l{c}")).alias(f"_r{c}") for c in sums))
+
+    def line(side: str) -> tuple[Column, Column]:
+        s = {c: F.col(f"_{side}{c}") for c in sums}
+        slope = F.try_divide(s["n"] * s["xy"] - s["x"] * s["y"], s["n"] * s["xx"] - s["x"] * s["x"])
+        return F.try_divide(s["y"] - slope * s["x"], s["n"]), slope
+
+    (a1, b1), (a2, b2) = line("l"), line("r")
+    cross = F.try_divide(a1 - a2, b2 - b1)
+    middle = (F.col("x") + F.col("_next")) / 2
+    at = F.greatest(F.least(F.coalesce(cross, middle), F.col("_next")), F.col("x"))
+    rows = rows.withColumn("_at", at)
+    # sums of z = (x - at)+ over the points behind the split, and of its products
+    p, s = F.col("_at"), {c: F.col(f"_r{c}") for c in sums}
+    z, zz = s["x"] - p * s["n"], s["xx"] - F.lit(2.0) * p * s["x"] + p * p * s["n"]
+    xz, yz = s["xx"] - p * s["x"], s["xy"] - p * s["y"]
+    total = F.col("_tn")
+    rows = rows.select(
+        *keys,
+        "_cx",
+        "_cy",
+        "_at",
+        F.col("_tyy").alias("_yy"),
+        total.alias("_n"),
+        (z / total).alias("_mz"),
+        F.col("_txx").alias("_xx"),
+        F.col("_txy").alias("_xy"),
+        xz.alias("_xz"),
+        yz.alias("_yz"),
+        (zz - z * z / total).alias("_zz"),
+    )
+    det = F.col("_xx") * F.col("_zz") - F.col("_xz") * F.col("_xz")
+    det = F.when(det > F.lit(1e-12) * F.col("_xx") * F.col("_zz"), det)
+    slope = F.try_divide(F.col("_xy") * F.col("_zz") - F.col("_yz") * F.col("_xz"), det)
+    turn = F.try_divide(F.col("_yz") * F.col("_xx") - F.col("_xy") * F.col("_xz"), det)
+    fitted = rows.withColumn("slope", slope).withColumn("turn", turn)
+    rss = F.col("_yy") - F.col("slope") * F.col("_xy") - F.col("turn") * F.col("_yz")
+    best = (
+        fitted.withColumn("_rss", rss)
+        .where(F.col("_rss").isNotNull())
+        .groupBy(*keys)
+        .agg(F.min(F.struct("_rss", "_at", "slope", "turn", "_mz", "_cx", "_cy")).alias("_s"))
+        .select(*keys, "_s.*")
+    )
+    start = F.col("_cy") - F.col("slope") * F.col("_cx") - F.col("turn") * F.col("_mz")
+    return best.select(*keys, start.alias("start"), "slope", "turn", (F.col("_at") + F.col("_cx")).alias("break"))
+
+
+def segmented_fit(cells: DataFrame, breaks: Mapping[str, float] | Sequence[str] | None = None) -> DataFrame:
     """Straight line with one break per treatment.
 
     The break is a parameter of the curve: its Gauss-Newton step is the classic
-    update by the ratio of the gap term to the slope change (Muggeo 2003).
+    update by the ratio of the gap term to the slope change (Muggeo 2003). The steps
+    start at the break of least residual (``profile_starts``), wherever a first
+    guess would be. ``breaks`` names the treatments that have a break, all if it is
+    left out; the others keep a row with status ``no start``. Where the points do not
+    suffice for a search, a guess given in ``breaks`` is the start.
     """
     cells = materialize(cells)
-    return fit_curve(cells, BROKEN_LINE, broken_line_starts(cells, breaks), written=True)
+    starts = profile_starts(cells)
+    if breaks is not None:
+        starts = starts.where(F.col("treatment").isin(list(breaks)))
+    if isinstance(breaks, Mapping):
+        guessed = broken_line_starts(cells, breaks)
+        starts = starts.unionByName(guessed.join(starts.select("family", "treatment"), ["family", "treatment"], "left_anti"))
+    return fit_curve(cells, BROKEN_LINE, starts, written=True)
 
 
 def curve_error(fits: DataFrame, pool: Sequence[str] = ("family",)) -> DataFrame:
