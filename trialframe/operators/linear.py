@@ -6,12 +6,17 @@ and ANOVA tables keyed by ``family``. Nothing here reads raw rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from trialframe.functions.probability import f_upper, t_two_sided
+from trialframe.session import materialize
+
+DENSE_LEVELS = 64  # treatments whose pairs are solved as one matrix
 
 
 def _square(c) -> Column:
@@ -327,12 +332,116 @@ def _quadratic_form(levels: pd.Series, entries: pd.Series, rhs: pd.Series) -> pd
     return pd.DataFrame(out, columns=["ss", "rank"])
 
 
-def treatment_given_x(cells: DataFrame) -> DataFrame:
+def treatment_given_x(cells: DataFrame, dense_levels: int = DENSE_LEVELS) -> DataFrame:
     """SS of treatment after x in the additive two-factor model, any number of levels.
 
-    Normal equations with x eliminated: one entry per pair of treatment levels,
-    summed over x in Spark; only that levels x levels matrix reaches Python.
+    Normal equations with the other factor eliminated are solved as one matrix for each
+    family whose treatments, or else x, have up to ``dense_levels`` levels, and by conjugate
+    gradients where both have more. The cells are counted for that.
+    """
+    levels = materialize(
+        cells.groupBy("family").agg(F.count_distinct("treatment").alias("_k"), F.count_distinct("x").alias("_m"))
+    )
+    few_k, few_m = F.col("_k") <= dense_levels, F.col("_m") <= dense_levels
+    solved = []
+    most_k = levels.agg(F.max("_k")).first()[0] or 0
+    if most_k <= dense_levels:
+        return _dense_given_x(cells)
+    for wanted, solve in ((few_k, _dense_given_x), (~few_k & few_m, _from_x_given_treatment), (~few_k & ~few_m, gradient_given_x)):
+        own = levels.where(wanted).select("family")
+        if own.limit(1).count():
+            solved.append(solve(cells.join(own, "family", "left_semi")))
+    return reduce(DataFrame.unionByName, solved)
+
+
+def _from_x_given_treatment(cells: DataFrame) -> DataFrame:
+    """The same from the equations of x, for many treatments at few x: both orders add up to one sum."""
+    turned = cells.select("family", F.col("x").alias("treatment"), F.col("treatment").alias("x"), "n", "mean")
+    given = _dense_given_x(turned).select("family", F.col("ss_t_given_x").alias("_ss"), F.col("t_rank").alias("_rank"))
+    grand = cells.groupBy("family").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_m"))
+    centred = cells.join(grand, "family")
+    both = _between(centred, "treatment", "_t", "_k").join(_between(centred, "x", "_x", "_levels"), "family").join(given, "family")
+    return both.select(
+        "family",
+        (F.col("_ss") + F.col("_t") - F.col("_x")).alias("ss_t_given_x"),
+        (F.col("_rank") + F.col("_k") - F.col("_levels")).cast("int").alias("t_rank"),
+    )
+
+
+def gradient_given_x(cells: DataFrame, tolerance: float = 1e-9, max_rounds: int = 400, rounds_per_look: int = 4) -> DataFrame:
+    """``treatment_given_x`` by conjugate gradients, all families at once, for any number of levels of both factors.
+
+    No pair of treatments is ever formed. A round multiplies the equations' matrix by a vector
+    (one number for each treatment): sums of the cells by x, joined back, and sums by treatment.
+    The unknowns are scaled to a unit diagonal. A family is done when its residual is below
+    ``tolerance`` of the first; the SS, a quadratic form, is then right to about the square of
+    that. The rank is the treatments less the groups of treatments that share no x with each other.
+    """
+    keys = ["family", "treatment"]
+    by_x = cells.groupBy("family", "x").agg(F.sum("n").alias("_nx"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mx"))
+    n = F.col("n").cast("double")
+    table = materialize(
+        cells.join(by_x, ["family", "x"]).select(*keys, "x", n.alias("n"), (n / F.col("_nx")).alias("share"), (F.col("mean") - F.col("_mx")).alias("d"))
+    )
+    state = table.groupBy(*keys).agg(F.sqrt(F.sum("n")).alias("s"), F.sum(F.col("n") * F.col("d")).alias("b"))
+    state = state.withColumn("b", F.col("b") / F.col("s"))
+    first = state.groupBy("family").agg(F.sum(F.col("b") * F.col("b")).alias("rr0"))
+    state = state.join(first, "family").select(*keys, "s", "b", F.lit(0.0).alias("t"), F.col("b").alias("r"), F.col("b").alias("p"), F.col("rr0").alias("rr"), "rr0")
+    state = materialize(state)
+    going = F.col("rr") > F.lit(tolerance**2) * F.col("rr0")
+
+    def one_round(state: DataFrame) -> DataFrame:
+        rows = table.join(state.select(*keys, (F.col("p") / F.col("s")).alias("v")), keys)
+        inside = rows.groupBy("family", "x").agg(F.sum(F.col("share") * F.col("v")).alias("u"))
+        product = rows.join(inside, ["family", "x"]).groupBy(*keys).agg(F.sum(F.col("n") * (F.col("v") - F.col("u"))).alias("q"))
+        moved = state.join(product, keys).withColumn("q", F.col("q") / F.col("s"))
+        product_of = lambda a, b: F.sum(F.col(a) * F.col(b))
+        sums = moved.groupBy("family").agg(
+            F.first("rr").alias("rr"),
+            F.first("rr0").alias("rr0"),
+            product_of("r", "r").alias("_rr"),
+            product_of("p", "q").alias("_pq"),
+            product_of("r", "q").alias("_rq"),
+            product_of("q", "q").alias("_qq"),
+        )
+        step = F.coalesce(F.when(going & (F.col("_pq") > 0), F.col("_rr") / F.col("_pq")), F.lit(0.0))
+        after = F.greatest(F.col("_rr") - F.lit(2.0) * F.col("_step") * F.col("_rq") + F.col("_step") * F.col("_step") * F.col("_qq"), F.lit(0.0))
+        sums = sums.withColumn("_step", step).select("family", "_step", F.when(F.col("_step") > 0, after).otherwise(F.lit(0.0)).alias("_new"), "_rr")
+        rows = moved.join(sums, "family").withColumn("r", F.col("r") - F.col("_step") * F.col("q"))
+        turn = F.coalesce(F.try_divide(F.col("_new"), F.col("_rr")), F.lit(0.0))
+        return rows.select(
+            *keys, "s", "b", (F.col("t") + F.col("_step") * F.col("p")).alias("t"), "r", (F.col("r") + turn * F.col("p")).alias("p"), F.col("_new").alias("rr"), "rr0"
+        )
+
+    rounds = 0
+    while rounds < max_rounds:
+        state = materialize(one_round(state))
+        rounds += 1
+        if rounds % rounds_per_look == 0 and not state.where(going).limit(1).count():
+            break
+    ss = state.groupBy("family").agg(F.sum(F.col("t") * F.col("b")).alias("ss_t_given_x"), F.count(F.lit(1)).alias("_k"))
+    return ss.join(_unlinked_groups(table.select(*keys, "x")), "family").select(
+        "family", "ss_t_given_x", (F.col("_k") - F.col("_groups")).cast("int").alias("t_rank")
+    )
+
+
+def _unlinked_groups(cells: DataFrame) -> DataFrame:
+    """family -> number of groups of treatments that share no x with another group.
+
+    Each treatment takes the least name among the treatments it shares an x with, until none changes.
     """
+    named = materialize(cells.select("family", "treatment").distinct().withColumn("least", F.col("treatment")))
+    while True:
+        by_x = cells.join(named, ["family", "treatment"]).groupBy("family", "x").agg(F.min("least").alias("_m"))
+        after = materialize(cells.join(by_x, ["family", "x"]).groupBy("family", "treatment").agg(F.min("_m").alias("least")))
+        changed = after.join(named.withColumnRenamed("least", "_old"), ["family", "treatment"]).where(F.col("least") != F.col("_old"))
+        named = after
+        if not changed.limit(1).count():
+            return named.groupBy("family").agg(F.count_distinct("least").alias("_groups"))
+
+
+def _dense_given_x(cells: DataFrame) -> DataFrame:
+    """The same from one entry for each pair of treatment levels; only that matrix reaches Python."""
     names = cells.select("family", "treatment").distinct()
     numbered = names.groupBy("family").agg(
         F.sort_array(F.collect_set("treatment")).alias("levels")
@@ -398,7 +507,7 @@ def anova_factorial(cells: DataFrame, first: str = "treatment") -> DataFrame:
     """Sequential ANOVA of treatment, x as a factor, and their interaction.
 
     ``first`` states which main effect enters first; with unequal cell sizes
-    the two orders differ.
+    the two orders differ. Give materialized cells: several sums read them.
     """
     grand = cells.groupBy("family").agg(
         (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_m")
