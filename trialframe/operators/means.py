@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from trialframe.functions.probability import range_upper, t_quantile, t_two_sided
 from trialframe.operators.linear import ancova_fit, cell_means_fit, pooled_line_error
 
+BLOCK_LEVELS = 512  # levels that meet as many others in one join key
+
 
 def _critical(per_family: DataFrame, level: float | None) -> DataFrame:
     """Critical value of t, found on the table with one row per family."""
@@ -97,6 +99,7 @@ def pairwise_contrasts(
     level: str = "treatment",
     value: str = "emmean",
     p_values: bool = True,
+    block_levels: int = BLOCK_LEVELS,
 ) -> DataFrame:
     """Every pair of levels inside a by-group: first minus second in level order.
 
@@ -108,11 +111,19 @@ def pairwise_contrasts(
     by = list(by)
     known = estimates.where(F.col(value).isNotNull())
     sizes = known.groupBy(*by).agg(F.count(F.lit(1)).alias("levels"))
-    a = known.select(*by, F.col(level).alias("level_a"), F.col(value).alias("_ma"), F.col("se").alias("_sa"), "df")
-    b = known.select(*by, F.col(level).alias("level_b"), F.col(value).alias("_mb"), F.col("se").alias("_sb"))
+    # Levels are dealt into blocks, and each pair of blocks of a by-group is a join key of its
+    # own: the largest task grows with the block, not with the square of the levels.
+    blocks = F.ceil(F.col("levels") / F.lit(block_levels)).cast("int")
+    own = F.pmod(F.xxhash64(F.col(level)), blocks).cast("int")
+    dealt = known.join(sizes, by).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.withColumn("_lo", F.least("_own", "_other")).withColumn("_hi", F.greatest("_own", "_other"))
+    keys = [*by, "_lo", "_hi"]
+    a = dealt.select(*keys, "levels", F.col("_own").alias("_oa"), F.col(level).alias("level_a"), F.col(value).alias("_ma"), F.col("se").alias("_sa"), "df")
+    b = dealt.select(*keys, F.col("_own").alias("_ob"), F.col(level).alias("level_b"), F.col(value).alias("_mb"), F.col("se").alias("_sb"))
+    met = (F.col("_lo") == F.col("_hi")) | (F.col("_oa") != F.col("_ob"))
     pairs = (
-        a.join(b, by)
-        .where(F.col("level_a") < F.col("level_b"))
+        a.join(b, keys)
+        .where((F.col("level_a") < F.col("level_b")) & met)
         .select(
             *by,
             "level_a",
@@ -120,14 +131,13 @@ def pairwise_contrasts(
             (F.col("_ma") - F.col("_mb")).alias("difference"),
             F.sqrt(F.col("_sa") * F.col("_sa") + F.col("_sb") * F.col("_sb")).alias("se"),
             "df",
+            "levels",
         )
         .withColumn("t", F.try_divide(F.col("difference"), F.col("se")))
     )
     if not p_values:
-        return pairs
-    return pairs.join(sizes, by).withColumn(
-        "p", range_upper(F.abs("t") * F.sqrt(F.lit(2.0)), "levels", "df")
-    )
+        return pairs.drop("levels")
+    return pairs.withColumn("p", range_upper(F.abs("t") * F.sqrt(F.lit(2.0)), "levels", "df"))
 
 
 def trend_contrasts(slopes: DataFrame) -> DataFrame:
