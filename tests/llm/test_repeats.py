@@ -81,3 +81,13 @@ def test_previous_factors_against_definition(letters):
         for size in (8, 16):
             earlier = any(whole[j : j + size] == whole[i : i + size] for j in range(i))
             assert (factor[i] >= size) == earlier
+
+
+def test_text_ids_are_taken_in_their_order(spark, empty):
+    rng = random.Random(12)
+    line = "".join(rng.choices("abc ", k=150))
+    rows = [(k, "".join(rng.choices("xyz ", k=40)) + (line if k % 3 else "") + str(k)) for k in range(30)] + [(None, line), (7, "again " + line)]
+    name = {k: f"id-{'abcdefghij'[k // 10]}{k % 10}" for k in range(30)} | {None: None}
+    docs = spark.createDataFrame([(name[d], t) for d, t in rows], "doc_id string, text string").repartition(5)
+    assert found(docs) == sorted(((name[d], *rest) for d, *rest in brute(rows)), key=str)
+    assert found(docs.limit(0)) == []

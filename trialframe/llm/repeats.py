@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import IntegralType
 
 from trialframe.llm._arrays import SpanHash, chunks, list_array, mixed, text_bytes
 from trialframe.session import materialize
@@ -315,16 +316,38 @@ def _without(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
+def _numbered_ids(rows: DataFrame) -> DataFrame:
+    """(own, number): the distinct ids of ``rows``, numbered in their order.
+
+    Ids are laid out by range; each range counts its own, and the counts of the ranges before
+    (one row for each range) are added.
+    """
+    distinct = rows.where("own is not null").select("own").distinct()
+    placed = materialize(distinct.repartitionByRange("own").withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each range
+    sizes = placed.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    number = F.row_number().over(Window.partitionBy("part").orderBy("own"))
+    return materialize(placed.withColumn("number", number).join(F.broadcast(sizes), "part").select("own", (F.col("before") + F.col("number")).alias("number")))
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept) for every document; ``kept`` are the remaining bytes (UTF-8).
 
     Strings are judged on the input, not on what is left; matches never cross
-    documents. Null texts count as empty. A null id comes before all others.
+    documents. Null texts count as empty. Ids are whole numbers, or of any other type
+    with an order, which are numbered in it first. A null id comes before all others
+    (as the least whole number, which therefore shares its row with none).
     Rows that share an id are each kept and are earlier than each other by place
     only. An empty table gives an empty one.
     """
     if not CUT <= gram < length - CUT:
         raise ValueError("the anchor must be shorter than the string by more than a cut")
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        own = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text"))
+        numbers = _numbered_ids(own)
+        found = without_repeats(own.join(numbers, "own", "left"), "number", "text", length, gram)
+        back = found.join(numbers.withColumnRenamed("number", "id"), "id", "left")
+        return back.select(F.col("own").alias("id"), "n_bytes", "n_removed", "n_spans", "kept")
     least = F.lit(-(1 << 63))
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), least).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # Rows that share an id are told apart by their text; without such rows the tag is a constant.
