@@ -31,9 +31,10 @@ from trialframe.session import broadcast_if_small, materialize, written
 LEAST = 100
 LONGEST = 5
 TOP = 2000
+TOP_PARTS = 64  # of a group, ranked first by themselves
 SPACING = 32  # words between triggers, in the mean
 FILTER_BITS = 27  # of the bit array of frequent phrases: 16 MB
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 SLICE_BYTES = 4 << 20
 ROW_BYTES = 96  # of a counted phrase, when it is sent to every task
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -243,8 +244,11 @@ def collocations(
         F.min(F.struct("score", "k", "l", "r")).alias("b"), *(F.first(c).alias(c) for c in ("words", "a", "n"))
     )
     out = best.select("grp", "phrase", "words", "a", "b.l", "b.r", "n", "b.score", "b.k")
-    order = Window.partitionBy("grp").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = out.withColumn("rank", F.row_number().over(order))
+    best_first = F.desc("score"), F.desc("a"), "phrase"
+    if top is not None:  # the first of each part of a group, so that few rows of a large one meet
+        part = F.pmod(F.xxhash64("phrase"), F.lit(TOP_PARTS))
+        out = out.withColumn("rank", F.row_number().over(Window.partitionBy("grp", part).orderBy(*best_first))).where(F.col("rank") <= top)
+    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(*best_first)))
     if top is not None:
         ranked = ranked.where(F.col("rank") <= top)
     return ranked.select("grp", F.col("rank").cast("bigint").alias("rank"), "phrase", "words", "a", "l", "r", "n", "score", "k")
