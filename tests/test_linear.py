@@ -115,11 +115,13 @@ def test_gram_fits_agree_with_numpy_and_with_each_other(spark):
         assert cells[term].se == pytest.approx(raw[term].se, rel=1e-8)
 
 
-def test_gram_with_dependent_terms_gives_null(spark):
+def test_gram_sets_dependent_terms_aside(spark):
     df = spark.createDataFrame(make(["A"], range(5), 3)).withColumn("family", F.lit("y"))
     x = F.col("x").cast("double")
-    got = G.gram_ols(df, "y", {"x": x, "twice": x * 2}).collect()
-    assert all(r.estimate is None for r in got)
+    got = {r.term: r for r in G.gram_ols(df, "y", {"x": x, "twice": x * 2}).collect()}
+    alone = {r.term: r for r in G.gram_ols(df, "y", {"x": x}).collect()}
+    assert got["twice"].aliased and got["twice"].estimate is None
+    assert all(got[t].estimate == pytest.approx(alone[t].estimate) and got[t].se == pytest.approx(alone[t].se) for t in alone)
 
 
 def test_gram_far_from_zero_keeps_its_digits(spark):
