@@ -1,16 +1,17 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text is lower-cased and cut at white space into words. The hash of ``GRAM``
-(four) consecutive words rolls over the text by doubling: the hash of two words
-is made once and shared by the k-grams that begin, or continue, with them. Of
-every ``WINDOW`` consecutive k-gram hashes the smallest is chosen, the rightmost
-one on a tie; each choice is kept once, with its place. Two texts that share
-``GRAM + WINDOW - 1`` consecutive words therefore share a chosen hash.
+A text is lower-cased and cut into tokens: runs between white space, in parts of up to
+``TOKEN`` characters, and single characters of scripts that set no spaces. The hash of
+``GRAM`` consecutive tokens is a cyclic polynomial, which rolls: turned by one bit, less the
+token that leaves, and with the token that comes. Its values are written out from their
+tokens, as an array built step by step would be copied at each step. Of every ``WINDOW``
+consecutive k-gram hashes the smallest is chosen, the rightmost one on a tie; each choice is
+kept once, with its place. Two texts that share ``GRAM + WINDOW - 1`` consecutive tokens
+therefore share a chosen hash. A text of fewer than ``SHORT`` k-grams keeps all of them.
 
 A hash and its place travel as one number (31 bits of hash above 32 bits counted
 down from the place), so the smallest number of a window is the choice; minima of
-2, 4, 8 and 16 hashes follow from each other. The place counts k-grams, that is,
-words, from 0.
+2 and 4 hashes follow from each other. The place counts k-grams, that is, tokens, from 0.
 """
 
 from __future__ import annotations
@@ -19,41 +20,55 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trialframe.session import materialize
 
-GRAM = 4
-WINDOW = 16  # a power of two
+GRAM = 2
+WINDOW = 4  # a power of two
+SHORT = 32
+TOKEN = 8
 _LOW = 0xFFFFFFFF
+# Han, kana, Hangul and their extensions
+_ALONE = r"\x{2E80}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
+_TOKENS = rf"[{_ALONE}]|[^\s{_ALONE}]{{1,{TOKEN}}}"
 
 
 def with_marks(rows: DataFrame, text: str, marks: str, window: int = WINDOW) -> DataFrame:
     """Adds ``marks``: the chosen numbers of column ``text``, in order of place.
 
     Steps are columns of their own, so that each is made once. A text of fewer
-    than four words has the hash of its whole word sequence; one without words,
-    or null, has no marks; fewer hashes than ``window`` (a power of two) are one
-    window.
+    than ``GRAM`` tokens has the hash of its whole sequence; one without tokens,
+    or null, has no marks. The window is a power of two.
     """
     if window < 1 or window & (window - 1):
         raise ValueError("the window is a power of two")
     step = f"_{marks}"
     low, high = F.lit(_LOW).cast("bigint"), F.lit(0x7FFFFFFF).cast("bigint")
-    words = F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), "")
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(_TOKENS), F.lit(0))
     rows = rows.withColumn(step, F.transform(words, lambda w: F.xxhash64(w)))
     whole = F.when(F.size(step) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(step)))
-    rows = rows.withColumn(f"{step}2", F.transform(step, lambda h, i: F.xxhash64(h, F.get(F.col(step), i + 1))))
-    four = F.transform(
-        F.slice(f"{step}2", F.lit(1), F.greatest(F.size(f"{step}2") - GRAM + 1, F.lit(0))),
-        lambda h, i: F.xxhash64(h, F.get(F.col(f"{step}2"), i + 2)),
-    )
-    rows = rows.withColumn(f"{step}4", F.when(F.size(step) < GRAM, whole).otherwise(four)).drop(step, f"{step}2")
-    packed = F.transform(f"{step}4", lambda h, i: F.shiftleft(h.bitwiseAND(high), 32) + (low - i))
-    rows = rows.withColumn(f"{step}p", packed).drop(f"{step}4")
-    level, span = f"{step}p", 1
+
+    def rolled(h: Column, i: Column) -> Column:
+        value = _turned(h, GRAM - 1)
+        for k in range(1, GRAM):
+            value = value.bitwiseXOR(_turned(F.get(F.col(step), i + k), GRAM - 1 - k))
+        return F.xxhash64(value)
+
+    grams = F.transform(F.slice(step, F.lit(1), F.greatest(F.size(step) - GRAM + 1, F.lit(0))), rolled)
+    rows = rows.withColumn(f"{step}g", F.when(F.size(step) < GRAM, whole).otherwise(grams)).drop(step)
+    packed = F.transform(f"{step}g", lambda h, i: F.shiftleft(h.bitwiseAND(high), 32) + (low - i))
+    rows = rows.withColumn(f"{step}p", packed).drop(f"{step}g")
+    every, level, span = f"{step}p", f"{step}p", 1
     while span < window:  # minima of 2, 4, 8, ... consecutive hashes, each from two of the level before
-        rows = rows.withColumn(f"{level}m", _pairwise_min(level, span)).drop(level)
+        rows = rows.withColumn(f"{level}m", _pairwise_min(level, span))
+        rows = rows.drop(level) if level != every else rows
         level, span = f"{level}m", 2 * span
-    n = F.size(level)
-    full = F.slice(level, F.lit(1), F.greatest(n - window + 1, F.least(n, F.lit(1))))
-    return rows.withColumn(marks, F.array_distinct(full)).drop(level)
+    n = F.size(every)
+    full = F.slice(level, F.lit(1), F.greatest(n - window + 1, F.lit(0)))
+    chosen = F.when(n < max(SHORT, window), F.col(every)).otherwise(F.array_distinct(full))
+    return rows.withColumn(marks, chosen).drop(level, every)
+
+
+def _turned(h: Column, bits: int) -> Column:
+    """The 64 bits of a number, turned to the left."""
+    return F.shiftleft(h, bits).bitwiseOR(F.shiftrightunsigned(h, 64 - bits)) if bits else h
 
 
 def _pairwise_min(level: str, span: int) -> Column:
