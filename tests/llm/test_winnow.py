@@ -15,22 +15,32 @@ def xx(value, seed=42):
     return h - (1 << 64) if h >> 63 else h
 
 
-def brute(text, gram=4, window=16):
-    """(hash, place) of every window's smallest hash, the rightmost on a tie."""
-    h = [xx(w) for w in re.split(r"[ \t\n\x0b\f\r]+", (text or "").lower()) if w]
+ALONE = "\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff"
+TOKEN = re.compile(rf"[{ALONE}]|[^ \t\n\x0b\f\r{ALONE}]{{1,8}}")
+
+
+def brute(text, window=4, short=32):
+    """(hash, place) of every window's smallest hash, the rightmost on a tie; all hashes of a short text. The hash rolls."""
+    h = [xx(w) % (1 << 64) for w in TOKEN.findall((text or "").lower())]
+    turn = lambda x, k: (x << k | x >> (64 - k)) % (1 << 64) if k else x
     if not h:
         return []
-    if len(h) < gram:
+    if len(h) < 2:
         total = 42
         for x in h:
-            total = xx(x, total)
+            total = xx(x - (1 << 64) if x >> 63 else x, total)
         grams = [total]
     else:
-        two = [xx(b, xx(a)) for a, b in zip(h, h[1:])]
-        grams = [xx(b, xx(a)) for a, b in zip(two, two[2:])]
+        value, grams = turn(h[0], 1) ^ h[1], []
+        for k in range(len(h) - 1):
+            grams.append(xx(value - (1 << 64) if value >> 63 else value))
+            if k + 2 < len(h):
+                value = turn(value ^ turn(h[k], 1), 1) ^ h[k + 2]
     grams = [g & 0x7FFFFFFF for g in grams]
+    if len(grams) < short:
+        return [(g, k) for k, g in enumerate(grams)]
     out = []
-    for a in range(max(1, len(grams) - window + 1)):
+    for a in range(len(grams) - window + 1):
         part = grams[a : a + window]
         least = min(part)
         choice = (least, a + max(i for i, g in enumerate(part) if g == least))
@@ -112,3 +122,22 @@ def test_long_text_and_empty_table(spark, empty):
 def test_native_plan(odd):
     plan = W.edited_fingerprints(odd)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
+
+
+def test_half_of_a_short_or_unspaced_text_is_seen(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 12)))
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    rows = [(k, " ".join(word() for _ in range(8 + k % 30))) for k in range(200)]
+    rows += [(1000 + k, "".join(rng.choices("abcdefghijklmnop", k=40 + 7 * k))) for k in range(100)]
+    rows += [(2000 + k, han(6 + 9 * k)) for k in range(100)]
+    found = W.edited_fingerprints(table(spark, rows)).collect()
+    assert len(found) == 400 and all(0 < r["near_edited"] < 1 for r in found)
+    assert sum(r["near_next"] < 0.1 for r in found) > 390
+
+
+def test_shifted_han_text_shares_marks(spark):
+    rng = random.Random(4)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(200))
+    a, b = W.document_marks(table(spark, [(1, text), (2, "xyz" + text[3:])])).orderBy("id").collect()
+    assert len({h for h, _ in unpacked(a["marks"])} & {h for h, _ in unpacked(b["marks"])}) > 50
