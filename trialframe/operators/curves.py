@@ -26,6 +26,7 @@ from pyspark.sql.types import (
     DoubleType,
     IntegerType,
     LongType,
+    StructField,
     StructType,
 )
 
@@ -556,52 +557,38 @@ def profile_starts(cells: DataFrame, keys: Sequence[str] = ("family", "treatment
         *(F.sum(v).over(upto).alias(f"_l{c}") for c, v in sums.items()),
         *(F.sum(v).over(every).alias(f"_t{c}") for c, v in sums.items()),
     ).where((F.col("_left") >= 2) & (F.col("_all") - F.col("_left") >= 2))
-    rows = rows.select("*", *((F.col(f"_t{c}") - F.col(f"_l{c}")).alias(f"_r{c}") for c in sums))
-
-    def line(side: str) -> tuple[Column, Column]:
-        s = {c: F.col(f"_{side}{c}") for c in sums}
-        slope = F.try_divide(s["n"] * s["xy"] - s["x"] * s["y"], s["n"] * s["xx"] - s["x"] * s["x"])
-        return F.try_divide(s["y"] - slope * s["x"], s["n"]), slope
-
-    (a1, b1), (a2, b2) = line("l"), line("r")
-    cross = F.try_divide(a1 - a2, b2 - b1)
-    middle = (F.col("x") + F.col("_next")) / 2
-    at = F.greatest(F.least(F.coalesce(cross, middle), F.col("_next")), F.col("x"))
-    rows = rows.withColumn("_at", at)
-    # sums of z = (x - at)+ over the points behind the split, and of its products
-    p, s = F.col("_at"), {c: F.col(f"_r{c}") for c in sums}
-    z, zz = s["x"] - p * s["n"], s["xx"] - F.lit(2.0) * p * s["x"] + p * p * s["n"]
-    xz, yz = s["xx"] - p * s["x"], s["xy"] - p * s["y"]
-    total = F.col("_tn")
-    rows = rows.select(
-        *keys,
-        "_cx",
-        "_cy",
-        "_at",
-        F.col("_tyy").alias("_yy"),
-        total.alias("_n"),
-        (z / total).alias("_mz"),
-        F.col("_txx").alias("_xx"),
-        F.col("_txy").alias("_xy"),
-        xz.alias("_xz"),
-        yz.alias("_yz"),
-        (zz - z * z / total).alias("_zz"),
-    )
-    det = F.col("_xx") * F.col("_zz") - F.col("_xz") * F.col("_xz")
-    det = F.when(det > F.lit(1e-12) * F.col("_xx") * F.col("_zz"), det)
-    slope = F.try_divide(F.col("_xy") * F.col("_zz") - F.col("_yz") * F.col("_xz"), det)
-    turn = F.try_divide(F.col("_yz") * F.col("_xx") - F.col("_xy") * F.col("_xz"), det)
-    fitted = rows.withColumn("slope", slope).withColumn("turn", turn)
-    rss = F.col("_yy") - F.col("slope") * F.col("_xy") - F.col("turn") * F.col("_yz")
-    best = (
-        fitted.withColumn("_rss", rss)
-        .where(F.col("_rss").isNotNull())
-        .groupBy(*keys)
-        .agg(F.min(F.struct("_rss", "_at", "slope", "turn", "_mz", "_cx", "_cy")).alias("_s"))
-        .select(*keys, "_s.*")
-    )
-    start = F.col("_cy") - F.col("slope") * F.col("_cx") - F.col("turn") * F.col("_mz")
-    return best.select(*keys, start.alias("start"), "slope", "turn", (F.col("_at") + F.col("_cx")).alias("break"))
+    found = rows.select(*keys, F.struct(*(c for c in rows.columns if c not in keys)).alias("_p")).withColumn("_s", _broken_at("_p"))
+    best = found.where(F.col("_s.rss").isNotNull()).groupBy(*keys).agg(F.min("_s").alias("_s"))
+    return best.select(*keys, *(F.col(f"_s.{c}").alias(c) for c in BROKEN_LINE.params))
+
+
+@F.pandas_udf(StructType([StructField(c, DoubleType()) for c in ("rss", "break", "start", "slope", "turn")]))
+def _broken_at(p: pd.DataFrame) -> pd.DataFrame:
+    """The continuous line that breaks where the lines of a split cross, for a whole batch of splits."""
+    total = {c: p[f"_t{c}"].to_numpy(float) for c in ("n", "x", "y", "xx", "xy", "yy")}
+    left = {c: p[f"_l{c}"].to_numpy(float) for c in total}
+    right = {c: total[c] - left[c] for c in total}
+    with np.errstate(all="ignore"):
+
+        def line(s: dict) -> tuple[np.ndarray, np.ndarray]:
+            slope = (s["n"] * s["xy"] - s["x"] * s["y"]) / (s["n"] * s["xx"] - s["x"] * s["x"])
+            return (s["y"] - slope * s["x"]) / s["n"], slope
+
+        (a1, b1), (a2, b2) = line(left), line(right)
+        cross, low, high = (a1 - a2) / (b2 - b1), p["x"].to_numpy(float), p["_next"].to_numpy(float)
+        at = np.clip(np.where(np.isfinite(cross), cross, (low + high) / 2), low, high)
+        # sums of z = (x - at)+ over the points behind the split, and of its products
+        z = right["x"] - at * right["n"]
+        zz = right["xx"] - 2 * at * right["x"] + at * at * right["n"] - z * z / total["n"]
+        xz, yz = right["xx"] - at * right["x"], right["xy"] - at * right["y"]
+        det = total["xx"] * zz - xz * xz
+        det = np.where(det > 1e-12 * total["xx"] * zz, det, np.nan)
+        slope = (total["xy"] * zz - yz * xz) / det
+        turn = (yz * total["xx"] - total["xy"] * xz) / det
+        rss = total["yy"] - slope * total["xy"] - turn * yz
+        cx, cy = p["_cx"].to_numpy(float), p["_cy"].to_numpy(float)
+        out = {"rss": rss, "break": at + cx, "start": cy - slope * cx - turn * z / total["n"], "slope": slope, "turn": turn}
+    return pd.DataFrame({c: pd.Series(v).where(np.isfinite(rss), None) for c, v in out.items()})
 
 
 def segmented_fit(cells: DataFrame, breaks: Mapping[str, float] | Sequence[str] | None = None) -> DataFrame:
@@ -619,9 +606,12 @@ def segmented_fit(cells: DataFrame, breaks: Mapping[str, float] | Sequence[str]
     if breaks is not None:
         starts = starts.where(F.col("treatment").isin(list(breaks)))
     if isinstance(breaks, Mapping):
-        guessed = broken_line_starts(cells, breaks)
-        starts = starts.unionByName(guessed.join(starts.select("family", "treatment"), ["family", "treatment"], "left_anti"))
-    return fit_curve(cells, BROKEN_LINE, starts, written=True)
+        starts = materialize(starts)
+        keys = ["family", "treatment"]
+        short = cells.where(F.col("treatment").isin(list(breaks))).select(*keys).distinct().join(starts, keys, "left_anti")
+        if short.limit(1).count():
+            starts = starts.unionByName(broken_line_starts(cells.join(short, keys, "left_semi"), breaks))
+    return fit_curve(cells, BROKEN_LINE, starts, rounds_per_checkpoint=1, written=True)
 
 
 def curve_error(fits: DataFrame, pool: Sequence[str] = ("family",)) -> DataFrame:
