@@ -19,7 +19,7 @@ ALONE = "\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff"
 TOKEN = re.compile(rf"[{ALONE}]|[^ \t\n\x0b\f\r{ALONE}]{{1,8}}")
 
 
-def brute(text, window=4, short=32):
+def brute(text, window=8, short=32):
     """(hash, place) of every window's smallest hash, the rightmost on a tie; all hashes of a short text. The hash rolls."""
     h = [xx(w) % (1 << 64) for w in TOKEN.findall((text or "").lower())]
     turn = lambda x, k: (x << k | x >> (64 - k)) % (1 << 64) if k else x
@@ -140,4 +140,5 @@ def test_shifted_han_text_shares_marks(spark):
     rng = random.Random(4)
     text = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(200))
     a, b = W.document_marks(table(spark, [(1, text), (2, "xyz" + text[3:])])).orderBy("id").collect()
-    assert len({h for h, _ in unpacked(a["marks"])} & {h for h, _ in unpacked(b["marks"])}) > 50
+    one, other = ({h for h, _ in unpacked(r["marks"])} for r in (a, b))
+    assert len(one & other) >= 0.9 * len(one) > 30

@@ -11,7 +11,7 @@ therefore share a chosen hash. A text of fewer than ``SHORT`` k-grams keeps all
 
 A hash and its place travel as one number (31 bits of hash above 32 bits counted
 down from the place), so the smallest number of a window is the choice; minima of
-2 and 4 hashes follow from each other. The place counts k-grams, that is, tokens, from 0.
+2, 4 and 8 hashes follow from each other. The place counts k-grams, that is, tokens, from 0.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from trialframe.session import materialize
 
 GRAM = 2
-WINDOW = 4  # a power of two
+WINDOW = 8  # a power of two
 SHORT = 32
 TOKEN = 8
 _LOW = 0xFFFFFFFF
