@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructType
 
 from trialframe.functions.probability import f_upper, t_two_sided
 from trialframe.session import materialize
@@ -161,6 +161,7 @@ _SOLUTION = (
     .add("unit_variance", ArrayType(DoubleType()))
     .add("ss", ArrayType(DoubleType()))
     .add("aliased", ArrayType(BooleanType()))
+    .add("parameters", LongType())
     .add("rss", DoubleType())
     .add("tss", DoubleType())
 )
@@ -213,8 +214,8 @@ def _solve_centred(n: pd.Series, means: pd.Series, gram: pd.Series) -> pd.DataFr
         known = lambda v: [None if np.isnan(x) else float(x) for x in v]
         total = float(full[-1, -1])
         rss = max(float(swept[-1, -1]) * unit[-1] ** 2, 0.0)
-        out.append((known(estimate), known(variance), (drop * unit[-1] ** 2).tolist(), [False, *(~used).tolist()], rss, total))
-    return pd.DataFrame(out, columns=["estimate", "unit_variance", "ss", "aliased", "rss", "tss"])
+        out.append((known(estimate), known(variance), (drop * unit[-1] ** 2).tolist(), [False, *(~used).tolist()], 1 + int(used.sum()), rss, total))
+    return pd.DataFrame(out, columns=["estimate", "unit_variance", "ss", "aliased", "parameters", "rss", "tss"])
 
 
 def gram_table_from_cells(cells: DataFrame, terms: Mapping[str, Column]) -> DataFrame:
@@ -292,7 +293,7 @@ def _swept(gram: DataFrame) -> DataFrame:
     """Gram table with the solution ``s`` and the model's error; aliased terms take no parameter."""
     found = gram.withColumn("s", _solve_centred("n", "means", "gram"))
     return (
-        found.withColumn("parameters", F.size(F.filter("s.aliased", lambda a: ~a)).cast("long"))
+        found.withColumn("parameters", F.col("s.parameters"))
         .withColumn("df", F.col("n") - F.col("parameters"))
         .withColumn("rss", F.col("s.rss"))
         .withColumn("tss", F.col("s.tss"))

@@ -19,6 +19,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 from trialframe.session import materialize
 
 
+FEW_LEVELS = 256  # of a by-group whose differing pairs reach Python as they are
 SPLIT_GROUPS = 64  # groups of a split, or two for each level, beyond which cliques cover the pairs
 
 
@@ -150,9 +151,9 @@ def letter_groups(
 
     Two levels share a group number exactly when their p is at least alpha; the
     numbers stay apart where more than 26 letters run into each other. Per by-group
-    only small integers reach Python, not the means: for each level the last one that
-    it does not differ from, where these stretches never fall back, else the pairs
-    that differ, as places in the display order.
+    only small integers reach Python, not the means: the pairs that differ, as places in
+    the display order. Beyond ``FEW_LEVELS`` levels (the estimates are counted) it is for
+    each level the last one that it does not differ from, where these stretches never fall back.
     """
     by = list(by)
     known = estimates.where(F.col(value).isNotNull())
@@ -167,8 +168,23 @@ def letter_groups(
         place.select(*by, F.col("_level").alias("level_b"), F.col("position").alias("_pb")),
         [*by, "level_b"],
     )
-    pairs = materialize(indexed.select(*by, F.least("_pa", "_pb").alias("i"), F.greatest("_pa", "_pb").alias("j")))  # read twice
+    pairs = indexed.select(*by, F.least("_pa", "_pb").alias("i"), F.greatest("_pa", "_pb").alias("j"))
     sizes = placed.groupBy(*by).agg(F.count(F.lit(1)).cast("int").alias("_size"))
+    few = (known.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= FEW_LEVELS
+    shape, other = (sizes.withColumn("_ends", F.lit(None).cast("array<int>")), pairs) if few else _stretches(placed, pairs, sizes, by)
+    found = other.groupBy(*by).agg(F.collect_list(F.struct("i", "j")).alias("pairs"))
+    none = F.array().cast("array<struct<i:int,j:int>>")
+    shown = (
+        shape.join(found, by, "left")
+        .select(*by, "_size", "_ends", F.coalesce("pairs", none).alias("pairs"))
+        .select(*by, F.inline(_display("_size", "_ends", "pairs")))
+    )
+    return placed.join(shown, [*by, "position"]).drop("position")
+
+
+def _stretches(placed: DataFrame, pairs: DataFrame, sizes: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """For each by-group its size and, where they never fall back, the ends of its levels' stretches; and the pairs of all others."""
+    pairs = materialize(pairs)  # read twice
     first = pairs.groupBy(*by, F.col("i").alias("position")).agg(F.min("j").alias("_j"), F.count(F.lit(1)).alias("_n"))
     last = F.coalesce(F.col("_j"), F.col("_size")) - 1
     whole = F.coalesce(F.col("_n"), F.lit(0)) == F.col("_size") - 1 - last
@@ -180,24 +196,10 @@ def letter_groups(
         .select(*by, "position", "_size", last.alias("_end"), whole.alias("_whole"))
         .withColumn("_whole", F.col("_whole") & (F.col("_end") >= F.coalesce(F.lag("_end").over(forward), F.lit(-1))))
     )
-    shape = reach.groupBy(*by).agg(
-        F.first("_size").alias("_size"),
-        F.bool_and("_whole").alias("_sorted"),
-        F.transform(F.array_sort(F.collect_list(F.struct("position", "_end"))), lambda s: s["_end"]).alias("_ends"),
-    )
-    other = pairs.join(shape.where(~F.col("_sorted")).select(*by), by, "left_semi")
-    found = other.groupBy(*by).agg(F.collect_list(F.struct("i", "j")).alias("pairs"))
-    shown = (
-        shape.join(found, by, "left")
-        .select(
-            *by,
-            "_size",
-            F.when(F.col("_sorted"), F.col("_ends")).alias("_ends"),
-            F.coalesce("pairs", F.array().cast("array<struct<i:int,j:int>>")).alias("pairs"),
-        )
-        .select(*by, F.inline(_display("_size", "_ends", "pairs")))
-    )
-    return placed.join(shown, [*by, "position"]).drop("position")
+    ends = F.transform(F.array_sort(F.collect_list(F.struct("position", "_end"))), lambda s: s["_end"])
+    shape = reach.groupBy(*by).agg(F.first("_size").alias("_size"), F.bool_and("_whole").alias("_sorted"), ends.alias("_all"))
+    shape = shape.withColumn("_ends", F.when(F.col("_sorted"), F.col("_all"))).drop("_all")
+    return shape, pairs.join(shape.where(~F.col("_sorted")).select(*by), by, "left_semi")
 
 
 def signif_by_letters(

@@ -339,14 +339,13 @@ def treatment_given_x(cells: DataFrame, dense_levels: int = DENSE_LEVELS) -> Dat
     family whose treatments, or else x, have up to ``dense_levels`` levels, and by conjugate
     gradients where both have more. The cells are counted for that.
     """
+    if (cells.groupBy("family").count().agg(F.max("count")).first()[0] or 0) <= dense_levels:
+        return _dense_given_x(cells)
     levels = materialize(
         cells.groupBy("family").agg(F.count_distinct("treatment").alias("_k"), F.count_distinct("x").alias("_m"))
     )
     few_k, few_m = F.col("_k") <= dense_levels, F.col("_m") <= dense_levels
     solved = []
-    most_k = levels.agg(F.max("_k")).first()[0] or 0
-    if most_k <= dense_levels:
-        return _dense_given_x(cells)
     for wanted, solve in ((few_k, _dense_given_x), (~few_k & few_m, _from_x_given_treatment), (~few_k & ~few_m, gradient_given_x)):
         own = levels.where(wanted).select("family")
         if own.limit(1).count():
