@@ -307,7 +307,9 @@ def test_disjoint_pairs_and_hundreds_of_levels_stay_few_groups():
     assert holds(groups, 400, ordered) and 1 + max(map(max, groups)) == 371
 
 
-def test_letters_of_groups_with_and_without_order(spark):
+@pytest.mark.parametrize("few", [256, 0])
+def test_letters_of_groups_with_and_without_order(spark, monkeypatch, few):
+    monkeypatch.setattr(K, "FEW_LEVELS", few)
     rows = [("o", t, float(m), 1.0) for t, m in enumerate([9, 8, 7, 4, 3, 0])]
     rows += [("u", t, float(m), s) for t, (m, s) in enumerate([(9, 0.1), (8, 9.0), (7, 0.1), (6, 0.1), (5, 9.0)])]  # errors that differ: no stretches
     table = spark.createDataFrame(rows, "family string, treatment int, emmean double, se double").withColumn("df", F.lit(50))
