@@ -152,8 +152,7 @@ def canonical_turns(records: DataFrame, id_col: str = "id", record_col: str = "r
         for batch in batches:
             for start in range(0, len(batch), 1024):
                 part = batch.slice(start, 1024)
-                values = [_parsed(r) for r in part.column(1).to_pylist()]
-                found = [(None, None, None) if v is _NOTHING else table.read(v) for v in values]
+                found = [table.read(value) if known else (None, None, None) for known, value in map(_parsed, part.column(1).to_pylist())]
                 mark, name, turns = zip(*found)
                 kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
                 yield pa.RecordBatch.from_arrays(
@@ -165,16 +164,14 @@ def canonical_turns(records: DataFrame, id_col: str = "id", record_col: str = "r
     return rows.mapInArrow(run, f"id {id_type}, fingerprint bigint, layout string, turns {TURN}")
 
 
-_NOTHING = object()
-
-
-def _parsed(record: str | None) -> object:
+def _parsed(record: str | None) -> tuple[bool, object]:
+    """Whether a record is JSON, and its value."""
     if record is None:
-        return _NOTHING
+        return False, None
     try:
-        return json.loads(record, parse_constant=str)
+        return True, json.loads(record, parse_constant=str)
     except (ValueError, RecursionError):
-        return _NOTHING
+        return False, None
 
 
 HEAD, TAIL = "###", "</turn>"
