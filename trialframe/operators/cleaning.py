@@ -32,6 +32,9 @@ def duplicate_mask(
     window partitioned by value; the number of shuffles does not grow with the
     number of columns. Values keep their type where all columns share one and
     are compared as text otherwise, so large integers stay exact; NaN is missing.
+
+    ``row_id`` is unique and states the order of rows. A row without one has no place in
+    that order: it counts as a repeat and its values are nulled.
     """
     types = dict(df.dtypes)
     common = len({types[c] for c in columns}) == 1
