@@ -313,15 +313,16 @@ def anova_no_intercept(moments: DataFrame) -> DataFrame:
 
 
 @F.pandas_udf(StructType().add("ss", DoubleType()).add("rank", IntegerType()))
-def _quadratic_form(levels: pd.Series, entries: pd.Series, rhs: pd.Series) -> pd.DataFrame:
-    """b' A⁻ b for one small matrix per family (A is levels x levels, rank deficient)."""
+def _quadratic_form(entries: pd.Series) -> pd.DataFrame:
+    """b' A⁻ b for one small matrix per family (A is levels x levels, rank deficient); b stands with the diagonal."""
     out = []
-    for size, cells, right in zip(levels, entries, rhs):
-        a, b = np.zeros((size, size)), np.zeros(size)
+    for cells in entries:
+        at = {level: k for k, level in enumerate(sorted(e["i"] for e in cells if e["i"] == e["j"]))}
+        a, b = np.zeros((len(at), len(at))), np.zeros(len(at))
         for e in cells:
-            a[e["i"] - 1, e["j"] - 1] = e["a"]
-        for e in right:
-            b[e["i"] - 1] = e["b"]
+            a[at[e["i"]], at[e["j"]]] = e["a"]
+            if e["i"] == e["j"]:
+                b[at[e["i"]]] = e["b"]
         # scaled to a unit diagonal, so that a rare level beside large ones keeps its dimension
         diagonal = np.diag(a)
         scale = np.where(diagonal > 0, 1 / np.sqrt(np.where(diagonal > 0, diagonal, 1.0)), 0.0)
@@ -337,9 +338,10 @@ def treatment_given_x(cells: DataFrame, dense_levels: int = DENSE_LEVELS) -> Dat
 
     Normal equations with the other factor eliminated are solved as one matrix for each
     family whose treatments, or else x, have up to ``dense_levels`` levels, and by conjugate
-    gradients where both have more. The cells are counted for that.
+    gradients where both have more. The levels are counted for that.
     """
-    if (cells.groupBy("family").count().agg(F.max("count")).first()[0] or 0) <= dense_levels:
+    few = cells.select("family", "treatment").distinct().groupBy("family").count()
+    if (few.agg(F.max("count")).first()[0] or 0) <= dense_levels:
         return _dense_given_x(cells)
     levels = materialize(
         cells.groupBy("family").agg(F.count_distinct("treatment").alias("_k"), F.count_distinct("x").alias("_m"))
@@ -441,51 +443,24 @@ def _unlinked_groups(cells: DataFrame) -> DataFrame:
 
 def _dense_given_x(cells: DataFrame) -> DataFrame:
     """The same from one entry for each pair of treatment levels; only that matrix reaches Python."""
-    names = cells.select("family", "treatment").distinct()
-    numbered = names.groupBy("family").agg(
-        F.sort_array(F.collect_set("treatment")).alias("levels")
-    )
     by_x = cells.groupBy("family", "x").agg(
+        F.collect_list(F.struct("treatment", "n", "mean")).alias("_row"),
         F.sum("n").alias("_nx"),
         (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mx"),
     )
-    rows = (
-        cells.select("family", "treatment", "x", "n", "mean")
-        .join(by_x, ["family", "x"])
-        .join(numbered, "family")
-        .select(
-            "family",
-            "x",
-            F.array_position("levels", F.col("treatment")).cast("int").alias("i"),
-            F.size("levels").alias("size"),
-            "n",
-            (F.col("n") * (F.col("mean") - F.col("_mx"))).alias("_b"),
-            "_nx",
-        )
-    )
-    other = rows.select("family", "x", F.col("i").alias("j"), F.col("n").alias("_nj"))
+    rows = by_x.select("family", "_nx", "_mx", "_row", F.explode("_row").alias("_i"))
+    pairs = rows.select("family", "_nx", "_mx", "_i", F.explode("_row").alias("_j"))
+    n, same = F.col("_i.n"), F.col("_i.treatment") == F.col("_j.treatment")
+    # the counts' product could overflow
+    entry = F.when(same, n.cast("double")).otherwise(0.0) - n * (F.col("_j.n") / F.col("_nx"))
     matrix = (
-        rows.join(other, ["family", "x"])
-        .groupBy("family", "size", "i", "j")
-        .agg(
-            F.sum(
-                F.when(F.col("i") == F.col("j"), F.col("n").cast("double")).otherwise(0.0)
-                - F.col("n") * (F.col("_nj") / F.col("_nx"))  # the counts' product could overflow
-            ).alias("a")
-        )
-        .groupBy("family", "size")
-        .agg(F.collect_list(F.struct("i", "j", "a")).alias("entries"))
-    )
-    right = (
-        rows.groupBy("family", "i")
-        .agg(F.sum("_b").alias("b"))
+        pairs.groupBy("family", F.col("_i.treatment").alias("i"), F.col("_j.treatment").alias("j"))
+        .agg(F.sum(entry).alias("a"), F.sum(F.when(same, n * (F.col("_i.mean") - F.col("_mx")))).alias("b"))
         .groupBy("family")
-        .agg(F.collect_list(F.struct("i", "b")).alias("rhs"))
+        .agg(F.collect_list(F.struct("i", "j", "a", "b")).alias("entries"))
     )
-    return (
-        matrix.join(right, "family")
-        .withColumn("q", _quadratic_form("size", "entries", "rhs"))
-        .select("family", F.col("q.ss").alias("ss_t_given_x"), F.col("q.rank").alias("t_rank"))
+    return matrix.withColumn("q", _quadratic_form("entries")).select(
+        "family", F.col("q.ss").alias("ss_t_given_x"), F.col("q.rank").alias("t_rank")
     )
 
 
