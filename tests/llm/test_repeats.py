@@ -58,6 +58,19 @@ def test_common_line_with_many_neighbours(spark):
     assert found(table(spark, rows).repartition(5)) == brute(rows)
 
 
+def test_keys_beyond_the_bound_of_a_task(spark):
+    rng = random.Random(9)
+    line = "".join(rng.choices("abcdefghij ", k=110))
+    rows = [(k % 280, "".join(rng.choices("klm", k=rng.choice([3, 40]))) + line + "".join(rng.choices("kl", k=rng.choice([3, 40])))) for k in range(300)]
+    rows += [(k, "other " + line[:50] * 3 + str(k % 7)) for k in range(300, 330)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        for bound in (1, 3000):
+            assert found(table(spark, rows).repartition(5), key_bytes=bound) == brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_long_copy(spark):
     rows = [(1, LONG), (2, LONG[5:]), (3, "new:" + LONG[:120])]
     got = {r[0]: r[1:4] for r in found(table(spark, rows))}

@@ -18,6 +18,9 @@ one anchor are consecutive and overlap; they travel as one segment.
   each string the longest previous factor: the larger of its common prefixes with
   the nearest suffixes before and after it, in suffix order, that start earlier.
   A string whose factor reaches the length is an earlier one's copy.
+* A task holds the cuts of one key up to a bound. Beyond it (a line in a large part of all
+  documents, between texts that differ) it passes the strings of that key on as they
+  come, by the 128-bit hash of each, and the first of each hash stays.
 
 Rows that share an id count as one document, as the order is by id and place.
 """
@@ -28,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import IntegralType
 
@@ -38,6 +42,7 @@ LENGTH = 100
 GRAM = 32
 CUT = 16  # places of an anchor that travel together
 BATCH_BYTES = 4 << 20
+KEY_BYTES = 16 << 20  # of cuts with one key that a task holds; the strings of a larger key are dealt on
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -223,8 +228,13 @@ def previous_factors(place: np.ndarray, common: np.ndarray) -> np.ndarray:
     return best
 
 
-def _copies(cuts: DataFrame, length: int) -> DataFrame:
-    """(id, tag, start, stop): bytes of strings that start earlier elsewhere."""
+def _copies(cuts: DataFrame, length: int, key_bytes: int) -> DataFrame:
+    """(id, tag, start, stop): bytes of strings that start earlier elsewhere.
+
+    A task holds up to about ``key_bytes`` of cuts, whatever the size of a key.
+    """
+    limit = min(BATCH_BYTES, key_bytes)
+    names = ["id", "tag", "start", "stop", "head", "tail"]
     dealt = cuts.repartition("key").sortWithinPartitions("key")
 
     def judged(table: pa.Table) -> pa.RecordBatch:
@@ -264,25 +274,69 @@ def _copies(cuts: DataFrame, length: int) -> DataFrame:
             stops.append(lo[rows][row[last]] + step[last] + length)
             of.append(rows[row[first]])
         own = np.concatenate(of)
-        arrays = [ids[own], tags[own], np.concatenate(starts), np.concatenate(stops)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["id", "tag", "start", "stop"])
+        own, start = np.concatenate(of), np.concatenate(starts)
+        spread = pa.array(_spread(ids[own], start))
+        arrays = [ids[own], tags[own], start, np.concatenate(stops)]
+        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in arrays), spread, pa.nulls(len(own), pa.int64())], names=names)
+
+    def dealt_on(table: pa.Table) -> pa.RecordBatch:
+        """Every string of the cuts, with the hashes of its two halves."""
+        data, at = text_bytes(table["bytes"].combine_chunks().cast(pa.large_binary()))
+        ids, tags, lo, n = (table[c].to_numpy() for c in ("id", "tag", "lo", "n"))
+        row = np.repeat(np.arange(len(n)), n)
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        hashed, begin, start = SpanHash(data), at[row] + step, lo[row] + step
+        middle = begin + length // 2
+        head, tail = hashed(begin, middle).view(np.int64), hashed(middle, begin + length).view(np.int64)
+        arrays = [ids[row], tags[row], start, start + length, head, tail]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        large = None  # a key beyond the bound
         for batch in batches:
             held.append(batch)
-            if sum(b.nbytes for b in held) < BATCH_BYTES:
+            if sum(b.nbytes for b in held) < limit:
                 continue
             table = pa.Table.from_batches(held)
             key = table["key"].to_numpy()
+            if large is not None:
+                more = int(np.searchsorted(key, large, "right"))
+                yield from passed_on(table.slice(0, more))
+                table, key = table.slice(more), key[more:]
+                held = []
+                if not len(key):
+                    continue
+                large = None
             whole = int(np.searchsorted(key, key[-1]))  # the last key may go on
             if whole:
                 yield judged(table.slice(0, whole))
-            held = table.slice(whole).to_batches()
+            table = table.slice(whole)
+            held = table.to_batches()
+            if table.nbytes >= key_bytes:
+                large = key[-1]
+                yield from passed_on(table)
+                held = []
         if held:
-            yield judged(pa.Table.from_batches(held))
-
-    return dealt.mapInArrow(run, "id bigint, tag bigint, start bigint, stop bigint")
+            table = pa.Table.from_batches(held)
+            more = 0 if large is None else int(np.searchsorted(table["key"].to_numpy(), large, "right"))
+            yield from passed_on(table.slice(0, more))
+            if more < len(table):
+                yield judged(table.slice(more))
+
+    def passed_on(table: pa.Table, rows: int = 1 << 13) -> Iterator[pa.RecordBatch]:
+        for begin in range(0, len(table), rows):
+            part = table.slice(begin, rows)
+            known = part["bytes"].is_null()
+            yield judged(part.filter(known))
+            yield dealt_on(part.filter(pc.invert(known)))
+
+    found = dealt.mapInArrow(run, "id bigint, tag bigint, start bigint, stop bigint, head bigint, tail bigint")
+    # Copies have an even key of their own and no tail; of the strings dealt on, the first of each hash is none.
+    so_far = Window.partitionBy("head", "tail").orderBy("id", "start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.struct("id", "start")
+    first = found.withColumn("first", F.first(own).over(so_far))
+    return first.where(F.col("tail").isNull() | (own != F.col("first"))).select("id", "tag", "start", "stop")
 
 
 def _without(rows: DataFrame) -> DataFrame:
@@ -330,7 +384,7 @@ def _numbered_ids(rows: DataFrame) -> DataFrame:
     return materialize(placed.withColumn("number", number).join(F.broadcast(sizes), "part").select("own", (F.col("before") + F.col("number")).alias("number")))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, key_bytes: int = KEY_BYTES) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept) for every document; ``kept`` are the remaining bytes (UTF-8).
 
     Strings are judged on the input, not on what is left; matches never cross
@@ -345,7 +399,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not isinstance(docs.schema[id_col].dataType, IntegralType):
         own = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text"))
         numbers = _numbered_ids(own)
-        found = without_repeats(own.join(numbers, "own", "left"), "number", "text", length, gram)
+        found = without_repeats(own.join(numbers, "own", "left"), "number", "text", length, gram, key_bytes)
         back = found.join(numbers.withColumnRenamed("number", "id"), "id", "left")
         return back.select(F.col("own").alias("id"), "n_bytes", "n_removed", "n_spans", "kept")
     least = F.lit(-(1 << 63))
@@ -373,7 +427,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         )
     )
     open_ = rows.join(marks.where(F.size("open") > 0).select("id", "tag", "open"), ["id", "tag"])
-    more = _copies(_cut(open_.select("id", "text", "tag", "open"), length, gram), length)
+    more = _copies(_cut(open_.select("id", "text", "tag", "open"), length, gram), length, key_bytes)
     more = more.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("more"))
     none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
     every = rows.join(marks.select("id", "tag", "copies"), ["id", "tag"], "left").join(more, ["id", "tag"], "left")
