@@ -347,6 +347,25 @@ def test_no_task_of_the_pairs_holds_a_family_whole(spark):
     assert sum(sizes) == 600 * 599 // 2 and max(sizes) < 0.25 * sum(sizes)
 
 
+def test_levels_shipped_for_the_pairs_grow_no_faster_than_the_levels(spark):
+    def shipped(levels):
+        table = spark.range(levels).select(F.lit("f").alias("family"), F.col("id").alias("treatment"), F.rand(1).alias("emmean"), F.lit(1.0).alias("se"), F.lit(90).alias("df"))
+        assert M.pairwise_contrasts(table, ["family"], p_values=False, block_levels=4).count() == levels * (levels - 1) // 2
+        a, b, _ = M._dealt(table, ["family"], "treatment", "emmean", 4)
+        return sum(side.agg(F.sum(F.size(rows))).first()[0] for side, rows in ((a, "_ra"), (b, "_rb")))
+
+    assert shipped(1200) <= 2.1 * shipped(600) and shipped(600) <= 600 * (M.TILES + 2)
+
+
+def test_pairs_of_levels_that_are_repeated_or_unknown(spark):
+    rows = [("f", "b", 2.0, 1.0, 7), ("f", "b", 3.0, 1.0, 7), ("f", "a", 5.0, 2.0, 8), ("f", None, 1.0, 1.0, 7), (None, "c", 1.0, 1.0, 7)]
+    table = spark.createDataFrame(rows, "family string, treatment string, emmean double, se double, df long")
+    for block in (1, 9):
+        got = M.pairwise_contrasts(table, ["family"], p_values=False, block_levels=block).select("level_a", "level_b", "difference", "df").collect()
+        assert sorted(map(tuple, got)) == [("a", "b", 2.0, 8), ("a", "b", 3.0, 8)]
+    assert M.pairwise_contrasts(table.limit(0), ["family"]).count() == 0
+
+
 def test_many_levels_of_one_factor(spark):
     rows = spark.range(3000).select((F.col("id") % 150).alias("treatment"), (F.col("id") % 4).alias("x"), F.sin("id").alias("y"))
     table = cell_stats(rows, {"f": "y"}, "treatment", "x")
