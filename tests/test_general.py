@@ -373,3 +373,35 @@ def test_many_levels_of_one_factor(spark):
     data = rows.toPandas()
     one = data.groupby("treatment").y.transform("mean")
     assert many["treatment"] == pytest.approx(((one - data.y.mean()) ** 2).sum(), rel=1e-9)
+
+
+@pytest.fixture
+def plain_shuffles(spark):
+    """Joins as they come: nothing is broadcast or split but by the code's own hints."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _most_of_a_task(table):
+    sizes = [r["count"] for r in table.groupBy(F.spark_partition_id()).count().collect()]
+    return max(sizes) / sum(sizes) if sum(sizes) >= 200 else 0.0
+
+
+def _one_family(spark, treatments, xs):
+    rows = spark.range(treatments * xs).where("id % 7 != 3")
+    return rows.select(F.lit("f").alias("family"), (F.col("id") % treatments).alias("treatment"), F.expr(f"id div {treatments}").alias("x"), (1 + F.col("id") % 5).alias("n"), F.sin("id").alias("mean"), F.lit(1.0).alias("ss"))
+
+
+def test_two_large_factors_of_one_family_never_meet_in_a_task(spark, plain_shuffles, monkeypatch):
+    shares, cells = [], _one_family(spark, 300, 11).cache()
+    write, between = L.materialize, L._between
+    monkeypatch.setattr(L, "materialize", lambda df: shares.append(_most_of_a_task(out := write(df))) or out)
+    monkeypatch.setattr(L, "_between", lambda c, *a: shares.append(_most_of_a_task(c)) or between(c, *a))
+    got = L.treatment_given_x(cells, dense_levels=8).first()
+    L.anova_factorial(cells).collect()
+    assert len(shares) > 6 and max(shares) < 0.5
+    dense = L._dense_given_x(cells).first()
+    assert got.ss_t_given_x == pytest.approx(dense.ss_t_given_x, rel=1e-9) and got.t_rank == dense.t_rank

@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from trialframe.functions.probability import f_upper, t_two_sided
-from trialframe.session import materialize
+from trialframe.session import broadcast_if_small, fits_broadcast, materialize
 
 DENSE_LEVELS = 64  # treatments whose pairs are solved as one matrix
+FAMILY_ROW = 128  # bytes of a row that stands for one family
 
 
 def _square(c) -> Column:
@@ -351,7 +352,7 @@ def treatment_given_x(cells: DataFrame, dense_levels: int = DENSE_LEVELS) -> Dat
     for wanted, solve in ((few_k, _dense_given_x), (~few_k & few_m, _from_x_given_treatment), (~few_k & ~few_m, gradient_given_x)):
         own = levels.where(wanted).select("family")
         if own.limit(1).count():
-            solved.append(solve(cells.join(own, "family", "left_semi")))
+            solved.append(solve(cells.join(broadcast_if_small(own, FAMILY_ROW), "family", "left_semi")))
     return reduce(DataFrame.unionByName, solved)
 
 
@@ -386,8 +387,10 @@ def gradient_given_x(cells: DataFrame, tolerance: float = 1e-9, max_rounds: int
     )
     state = table.groupBy(*keys).agg(F.sqrt(F.sum("n")).alias("s"), F.sum(F.col("n") * F.col("d")).alias("b"))
     state = state.withColumn("b", F.col("b") / F.col("s"))
-    first = state.groupBy("family").agg(F.sum(F.col("b") * F.col("b")).alias("rr0"))
-    state = state.join(first, "family").select(*keys, "s", "b", F.lit(0.0).alias("t"), F.col("b").alias("r"), F.col("b").alias("p"), F.col("rr0").alias("rr"), "rr0")
+    first = materialize(state.groupBy("family").agg(F.sum(F.col("b") * F.col("b")).alias("rr0")))
+    # a family's treatments never meet in one task for a number they share
+    beside = F.broadcast if fits_broadcast(first.count(), FAMILY_ROW) else lambda per_family: per_family
+    state = state.join(beside(first), "family").select(*keys, "s", "b", F.lit(0.0).alias("t"), F.col("b").alias("r"), F.col("b").alias("p"), F.col("rr0").alias("rr"), "rr0")
     state = materialize(state)
     going = F.col("rr") > F.lit(tolerance**2) * F.col("rr0")
 
@@ -408,7 +411,7 @@ def gradient_given_x(cells: DataFrame, tolerance: float = 1e-9, max_rounds: int
         step = F.coalesce(F.when(going & (F.col("_pq") > 0), F.col("_rr") / F.col("_pq")), F.lit(0.0))
         after = F.greatest(F.col("_rr") - F.lit(2.0) * F.col("_step") * F.col("_rq") + F.col("_step") * F.col("_step") * F.col("_qq"), F.lit(0.0))
         sums = sums.withColumn("_step", step).select("family", "_step", F.when(F.col("_step") > 0, after).otherwise(F.lit(0.0)).alias("_new"), "_rr")
-        rows = moved.join(sums, "family").withColumn("r", F.col("r") - F.col("_step") * F.col("q"))
+        rows = moved.join(beside(sums), "family").withColumn("r", F.col("r") - F.col("_step") * F.col("q"))
         turn = F.coalesce(F.try_divide(F.col("_new"), F.col("_rr")), F.lit(0.0))
         return rows.select(
             *keys, "s", "b", (F.col("t") + F.col("_step") * F.col("p")).alias("t"), "r", (F.col("r") + turn * F.col("p")).alias("p"), F.col("_new").alias("rr"), "rr0"
@@ -464,6 +467,12 @@ def _dense_given_x(cells: DataFrame) -> DataFrame:
     )
 
 
+def _centred(cells: DataFrame) -> DataFrame:
+    """The cells with the mean of their family, ``_m``; a family's cells stay where they are."""
+    grand = materialize(cells.groupBy("family").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_m")))
+    return cells.join(broadcast_if_small(grand, FAMILY_ROW), "family")
+
+
 def _between(centred: DataFrame, key: str, out: str, count: str) -> DataFrame:
     """SS of one factor alone, from cells that carry the family mean ``_m``."""
     by_level = centred.groupBy("family", key).agg(
@@ -483,10 +492,7 @@ def anova_factorial(cells: DataFrame, first: str = "treatment") -> DataFrame:
     ``first`` states which main effect enters first; with unequal cell sizes
     the two orders differ. Give materialized cells: several sums read them.
     """
-    grand = cells.groupBy("family").agg(
-        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_m")
-    )
-    centred = cells.join(grand, "family")
+    centred = _centred(cells)
     whole = centred.groupBy("family").agg(
         F.sum("n").alias("n"),
         F.count(F.lit(1)).alias("cells"),
