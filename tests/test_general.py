@@ -405,3 +405,13 @@ def test_two_large_factors_of_one_family_never_meet_in_a_task(spark, plain_shuff
     assert len(shares) > 6 and max(shares) < 0.5
     dense = L._dense_given_x(cells).first()
     assert got.ss_t_given_x == pytest.approx(dense.ss_t_given_x, rel=1e-9) and got.t_rank == dense.t_rank
+
+
+def test_many_levels_at_few_x_never_meet_in_a_task(spark, plain_shuffles, monkeypatch):
+    shares, cells = [], _one_family(spark, 300, 3).cache()
+    between = L._between
+    monkeypatch.setattr(L, "_between", lambda c, *a: shares.append(_most_of_a_task(c)) or between(c, *a))
+    got = L._from_x_given_treatment(cells).first()
+    assert shares and max(shares) < 0.5
+    dense = L._dense_given_x(cells).first()
+    assert got.ss_t_given_x == pytest.approx(dense.ss_t_given_x, rel=1e-9) and got.t_rank == dense.t_rank
