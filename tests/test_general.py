@@ -2,8 +2,11 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -415,3 +418,51 @@ def test_many_levels_at_few_x_never_meet_in_a_task(spark, plain_shuffles, monkey
     assert shares and max(shares) < 0.5
     dense = L._dense_given_x(cells).first()
     assert got.ss_t_given_x == pytest.approx(dense.ss_t_given_x, rel=1e-9) and got.t_rank == dense.t_rank
+
+
+def test_rounds_of_the_gradients_ship_no_cells(spark, plain_shuffles, monkeypatch):
+    plans, cells, write = [], _one_family(spark, 90, 70).cache(), L.materialize
+    monkeypatch.setattr(L, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    got = L.gradient_given_x(cells).first()
+    rounds = [p for p in plans if "rr0#" in p]
+    assert len(rounds) > 3 and not any(re.search(r"hashpartitioning\([^)]*\bx#", p) for p in rounds)
+    dense = L._dense_given_x(cells).first()
+    assert got.ss_t_given_x == pytest.approx(dense.ss_t_given_x, rel=1e-9) and got.t_rank == dense.t_rank
+
+
+@pytest.mark.parametrize("vector_row", [16, 1 << 40])
+def test_effects_by_gradients_sent_to_blocks_or_joined_with_rows(spark, monkeypatch, vector_row):
+    monkeypatch.setattr(L, "VECTOR_ROW", vector_row)
+    one = _one_family(spark, 40, 9).where("treatment % 2 = x % 2")
+    cells = one.unionByName(_one_family(spark, 30, 12).withColumn("family", F.lit("g")))
+    cells = cells.withColumns({"treatment": F.format_string("t%s", "treatment"), "x": F.col("x").cast("double") - 2.5}).cache()
+    want = {r.family: r for r in L._dense_effects(cells).collect()}
+    turned = {r.family: r for r in L._turned_back(L._gradient_effects(L._turned(cells))).collect()}
+    got = {r.family: r for r in L._gradient_effects(cells).collect()}
+    assert got["f"].t_rank == 38 and got["g"].t_rank == 29
+    for family, r in want.items():
+        for name in ("ss_t", "a", "ss_x", "b", "ss_t_given_x", "t_rank"):
+            assert got[family][name] == pytest.approx(r[name], rel=1e-9) and turned[family][name] == pytest.approx(r[name], rel=1e-9)
+
+
+def test_blocks_of_cells_may_be_cut_between_any_two_x(monkeypatch):
+    rng = np.random.default_rng(5)
+    size = 400
+    cells = {"family": rng.choice(["f", "g"], size), "x": rng.integers(0, 60, size), "id": rng.integers(0, 9, size).astype(np.int32), "n": rng.integers(1, 5, size).astype(float), "y": rng.normal(size=size)}
+    batches = [pa.RecordBatch.from_pydict({k: v[i : i + 90] for k, v in cells.items()}) for i in range(0, size, 90)]
+
+    def sums(block):
+        monkeypatch.setattr(L, "BLOCK_CELLS", block)
+        made = pa.Table.from_batches(L._made_blocks(iter(batches)))
+        v, least = pa.array([rng.normal(size=9).tolist()] * len(made)), pa.array([list(range(9))] * len(made), pa.list_(pa.int32()))
+        out = pa.Table.from_batches(L._sums_of_blocks(iter(made.append_column("v", v).append_column("least", least).combine_chunks().to_batches())))
+        return len(made), sorted((tuple(map(str, (r["family"], r["id"], r["least"], r["b"]))), r["q"], r["ss_x"]) for r in out.to_pylist())
+
+    (few, whole), (many, cut) = sums(1 << 20), sums(16)
+    assert few == 2 and many > 10
+    for a, b in zip(whole, cut, strict=True):
+        assert a[0] == b[0] and a[1] == pytest.approx(b[1], rel=1e-9, abs=1e-9) and a[2] == pytest.approx(b[2], rel=1e-9)
+    table = pd.DataFrame(cells)
+    mean = table.assign(s=table.n * table.y).groupby(["family", "x"])[["s", "n"]].transform("sum")
+    table["q"] = table.n * (table.y - mean.s / mean.n)
+    assert whole[0][1] == pytest.approx(table[table.family == "f"].groupby("id").q.sum().tolist(), rel=1e-9, abs=1e-9)

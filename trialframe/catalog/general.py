@@ -26,7 +26,7 @@ from trialframe.operators import letters as K
 from trialframe.operators import linear as L
 from trialframe.operators import means as M
 from trialframe.operators.cells import cell_stats
-from trialframe.session import materialize
+from trialframe.session import materialize, written
 
 # ---- hypotheses about a curve whose treatments share parameters ----
 
@@ -397,7 +397,7 @@ SELECT family, term_order, term, df, ss, CASE WHEN term_order < 4 THEN ms / ems
 )
 def anova_factorial_two_large_query(spark, folder):
     """Parts and suppliers: both factors have too many levels for a matrix."""
-    return L.anova_factorial(materialize(cell_stats(lineitem(spark, folder), ["l_quantity"], "l_partkey", "l_suppkey")))
+    return L.anova_factorial(written(cell_stats(lineitem(spark, folder), ["l_quantity"], "l_partkey", "l_suppkey")))
 
 
 _MANY_OBS = """obs AS (SELECT 'effect' AS family, l_suppkey % 40 AS treatment, 'all' AS x, l_quantity + (l_suppkey % 40) * 0.4 AS y FROM lineitem)"""

@@ -6,18 +6,23 @@ and ANOVA tables keyed by ``family``. Nothing here reads raw rows.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from trialframe.functions.probability import f_upper, t_two_sided
-from trialframe.session import broadcast_if_small, fits_broadcast, materialize
+from trialframe.session import broadcast_if_small, fits_broadcast, materialize, written
 
 DENSE_LEVELS = 64  # treatments whose pairs are solved as one matrix
 FAMILY_ROW = 128  # bytes of a row that stands for one family
+LEVEL_ROW, VECTOR_ROW = 128, 16  # of one that stands for a level, and of a level's numbers in a vector
+LEAST_CELLS, BLOCK_CELLS = 1 << 17, 1 << 20  # of a task: fewer are not dealt on, more are
 
 
 def _square(c) -> Column:
@@ -335,69 +340,109 @@ def _quadratic_form(entries: pd.Series) -> pd.DataFrame:
 
 
 def treatment_given_x(cells: DataFrame, dense_levels: int = DENSE_LEVELS) -> DataFrame:
-    """SS of treatment after x in the additive two-factor model, any number of levels.
+    """SS of treatment after x in the additive two-factor model, any number of levels."""
+    return _main_effects(cells, dense_levels).select("family", "ss_t_given_x", "t_rank")
 
-    Normal equations with the other factor eliminated are solved as one matrix for each
-    family whose treatments, or else x, have up to ``dense_levels`` levels, and by conjugate
-    gradients where both have more. The levels are counted for that.
+
+def _main_effects(cells: DataFrame, dense_levels: int = DENSE_LEVELS) -> DataFrame:
+    """family -> SS and levels of both factors alone (ss_t, a, ss_x, b), SS and rank of treatment after x.
+
+    Normal equations with one factor eliminated are solved as one matrix for each family
+    whose treatments, or else x, have up to about ``dense_levels`` levels, and by conjugate
+    gradients on the factor of fewer levels where both have more. The levels are estimated
+    for that, in one pass that ships none of them: every way gives the same sums.
     """
-    few = cells.select("family", "treatment").distinct().groupBy("family").count()
-    if (few.agg(F.max("count")).first()[0] or 0) <= dense_levels:
-        return _dense_given_x(cells)
-    levels = materialize(
-        cells.groupBy("family").agg(F.count_distinct("treatment").alias("_k"), F.count_distinct("x").alias("_m"))
-    )
-    few_k, few_m = F.col("_k") <= dense_levels, F.col("_m") <= dense_levels
-    solved = []
-    for wanted, solve in ((few_k, _dense_given_x), (~few_k & few_m, _from_x_given_treatment), (~few_k & ~few_m, gradient_given_x)):
-        own = levels.where(wanted).select("family")
-        if own.limit(1).count():
-            solved.append(solve(cells.join(broadcast_if_small(own, FAMILY_ROW), "family", "left_semi")))
-    return reduce(DataFrame.unionByName, solved)
+    levels = cells.groupBy("family").agg(F.approx_count_distinct("treatment").alias("_k"), F.approx_count_distinct("x").alias("_m"))
+    few_k, few_m, fewer = F.col("_k") <= dense_levels, F.col("_m") <= dense_levels, F.col("_k") <= F.col("_m")
+    ways = [
+        (few_k, _dense_effects),
+        (~few_k & few_m, lambda own: _turned_back(_dense_effects(_turned(own)))),
+        (~few_k & ~few_m & fewer, _gradient_effects),
+        (~few_k & ~few_m & ~fewer, lambda own: _turned_back(_gradient_effects(_turned(own)))),
+    ]
+    met = levels.agg(*(F.count_if(wanted) for wanted, _ in ways)).first()
+    taken = [way for way, families in zip(ways, met, strict=True) if families] or ways[:1]
+    if len(taken) == 1:
+        return taken[0][1](cells)
+    levels = materialize(levels)
+    own = lambda wanted: broadcast_if_small(levels.where(wanted).select("family"), FAMILY_ROW)
+    return reduce(DataFrame.unionByName, [solve(cells.join(own(wanted), "family", "left_semi")) for wanted, solve in taken])
 
 
-def _from_x_given_treatment(cells: DataFrame) -> DataFrame:
-    """The same from the equations of x, for many treatments at few x: both orders add up to one sum."""
-    turned = cells.select("family", F.col("x").alias("treatment"), F.col("treatment").alias("x"), "n", "mean")
-    given = _dense_given_x(turned).select("family", F.col("ss_t_given_x").alias("_ss"), F.col("t_rank").alias("_rank"))
+def _dense_effects(cells: DataFrame) -> DataFrame:
     centred = _centred(cells)
-    both = _between(centred, "treatment", "_t", "_k").join(_between(centred, "x", "_x", "_levels"), "family").join(given, "family")
-    return both.select(
+    both = _between(centred, "treatment", "ss_t", "a").join(_between(centred, "x", "ss_x", "b"), "family")
+    return both.join(_dense_given_x(cells), "family")
+
+
+def _turned(cells: DataFrame) -> DataFrame:
+    other = {"treatment": "x", "x": "treatment"}
+    return cells.select(*(F.col(c).alias(other.get(c, c)) for c in cells.columns))
+
+
+def _turned_back(effects: DataFrame) -> DataFrame:
+    """Effects of treatment and x from those with the two exchanged: both orders add up to one sum."""
+    return effects.select(
         "family",
-        (F.col("_ss") + F.col("_t") - F.col("_x")).alias("ss_t_given_x"),
-        (F.col("_rank") + F.col("_k") - F.col("_levels")).cast("int").alias("t_rank"),
+        F.col("ss_x").alias("ss_t"),
+        F.col("b").alias("a"),
+        F.col("ss_t").alias("ss_x"),
+        F.col("a").alias("b"),
+        (F.col("ss_t_given_x") + F.col("ss_x") - F.col("ss_t")).alias("ss_t_given_x"),
+        (F.col("t_rank") + F.col("b") - F.col("a")).cast("int").alias("t_rank"),
     )
 
 
-def gradient_given_x(cells: DataFrame, tolerance: float = 1e-9, max_rounds: int = 400, rounds_per_look: int = 4) -> DataFrame:
-    """``treatment_given_x`` by conjugate gradients, all families at once, for any number of levels of both factors.
+def _from_x_given_treatment(cells: DataFrame) -> DataFrame:
+    """``treatment_given_x`` from the equations of x, for many treatments at few x."""
+    return _turned_back(_dense_effects(_turned(cells))).select("family", "ss_t_given_x", "t_rank")
+
+
+def gradient_given_x(cells: DataFrame, tolerance: float = 1e-9, max_rounds: int = 400) -> DataFrame:
+    """``treatment_given_x`` by conjugate gradients, all families at once, for any number of levels of both factors."""
+    return _gradient_effects(cells, tolerance, max_rounds).select("family", "ss_t_given_x", "t_rank")
+
+
+def _gradient_effects(cells: DataFrame, tolerance: float = 1e-9, max_rounds: int = 400) -> DataFrame:
+    """Effects by conjugate gradients on the equations of treatment.
 
     No pair of treatments is ever formed. A round multiplies the equations' matrix by a vector
-    (one number for each treatment): sums of the cells by x, joined back, and sums by treatment.
+    (one number for each treatment): means of the cells by x, taken from them, and sums by treatment.
+    The cells of an x stand in one block (``_blocks``), to which the vector is sent, size-checked; a
+    round ships sums by treatment only. Beyond that size the cells are joined with it.
     The unknowns are scaled to a unit diagonal. A family is done when its residual is below
     ``tolerance`` of the first; the SS, a quadratic form, is then right to about the square of
-    that. The rank is the treatments less the groups of treatments that share no x with each other.
+    that. The rank is the treatments less the groups of treatments that share no x with each other:
+    in the same rounds each treatment takes the least number among those it shares an x with, until none changes.
     """
-    keys = ["family", "treatment"]
-    by_x = cells.groupBy("family", "x").agg(F.sum("n").alias("_nx"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mx"))
-    n = F.col("n").cast("double")
-    table = materialize(
-        cells.join(by_x, ["family", "x"]).select(*keys, "x", n.alias("n"), (n / F.col("_nx")).alias("share"), (F.col("mean") - F.col("_mx")).alias("d"))
-    )
-    state = table.groupBy(*keys).agg(F.sqrt(F.sum("n")).alias("s"), F.sum(F.col("n") * F.col("d")).alias("b"))
-    state = state.withColumn("b", F.col("b") / F.col("s"))
-    first = materialize(state.groupBy("family").agg(F.sum(F.col("b") * F.col("b")).alias("rr0")))
+    keys = ["family", "id"]
+    centred = _centred(cells).select("family", "treatment", "x", F.col("n").cast("double").alias("n"), (F.col("mean") - F.col("_m")).alias("y"))
+    by_level = centred.groupBy("family", "treatment").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("y")) / F.sum("n")).alias("y"), F.count(F.lit(1)).alias("cells"))
+    place = F.row_number().over(Window.partitionBy("family").orderBy("treatment")) - 1
+    levels = materialize(by_level.where(F.col("family").isNotNull()).withColumn("id", place))
+    count, size = levels.agg(F.count(F.lit(1)), F.coalesce(F.sum("cells"), F.lit(0))).first()
+    names = levels.select("family", "treatment", "id")
+    numbered = centred.join(F.broadcast(names) if fits_broadcast(count, LEVEL_ROW) else names, ["family", "treatment"]).select("family", "x", "id", "n", "y")
+    product = _product_of_blocks(numbered, size) if fits_broadcast(count, VECTOR_ROW) else _product_of_rows(numbered)
+
+    start = levels.select(*keys, F.lit(0.0).alias("v"), F.col("id").alias("least"))
+    sums, by_x = product(start, True)
+    alone = levels.groupBy("family").agg(F.sum(F.col("n") * _square("y")).alias("ss_t"), F.count(F.lit(1)).alias("a"))
+    alone = materialize(alone.join(by_x, "family"))
+    state = levels.select(*keys, F.sqrt("n").alias("s")).join(sums.select(*keys, "q"), keys)
+    state = materialize(state.select(*keys, "s", (F.col("q") / F.col("s")).alias("b")))
+    first = materialize(state.groupBy("family").agg(F.sum(_square("b")).alias("rr0")))
     # a family's treatments never meet in one task for a number they share
     beside = F.broadcast if fits_broadcast(first.count(), FAMILY_ROW) else lambda per_family: per_family
-    state = state.join(beside(first), "family").select(*keys, "s", "b", F.lit(0.0).alias("t"), F.col("b").alias("r"), F.col("b").alias("p"), F.col("rr0").alias("rr"), "rr0")
-    state = materialize(state)
+    state = state.join(beside(first), "family").select(
+        *keys, "s", "b", F.lit(0.0).alias("t"), F.col("b").alias("r"), F.col("b").alias("p"), F.col("rr0").alias("rr"), "rr0", F.col("id").alias("least"), F.lit(True).alias("new")
+    )
     going = F.col("rr") > F.lit(tolerance**2) * F.col("rr0")
 
     def one_round(state: DataFrame) -> DataFrame:
-        rows = table.join(state.select(*keys, (F.col("p") / F.col("s")).alias("v")), keys)
-        inside = rows.groupBy("family", "x").agg(F.sum(F.col("share") * F.col("v")).alias("u"))
-        product = rows.join(inside, ["family", "x"]).groupBy(*keys).agg(F.sum(F.col("n") * (F.col("v") - F.col("u"))).alias("q"))
-        moved = state.join(product, keys).withColumn("q", F.col("q") / F.col("s"))
+        sums = product(state.select(*keys, (F.col("p") / F.col("s")).alias("v"), "least"), False)[0]
+        moved = state.drop("new").join(sums.withColumnRenamed("least", "_least"), keys).withColumn("q", F.col("q") / F.col("s"))
+        moved = materialize(moved.withColumn("new", F.col("_least") < F.col("least")).withColumn("least", F.col("_least")).drop("_least"))
         product_of = lambda a, b: F.sum(F.col(a) * F.col(b))
         sums = moved.groupBy("family").agg(
             F.first("rr").alias("rr"),
@@ -412,35 +457,117 @@ def gradient_given_x(cells: DataFrame, tolerance: float = 1e-9, max_rounds: int
         sums = sums.withColumn("_step", step).select("family", "_step", F.when(F.col("_step") > 0, after).otherwise(F.lit(0.0)).alias("_new"), "_rr")
         rows = moved.join(beside(sums), "family").withColumn("r", F.col("r") - F.col("_step") * F.col("q"))
         turn = F.coalesce(F.try_divide(F.col("_new"), F.col("_rr")), F.lit(0.0))
-        return rows.select(
-            *keys, "s", "b", (F.col("t") + F.col("_step") * F.col("p")).alias("t"), "r", (F.col("r") + turn * F.col("p")).alias("p"), F.col("_new").alias("rr"), "rr0"
-        )
+        return materialize(rows.select(
+            *keys, "s", "b", (F.col("t") + F.col("_step") * F.col("p")).alias("t"), "r", (F.col("r") + turn * F.col("p")).alias("p"), F.col("_new").alias("rr"), "rr0", "least", "new"
+        ))
 
-    rounds = 0
-    while rounds < max_rounds:
-        state = materialize(one_round(state))
+    rounds, moving, renamed = 0, 1, 1
+    while renamed or (moving and rounds < max_rounds):
+        state = one_round(state)
         rounds += 1
-        if rounds % rounds_per_look == 0 and not state.where(going).limit(1).count():
-            break
-    ss = state.groupBy("family").agg(F.sum(F.col("t") * F.col("b")).alias("ss_t_given_x"), F.count(F.lit(1)).alias("_k"))
-    return ss.join(_unlinked_groups(table.select(*keys, "x")), "family").select(
-        "family", "ss_t_given_x", (F.col("_k") - F.col("_groups")).cast("int").alias("t_rank")
+        moving, renamed = state.agg(F.count_if(going), F.count_if("new")).first()
+    given = state.groupBy("family").agg(
+        F.sum(F.col("t") * F.col("b")).alias("ss_t_given_x"), (F.count(F.lit(1)) - F.count_distinct("least")).cast("int").alias("t_rank")
     )
+    return alone.join(given, "family")
+
+
+Product = Callable[[DataFrame, bool], tuple[DataFrame, DataFrame | None]]
+
+
+def _product_of_rows(numbered: DataFrame) -> Product:
+    """``_product_of_blocks`` for vectors of any size: the cells are joined with them."""
+    cells, keys = written(numbered), ["family", "x"]
+
+    def product(vector: DataFrame, own: bool) -> tuple[DataFrame, DataFrame | None]:
+        rows = cells.join(vector, ["family", "id"]).withColumn("y", F.col("y") if own else F.col("v"))
+        by_x = rows.groupBy(*keys).agg(F.sum("n").alias("_n"), (F.sum(F.col("n") * F.col("y")) / F.sum("n")).alias("u"), F.min("least").alias("_least"))
+        rest = F.sum(F.col("n") * (F.col("y") - F.col("u"))).alias("q")
+        sums = rows.join(by_x, keys).groupBy("family", "id").agg(rest, F.min("_least").alias("least"))
+        return sums, by_x.groupBy("family").agg(F.sum(F.col("_n") * _square("u")).alias("ss_x"), F.count(F.lit(1)).alias("b")) if own else None
+
+    return product
+
+
+def _product_of_blocks(numbered: DataFrame, size: int) -> Product:
+    """(family, id, v, least), own -> family, id, q: sum of n (y - mean of y in the cell's x), and the least of all cells that share an x.
+
+    y is the cell's ``own`` value, and SS and levels of x come too, or else v.
+    """
+    blocks = _blocks(numbered, size)
+
+    def product(vector: DataFrame, own: bool) -> tuple[DataFrame, DataFrame | None]:
+        ordered = F.sort_array(F.collect_list(F.struct("id", "v", "least")))
+        sent = vector.groupBy("family").agg(ordered.alias("_l")).select("family", F.col("_l.v").alias("v"), F.col("_l.least").alias("least"))
+        columns = ["family", "starts", "ids", "n", *(["y"] if own else [])]
+        # the vectors' counted size is within bounds
+        parts = blocks.select(*columns).join(F.broadcast(sent), "family").mapInArrow(_sums_of_blocks, _SUMS)
+        parts = materialize(parts) if own else parts
+        sums = parts.select("family", F.inline(F.arrays_zip("id", "q", "least"))).groupBy("family", "id").agg(F.sum("q").alias("q"), F.min("least").alias("least"))
+        return sums, parts.groupBy("family").agg(F.sum("ss_x").alias("ss_x"), F.sum("b").alias("b")) if own else None
+
+    return product
 
 
-def _unlinked_groups(cells: DataFrame) -> DataFrame:
-    """family -> number of groups of treatments that share no x with another group.
+def _blocks(numbered: DataFrame, size: int) -> DataFrame:
+    """Rows of about ``BLOCK_CELLS`` cells of a family: where each x starts, then id, n and y of the cells, as bytes.
 
-    Each treatment takes the least name among the treatments it shares an x with, until none changes.
+    The cells of an x stay together, so they meet in one task: one for each treatment at most.
     """
-    named = materialize(cells.select("family", "treatment").distinct().withColumn("least", F.col("treatment")))
-    while True:
-        by_x = cells.join(named, ["family", "treatment"]).groupBy("family", "x").agg(F.min("least").alias("_m"))
-        after = materialize(cells.join(by_x, ["family", "x"]).groupBy("family", "treatment").agg(F.min("_m").alias("least")))
-        changed = after.join(named.withColumnRenamed("least", "_old"), ["family", "treatment"]).where(F.col("least") != F.col("_old"))
-        named = after
-        if not changed.limit(1).count():
-            return named.groupBy("family").agg(F.count_distinct("least").alias("_groups"))
+    shuffled = int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(shuffled, math.ceil(size / LEAST_CELLS)), math.ceil(size / BLOCK_CELLS))
+    dealt = numbered.where(F.col("x").isNotNull()).repartition(tasks, "family", "x")
+    return written(dealt.mapInArrow(_made_blocks, "family string, starts binary, ids binary, n binary, y binary"))
+
+
+def _made_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches).combine_chunks()
+    family, x = (table[name].combine_chunks().dictionary_encode() for name in ("family", "x"))
+    key = family.indices.to_numpy().astype(np.int64) * len(x.dictionary) + x.indices.to_numpy()
+    order = np.argsort(key, kind="stable")
+    key, ids, n, y = key[order], *(table[name].to_numpy()[order] for name in ("id", "n", "y"))
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    owner = key[starts] // len(x.dictionary)
+    block = np.cumsum(np.append(True, (owner[1:] != owner[:-1]) | (starts[1:] // BLOCK_CELLS != starts[:-1] // BLOCK_CELLS)))
+    cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+    rows = []
+    for at, to in zip(cuts, np.append(cuts[1:], len(starts)), strict=True):
+        cells = slice(starts[at], starts[to] if to < len(starts) else len(key))
+        own = (starts[at:to] - starts[at]).astype(np.int32), ids[cells], n[cells], y[cells]
+        rows.append([family.dictionary[owner[at]].as_py(), *(v.tobytes() for v in own)])
+        if to == len(starts) or sum(len(r[2]) for r in rows) >= 4 * BLOCK_CELLS:
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.string(), *[pa.binary()] * 4), strict=True)], ["family", "starts", "ids", "n", "y"])
+            rows = []
+
+
+_SUMS = "family string, id array<int>, q array<double>, least array<int>, ss_x double, b long"
+
+
+def _sums_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The product over the blocks of a task: one row for each family."""
+    held: dict[str, list] = {}
+    for batch in batches:
+        for row in range(batch.num_rows):
+            at = {name: batch.column(name)[row] for name in batch.schema.names}
+            starts, ids = (np.frombuffer(at[name].as_buffer(), np.int32) for name in ("starts", "ids"))
+            v, least = (at[name].values.to_numpy() for name in ("v", "least"))
+            n = np.frombuffer(at["n"].as_buffer())
+            y = np.frombuffer(at["y"].as_buffer()) if "y" in at else v[ids]
+            sums = held.setdefault(at["family"].as_py(), [np.zeros(len(v)), np.full(len(v), len(v), np.int32), 0.0, 0])
+            weight, cells = np.add.reduceat(n, starts), np.diff(starts, append=len(ids))
+            mean = np.add.reduceat(n * y, starts) / weight
+            sums[0] += np.bincount(ids, n * (y - np.repeat(mean, cells)), len(v))
+            np.minimum.at(sums[1], ids, np.repeat(np.minimum.reduceat(least[ids], starts), cells))
+            sums[2] += float(weight @ mean**2)
+            sums[3] += len(starts)
+    for family, (q, low, ss, levels) in held.items():
+        met = np.flatnonzero(low < len(low)).astype(np.int32)
+        own = [[family], [met], [q[met]], [low[met]], [ss], [levels]]
+        kinds = pa.string(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.float64(), pa.int64()
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(own, kinds, strict=True)], ["family", "id", "q", "least", "ss_x", "b"])
 
 
 def _dense_given_x(cells: DataFrame) -> DataFrame:
@@ -468,6 +595,8 @@ def _dense_given_x(cells: DataFrame) -> DataFrame:
 
 def _centred(cells: DataFrame) -> DataFrame:
     """The cells with the mean of their family, ``_m``; a family's cells stay where they are."""
+    if "_m" in cells.columns:
+        return cells
     grand = materialize(cells.groupBy("family").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_m")))
     return cells.join(broadcast_if_small(grand, FAMILY_ROW), "family")
 
@@ -499,9 +628,7 @@ def anova_factorial(cells: DataFrame, first: str = "treatment") -> DataFrame:
         F.sum(F.col("n") * _square(F.col("mean") - F.col("_m"))).alias("ss_cells"),
     )
     parts = (
-        whole.join(_between(centred, "treatment", "ss_t", "a"), "family")
-        .join(_between(centred, "x", "ss_x", "b"), "family")
-        .join(treatment_given_x(cells), "family")
+        whole.join(_main_effects(centred), "family")
         .withColumn("ss_x_given_t", F.col("ss_x") + F.col("ss_t_given_x") - F.col("ss_t"))
         .withColumn("additive_df", F.col("b") - 1 + F.col("t_rank"))
     )
