@@ -3,13 +3,14 @@
 import itertools
 import random
 import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from trialframe.operators import curves as C
 from trialframe.operators import hypotheses as H
@@ -466,3 +467,17 @@ def test_blocks_of_cells_may_be_cut_between_any_two_x(monkeypatch):
     mean = table.assign(s=table.n * table.y).groupby(["family", "x"])[["s", "n"]].transform("sum")
     table["q"] = table.n * (table.y - mean.s / mean.n)
     assert whole[0][1] == pytest.approx(table[table.family == "f"].groupby("id").q.sum().tolist(), rel=1e-9, abs=1e-9)
+
+
+def test_families_take_the_way_of_their_levels(spark, monkeypatch):
+    taken, shapes = [], {"few": (5, 40), "thin": (40, 5), "wide": (15, 60), "tall": (60, 15)}
+    for name in ("_dense_effects", "_gradient_effects"):
+        solve = getattr(L, name)
+        monkeypatch.setattr(L, name, lambda c, solve=solve, name=name: taken.append(name) or solve(c))
+    tables = [_one_family(spark, *shape).withColumn("family", F.lit(name)) for name, shape in shapes.items()]
+    cells = reduce(DataFrame.unionByName, tables).cache()
+    got = {r.family: r for r in L._main_effects(cells, dense_levels=8).collect()}
+    assert taken == ["_dense_effects"] * 2 + ["_gradient_effects"] * 2 and got.keys() == shapes.keys()
+    for r in L._dense_effects(cells).collect():
+        assert all(got[r.family][name] == pytest.approx(r[name], rel=1e-9) for name in ("ss_t", "a", "ss_x", "b", "ss_t_given_x", "t_rank"))
+    assert L.anova_factorial(cells.limit(0)).count() == 0
